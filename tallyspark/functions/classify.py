@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from .amount import TRIAL_MAX
-from .text import contains_any, first_contained, strip_unicode, title_case
+from .text import contains_any, count_contained, first_contained, strip_unicode, title_case
 
 
 def _c(x) -> Column:
@@ -31,9 +31,11 @@ def resolve_bank(sender, senders=None, tokens=None, canonical: bool = False) ->
     s = F.lower(_c(sender))
 
     def first_label(table):
-        arr = F.array(*[F.struct(F.lit(lbl).alias("label"), F.lit(n.lower()).alias("needle"))
-                        for lbl, needles in table for n in needles])
-        return F.get(F.filter(arr, lambda r: F.contains(s, r["needle"])), 0)["label"]
+        out = None
+        for lbl, needles in table:
+            c = contains_any(s, [n.lower() for n in needles])
+            out = F.when(c, F.lit(lbl)) if out is None else out.when(c, F.lit(lbl))
+        return out
 
     out = F.coalesce(first_label(senders), first_label(tokens), F.lit(R.UNKNOWN_BANK))
     if canonical:
@@ -93,26 +95,26 @@ def stated_cycle(text, flagged) -> Column:
 
 # ----------------------------------------------------------------------------- category
 
-def _category_array(rules):
-    return F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(label).alias("label"),
-                 F.array(*[F.lit(w) for w in words]).alias("keywords"), F.lit(color).alias("color"))
-        for i, (label, words, color) in enumerate(rules)])
-
-
 def category_score(text, rules=None) -> Column:
     """Best category rule for the text (B11) as a struct
     ``(score, neg_ordinal, label, color)``: the score is the number of the
     rule's keywords contained in the text; the highest score wins and ties go
-    to the earlier rule."""
+    to the earlier rule (``greatest`` over structs compares score first, then
+    the negated ordinal)."""
     t = _c(text)
-    arr = _category_array(rules if rules is not None else R.CATEGORY_RULES)
-    scored = F.transform(arr, lambda r: F.struct(
-        F.size(F.filter(r["keywords"], lambda k: F.contains(t, k))).alias("score"),
-        (-r["ordinal"]).alias("neg_ordinal"),
-        r["label"].alias("label"),
-        r["color"].alias("color")))
-    return F.array_max(scored)
+    rules = rules if rules is not None else R.CATEGORY_RULES
+    n = len(rules)
+    # One integer per rule: score * base + (base - 1 - ordinal); the greatest
+    # integer is the highest score with the earliest rule, and stays inside
+    # generated code (no struct comparison, no lambda).
+    base = 1 << 16
+    keys = [count_contained(t, words).cast("long") * base + (base - 1 - i) for i, (_, words, _) in enumerate(rules)]
+    best = F.greatest(*keys) if n > 1 else keys[0]
+    idx = (F.lit(base - 1) - (best % base)).cast("int")
+    labels = F.array(*[F.lit(lbl) for lbl, _, _ in rules])
+    colors = F.array(*[F.lit(col) for _, _, col in rules])
+    return F.struct((best / base).cast("int").alias("score"), (-idx).alias("neg_ordinal"),
+                    F.get(labels, idx).alias("label"), F.get(colors, idx).alias("color"))
 
 
 def category_label(best: Column) -> Column:
@@ -163,26 +165,32 @@ VENDOR_PATTERNS = [
 ]
 
 
-def vendor_candidates(clean_body) -> Column:
-    """First match of each vendor pattern, trimmed and title-cased (NULL when
-    the pattern does not match)."""
+def vendor_candidates(clean_body) -> list[Column]:
+    """First match of each vendor pattern, trimmed (NULL when the pattern
+    does not match).  One regex scan per pattern."""
     b = _c(clean_body)
-    cands = []
-    for pat in VENDOR_PATTERNS:
-        m = F.regexp_extract(b, pat, 1)
-        cands.append(F.when(F.regexp_like(b, F.lit(pat)), title_case(strip_unicode(m))))
-    return F.array(*cands)
+    return [strip_unicode(F.get(F.regexp_extract_all(b, F.lit(pat), 1), 0)) for pat in VENDOR_PATTERNS]
+
+
+def pick_vendor(candidates: list[Column], stopwords=None) -> Column:
+    """Vendor cascade decision (see ``extract_vendor``), title-cased once."""
+    stop = [w.lower() for w in (stopwords if stopwords is not None else R.VENDOR_STOPWORDS)]
+
+    def ok(v):
+        return v.isNotNull() & (F.length(v) > 3) & ~F.lower(v).isin(stop)
+
+    accepted = [F.when(ok(v), v) for v in candidates]
+    return F.coalesce(title_case(F.coalesce(*accepted, *reversed(candidates))), F.lit(R.UNKNOWN_VENDOR))
 
 
 def extract_vendor(clean_body, stopwords=None) -> Column:
     """Vendor cascade (B4): the first candidate longer than 3 characters that
     is not a stop word; if every candidate is rejected, the last rejected
-    candidate stays (as in the reference); no candidate -> 'Unknown Vendor'."""
-    stop = F.array(*[F.lit(w) for w in (stopwords if stopwords is not None else R.VENDOR_STOPWORDS)])
-    cands = vendor_candidates(clean_body)
-    ok = F.filter(cands, lambda v: v.isNotNull() & (F.length(v) > 3) & ~F.array_contains(stop, F.lower(v)))
-    seen = F.filter(cands, lambda v: v.isNotNull())
-    return F.coalesce(F.get(ok, 0), F.get(F.reverse(seen), 0), F.lit(R.UNKNOWN_VENDOR))
+    candidate stays (as in the reference); no candidate -> 'Unknown Vendor'.
+
+    For wide projections prefer materialising ``vendor_candidates`` as a
+    column first and calling ``pick_vendor`` on it."""
+    return pick_vendor(vendor_candidates(clean_body), stopwords)
 
 
 # ----------------------------------------------------------------------------- services

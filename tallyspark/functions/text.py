@@ -83,14 +83,33 @@ def title_case(col) -> Column:
 
 
 def contains_any(text, words) -> Column:
-    """True when any of ``words`` occurs in ``text`` (plain substring)."""
-    arr = F.array(*[F.lit(w) for w in words])
+    """True when any of ``words`` occurs in ``text`` (plain substring).
+
+    Written as an OR chain of ``contains`` (not a lambda over an array) so it
+    compiles into whole-stage generated code."""
+    t = _c(text)
+    out = None
+    for w in words:
+        c = F.contains(t, F.lit(w))
+        out = c if out is None else (out | c)
+    return out if out is not None else F.lit(False)
+
+
+def count_contained(text, words) -> Column:
+    """Number of ``words`` contained in ``text`` (INT)."""
     t = _c(text)
-    return F.exists(arr, lambda w: F.contains(t, w))
+    out = None
+    for w in words:
+        c = F.when(F.contains(t, F.lit(w)), F.lit(1)).otherwise(F.lit(0))
+        out = c if out is None else (out + c)
+    return out if out is not None else F.lit(0)
 
 
 def first_contained(text, words) -> Column:
     """The first of ``words`` (in list order) that occurs in ``text``, else NULL."""
-    arr = F.array(*[F.lit(w) for w in words])
     t = _c(text)
-    return F.get(F.filter(arr, lambda w: F.contains(t, w)), 0)
+    out = None
+    for w in words:
+        c = F.contains(t, F.lit(w))
+        out = F.when(c, F.lit(w)) if out is None else out.when(c, F.lit(w))
+    return out

@@ -31,23 +31,31 @@ def _preset_color(category_lower: Column) -> Column:
     return expr
 
 
-def rules_struct(subject: Column, body: Column) -> Column:
-    """The rules-path analysis of one message as a struct."""
-    body_clean = html_to_text(body)
-    text = F.lower(F.concat_ws(" ", F.coalesce(subject, F.lit("")), body_clean))
-    amount = extract_amount(F.concat_ws(" ", F.coalesce(subject, F.lit("")), F.coalesce(body, F.lit(""))))
-    vendor = C.extract_vendor(body_clean)
-    is_sub = C.flag_subscription(text)
-    trial = C.flag_trial(text, amount.try_cast("decimal(18,2)"), R.TRIAL_WORDS_RULES)
-    best = C.category_score(text)
-    score = best["score"]
-    label = C.category_label(best)
-    vcat = C.category_from_vendor(vendor, score)
-    cat_lower = F.coalesce(vcat, label)
-    color = F.coalesce(_preset_color(cat_lower),
-                       F.when(score > 0, best["color"]),
+def with_rules_analysis(df: DataFrame, subject: str = "subject", body: str = "body",
+                        out: str = "rules") -> DataFrame:
+    """Add the rules-path analysis of each message as struct ``out``.
+
+    Built in stages (cleaned body, then text, amount and vendor candidates,
+    then the category arg-max, then the struct) so each heavy expression is
+    evaluated once per row; Catalyst keeps the stages apart because their
+    results are referenced many times."""
+    subj = F.coalesce(F.col(subject), F.lit(""))
+    s1 = df.withColumn("_body_clean", html_to_text(F.col(body)))
+    s2 = (s1.withColumn("_text", F.lower(F.concat_ws(" ", subj, F.col("_body_clean"))))
+          .withColumn("_amount", extract_amount(F.concat_ws(" ", subj, F.coalesce(F.col(body), F.lit("")))))
+          .withColumn("_vcands", F.array(*C.vendor_candidates(F.col("_body_clean")))))
+    s3 = (s2.withColumn("_vendor", C.pick_vendor([F.col("_vcands")[i] for i in range(len(C.VENDOR_PATTERNS))]))
+          .withColumn("_best", C.category_score(F.col("_text")))
+          .withColumn("_is_sub", C.flag_subscription(F.col("_text"))))
+    text, score, vendor, is_sub = F.col("_text"), F.col("_best.score"), F.col("_vendor"), F.col("_is_sub")
+    s4 = s3.withColumn("_vcat", C.category_from_vendor(vendor, score))
+    vcat = F.col("_vcat")
+    cat_lower = F.coalesce(vcat, C.category_label(F.col("_best")))
+    color = F.coalesce(_preset_color(cat_lower), F.when(score > 0, F.col("_best.color")),
                        C.vendor_category_color(vcat))
-    return F.struct(
+    amount = F.col("_amount")
+    trial = C.flag_trial(text, amount.try_cast("decimal(18,2)"), R.TRIAL_WORDS_RULES)
+    struct = F.struct(
         amount.alias("amount"),
         title_case(cat_lower).alias("category"),
         vendor.alias("merchant_name"),
@@ -59,6 +67,8 @@ def rules_struct(subject: Column, body: Column) -> Column:
         C.subscription_icon(text, is_sub).alias("service_logo"),
         trial.alias("is_trial"),
     )
+    return s4.withColumn(out, struct).drop("_body_clean", "_text", "_amount", "_vcands", "_vendor", "_best",
+                                           "_is_sub", "_vcat")
 
 
 def _model_as_rules_shape(m: Column) -> Column:
@@ -89,22 +99,25 @@ def analyze_messages(messages: DataFrame, mode: str = "rules", keep=()) -> DataF
     ``mode``: 'model' uses ``model_output`` where valid and the rules path
     elsewhere (C5); 'rules' always uses the rules path (B15); 'none' is the
     no-scorer default (C6)."""
-    subj, body = F.col("subject"), F.col("body")
+    subj = F.col("subject")
+    base = messages
     if mode == "model":
-        m = model_analysis("model_output", subj, body)
-        a = F.when(m.isNotNull(), _model_as_rules_shape(m)).otherwise(rules_struct(subj, body))
+        base = with_rules_analysis(messages.withColumn("_m", model_analysis("model_output", subj, F.col("body"))))
+        m = F.col("_m")
+        a = F.when(m.isNotNull(), _model_as_rules_shape(m)).otherwise(F.col("rules"))
         src = F.when(m.isNotNull(), F.lit("model")).otherwise(F.lit("rules"))
     elif mode == "rules":
-        a, src = rules_struct(subj, body), F.lit("rules")
+        base = with_rules_analysis(messages)
+        a, src = F.col("rules"), F.lit("rules")
     elif mode == "none":
         a, src = none_struct(subj), F.lit("none")
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    return messages.select(
+    return base.select(
         "account_id", "message_id", "date", C.resolve_bank("sender").alias("bank"), "subject", "sender",
         *keep,
         a.alias("a"), src.alias("analysis_source"),
-        preview(F.coalesce(body, F.lit("")), 200).alias("email_body_preview"),
+        preview(F.coalesce(F.col("body"), F.lit("")), 200).alias("email_body_preview"),
     ).select("*", "a.*").drop("a")
 
 

@@ -281,7 +281,7 @@ def _sql_case(expr: str, values: list[str]) -> str:
 
 SQL_MSG = (
     "\nv_msg AS (\n  SELECT c.c_nationkey AS account_id, CAST(o.o_orderkey AS VARCHAR) AS message_id,\n"
-    "         o.o_orderkey, o.o_custkey, o.o_orderdate, o.o_totalprice, c.c_mktsegment,\n"
+    "         o.o_orderkey, o.o_custkey, o.o_orderdate, o.o_totalprice, c.c_mktsegment, o.amt, o.intpart, c.card,\n"
     "         " + _sql_case("o.o_orderkey % 9", ["'" + s.replace("'", "''") + "'" for s, _ in MSG_TEMPLATES])
     + " AS subject,\n"
     "         " + _sql_case("o.o_orderkey % 9", [_sql_fill(b) for _, b in MSG_TEMPLATES]) + " AS body,\n"
