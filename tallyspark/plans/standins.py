@@ -292,3 +292,74 @@ SQL_MSG = (
     "  JOIN (SELECT *, CAST(1000 + c_custkey % 9000 AS VARCHAR) AS card FROM customer) c\n"
     "    ON o.o_custkey = c.c_custkey)"
 )
+
+
+# ----------------------------------------------------------------------------- ledger edits (slices of part)
+
+def ledger_base(spark, sf_dir) -> DataFrame:
+    """Ledger before edits: subscriptions with p_partkey % 10 < 7."""
+    return subs(spark, sf_dir).filter(F.col("seq") % 10 < 7)
+
+
+SQL_LEDGER = """
+v_ledger AS (SELECT * FROM v_subs WHERE seq % 10 < 7)"""
+
+
+def ledger_adds(spark, sf_dir) -> DataFrame:
+    s = subs(spark, sf_dir).filter(F.col("seq") % 10 == 7)
+    k = F.col("seq")
+    return s.select("account_id", k.alias("add_seq"), "service_name", "amount", "billing_cycle",
+                    F.when(k % 20 == 7, F.lit(None).cast("string")).otherwise(F.col("category")).alias("category"),
+                    "start_date", "last_payment",
+                    F.when(k % 3 == 0, F.lit("Inactive")).otherwise(F.lit("Active")).alias("status"), "bank",
+                    F.when(k % 4 == 3, F.lit(None).cast("string")).otherwise(F.lit("*")).alias("service_logo"),
+                    F.lit("#123456").alias("brand_color"))
+
+
+SQL_ADDS = """
+v_adds AS (
+  SELECT account_id, seq AS add_seq, service_name, amount, billing_cycle,
+         CASE WHEN seq % 20 = 7 THEN NULL ELSE category END AS category, start_date, last_payment,
+         CASE WHEN seq % 3 = 0 THEN 'Inactive' ELSE 'Active' END AS status, bank,
+         CASE WHEN seq % 4 = 3 THEN NULL ELSE '*' END AS service_logo, '#123456' AS brand_color
+  FROM v_subs WHERE seq % 10 = 7)"""
+
+
+def ledger_edits(spark, sf_dir) -> DataFrame:
+    s = subs(spark, sf_dir).filter((F.col("seq") % 10 == 0) | (F.col("seq") % 10 == 8))
+    k = F.col("seq")
+    return s.select("account_id", "id", k.alias("edit_seq"),
+                    F.when(k % 3 == 0, (k % 20).cast(MONEY)).alias("amount"),
+                    F.when(k % 4 == 0, F.concat(F.lit("spotify "), F.col("service_name"))).alias("service_name"),
+                    F.when(k % 5 == 0, F.lit("Inactive")).alias("status"),
+                    F.when(k % 7 == 3, F.lit("Edited")).alias("category"))
+
+
+SQL_EDITS = """
+v_edits AS (
+  SELECT account_id, id, seq AS edit_seq,
+         CASE WHEN seq % 3 = 0 THEN CAST(seq % 20 AS DECIMAL(18,2)) END AS n_amount,
+         CASE WHEN seq % 4 = 0 THEN 'spotify ' || service_name END AS n_service_name,
+         CASE WHEN seq % 5 = 0 THEN 'Inactive' END AS n_status,
+         CASE WHEN seq % 7 = 3 THEN 'Edited' END AS n_category
+  FROM v_subs WHERE seq % 10 IN (0, 8))"""
+
+
+def detected_slice(spark, sf_dir) -> DataFrame:
+    """Detected subscriptions to merge: p_partkey % 10 >= 7, some names in
+    upper case (case-blind duplicates of ledger names)."""
+    s = subs(spark, sf_dir).filter(F.col("seq") % 10 >= 7)
+    name = F.when(F.col("seq") % 2 == 0, F.upper("service_name")).otherwise(
+        F.concat(F.col("service_name"), F.lit(" plus")))
+    return s.select("account_id", F.concat(F.lit("det"), F.col("id")).alias("id"), name.alias("service_name"),
+                    "amount", "billing_cycle", "category", "status", "is_trial",
+                    F.struct(F.lit(1).alias("path"), F.lower(name).alias("key"), F.col("amount").alias("amount"))
+                    .alias("detect_order"))
+
+
+SQL_DETECTED = """
+v_det AS (
+  SELECT account_id, 'det' || id AS id,
+         CASE WHEN seq % 2 = 0 THEN upper(service_name) ELSE service_name || ' plus' END AS service_name,
+         amount, billing_cycle, category, status, is_trial
+  FROM v_subs WHERE seq % 10 >= 7)"""
