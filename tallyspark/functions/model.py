@@ -101,13 +101,14 @@ def model_truthy_bool(v: Column, k: str) -> Column:
         .otherwise(F.lit(False)), F.lit(False))
 
 
-def model_analysis(model_output, subject, body) -> Column:
+def model_analysis(model_output, subject, body, v: Column | None = None) -> Column:
     """C1-C4 as one struct; NULL when the model path is invalid.
 
     Fields: amount (DECIMAL), category, merchant_name, confidence (INT),
     is_subscription, subscription_type, billing_cycle, service_logo, is_trial.
+    Pass ``v`` (an already parsed VARIANT column) to parse once per row.
     """
-    v = parse_model_json(model_output)
+    v = parse_model_json(model_output) if v is None else v
     amount = model_amount(v)
     str_amount_trial = _is_string(v, "amount") & F.coalesce(amount <= TRIAL_MAX, F.lit(False))
     stated_trial = model_truthy_bool(v, "is_trial")

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import classify as C
 from ..functions.amount import extract_amount
-from ..functions.model import model_analysis
+from ..functions.model import model_analysis, parse_model_json
 from ..functions.text import html_to_text, preview, title_case, truncate
 
 KEYS = ("account_id",)
@@ -102,7 +103,9 @@ def analyze_messages(messages: DataFrame, mode: str = "rules", keep=()) -> DataF
     subj = F.col("subject")
     base = messages
     if mode == "model":
-        base = with_rules_analysis(messages.withColumn("_m", model_analysis("model_output", subj, F.col("body"))))
+        staged = messages.withColumn("_v", parse_model_json(F.col("model_output")))
+        staged = staged.withColumn("_m", model_analysis(None, subj, F.col("body"), v=F.col("_v")))
+        base = with_rules_analysis(staged)
         m = F.col("_m")
         a = F.when(m.isNotNull(), _model_as_rules_shape(m)).otherwise(F.col("rules"))
         src = F.when(m.isNotNull(), F.lit("model")).otherwise(F.lit("rules"))
@@ -128,8 +131,6 @@ def score_hook(messages: DataFrame, scorer: Callable, mode: str = "model") -> Da
     pd.Series[str]`` runs as an Arrow-batched pandas UDF; its text goes
     through the same C1-C5 handling.  No network client ships with the
     library."""
-    import pandas as pd  # noqa: F401  (needed by the UDF type hints)
-
     @F.pandas_udf("string")
     def _score(subject: pd.Series, body: pd.Series, bank: pd.Series) -> pd.Series:
         return scorer(subject, body, bank)

@@ -244,8 +244,9 @@ def _sql_fill(template: str) -> str:
     return "'" + s + "'"
 
 
-def messages(spark, sf_dir) -> DataFrame:
-    """Alert messages composed from orders and customers: one per order."""
+def messages(spark, sf_dir, with_model: bool = False) -> DataFrame:
+    """Alert messages composed from orders and customers: one per order
+    (``with_model`` adds the model answer of ``model_output_column``)."""
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer")
     j = o.join(c, o.o_custkey == c.c_custkey)
@@ -268,10 +269,11 @@ def messages(spark, sf_dir) -> DataFrame:
     zone = F.when(k3 == 0, F.lit(MSG_ZONES[0])).when(k3 == 1, F.lit(MSG_ZONES[1])).otherwise(F.lit(MSG_ZONES[2]))
     header = F.when(F.col("o_orderkey") % 50 == 7, F.lit("not a date")).otherwise(
         F.concat(F.date_format("o_orderdate", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" "), zone))
+    extra = [model_output_column().alias("model_output")] if with_model else []
     return j.select(
         F.col("c_nationkey").alias("account_id"),
         F.col("o_orderkey").cast("string").alias("message_id"),
-        subj.alias("subject"), sender.alias("sender"), header.alias("date"), body.alias("body"),
+        subj.alias("subject"), sender.alias("sender"), header.alias("date"), body.alias("body"), *extra,
     )
 
 
@@ -282,6 +284,7 @@ def _sql_case(expr: str, values: list[str]) -> str:
 SQL_MSG = (
     "\nv_msg AS (\n  SELECT c.c_nationkey AS account_id, CAST(o.o_orderkey AS VARCHAR) AS message_id,\n"
     "         o.o_orderkey, o.o_custkey, o.o_orderdate, o.o_totalprice, c.c_mktsegment, o.amt, o.intpart, c.card,\n"
+    "         c.c_name,\n"
     "         " + _sql_case("o.o_orderkey % 9", ["'" + s.replace("'", "''") + "'" for s, _ in MSG_TEMPLATES])
     + " AS subject,\n"
     "         " + _sql_case("o.o_orderkey % 9", [_sql_fill(b) for _, b in MSG_TEMPLATES]) + " AS body,\n"
@@ -363,3 +366,35 @@ v_det AS (
          CASE WHEN seq % 2 = 0 THEN upper(service_name) ELSE service_name || ' plus' END AS service_name,
          amount, billing_cycle, category, status, is_trial
   FROM v_subs WHERE seq % 10 >= 7)"""
+
+
+# ----------------------------------------------------------------------------- model answers
+
+def model_output_column():
+    """A model answer per order, chosen by o_orderkey % 8: string amount with
+    a currency mark, numeric amount, null amount, amount above the limit,
+    category absent, category null, JSON inside prose, broken JSON."""
+    k = F.col("o_orderkey") % 8
+    amt = F.col("o_totalprice").cast(MONEY).cast("string")
+    amt100 = (F.col("o_totalprice").cast(MONEY) * 100).cast("string")
+    name = F.col("c_name")
+    texts = [
+        F.concat(F.lit('ok {"amount":"₹'), amt, F.lit('","category":"Food","vendor":"'), name, F.lit('"} bye')),
+        F.concat(F.lit('{"amount":'), amt, F.lit(',"category":"Shopping","vendor":"V","confidence":80,'
+                                                  '"is_subscription":true}')),
+        F.concat(F.lit('{"amount":null,"category":"Bills","vendor":"'), name, F.lit('"}')),
+        F.concat(F.lit('{"amount":"'), amt100, F.lit('","category":"Big","vendor":"'), name, F.lit('"}')),
+        F.concat(F.lit('{"amount":"'), amt, F.lit('","vendor":"'), name, F.lit('"}')),
+        F.concat(F.lit('{"amount":"'), amt, F.lit('","category":null,"vendor":"V"}')),
+        F.concat(F.lit('Here you go:\n{"amount":"'), amt, F.lit('","category":"Travel","vendor":"'), name,
+                 F.lit('","is_trial":true}\nThanks')),
+        F.concat(F.lit('{"amount": '), amt, F.lit(', "category": "X"')),
+    ]
+    out = None
+    for i, t in enumerate(texts):
+        out = F.when(k == i, t) if out is None else out.when(k == i, t)
+    return out
+
+
+def model_messages(spark, sf_dir) -> DataFrame:
+    return messages(spark, sf_dir, with_model=True)
