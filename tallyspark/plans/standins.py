@@ -398,3 +398,33 @@ def model_output_column():
 
 def model_messages(spark, sf_dir) -> DataFrame:
     return messages(spark, sf_dir, with_model=True)
+
+
+# ----------------------------------------------------------------------------- raw RFC 822 messages
+
+def raw_messages(spark, sf_dir) -> DataFrame:
+    """The alert messages as RFC 822 bytes, by o_orderkey % 4: plain only;
+    plain then HTML; HTML then plain; plain attachment then HTML.  One in 50
+    has no content (dead letter)."""
+    m = messages(spark, sf_dir)
+    k = F.col("message_id").cast("long")
+    hdr = F.concat(F.lit("Subject: "), F.col("subject"), F.lit("\r\nFrom: "), F.col("sender"),
+                   F.lit("\r\nDate: "), F.col("date"), F.lit("\r\nMIME-Version: 1.0\r\n"))
+    body = F.col("body")
+    plain = F.concat(F.lit("Content-Type: text/plain; charset=utf-8\r\n\r\n"), body, F.lit("\r\n"))
+    html = F.concat(F.lit("Content-Type: text/html; charset=utf-8\r\n\r\n<div><b>"), body, F.lit("</b></div>\r\n"))
+    att = F.lit('Content-Type: text/plain; charset=utf-8\r\nContent-Disposition: attachment; filename="a.txt"'
+                "\r\n\r\nATTACHED\r\n")
+
+    def multi(*parts):
+        cols = [F.lit('Content-Type: multipart/alternative; boundary="b1"\r\n\r\n')]
+        for p in parts:
+            cols += [F.lit("--b1\r\n"), p]
+        cols.append(F.lit("--b1--\r\n"))
+        return F.concat(*cols)
+
+    k4 = k % 4
+    text = F.concat(hdr, F.when(k4 == 0, F.concat(F.lit("Content-Type: text/plain; charset=utf-8\r\n\r\n"), body))
+                    .when(k4 == 1, multi(plain, html)).when(k4 == 2, multi(html, plain)).otherwise(multi(att, html)))
+    content = F.when(k % 50 == 13, F.lit(None).cast("binary")).otherwise(F.encode(text, "UTF-8"))
+    return m.select("account_id", "message_id", content.alias("content"))
