@@ -165,11 +165,31 @@ VENDOR_PATTERNS = [
 ]
 
 
-def vendor_candidates(clean_body) -> list[Column]:
+# Literal words each vendor pattern needs (lower case); a cheap substring test
+# skips the regex on texts that cannot match (pattern 5 backtracks heavily).
+VENDOR_PREFILTER = [
+    None,
+    ["paid to", "payment to", "transfer to"],
+    ["merchant:", "store:", "shop:"],
+    ["purchase from", "bought from"],
+    ["store", "shop", "restaurant", "cafe"],
+    ["payment", "transaction"],
+]
+
+
+def vendor_candidates(clean_body, lower_body=None) -> list[Column]:
     """First match of each vendor pattern, trimmed (NULL when the pattern
-    does not match).  One regex scan per pattern."""
+    does not match).  One regex scan per pattern, skipped when the text lacks
+    the pattern's literal words."""
     b = _c(clean_body)
-    return [strip_unicode(F.get(F.regexp_extract_all(b, F.lit(pat), 1), 0)) for pat in VENDOR_PATTERNS]
+    low = F.lower(b) if lower_body is None else _c(lower_body)
+    out = []
+    for pat, need in zip(VENDOR_PATTERNS, VENDOR_PREFILTER):
+        m = F.nullif(F.regexp_extract(b, pat, 1), F.lit(""))
+        if need:
+            m = F.when(contains_any(low, need), m)
+        out.append(strip_unicode(m))
+    return out
 
 
 def pick_vendor(candidates: list[Column], stopwords=None) -> Column:

@@ -41,10 +41,10 @@ def with_rules_analysis(df: DataFrame, subject: str = "subject", body: str = "bo
     evaluated once per row; Catalyst keeps the stages apart because their
     results are referenced many times."""
     subj = F.coalesce(F.col(subject), F.lit(""))
-    s1 = df.withColumn("_body_clean", html_to_text(F.col(body)))
-    s2 = (s1.withColumn("_text", F.lower(F.concat_ws(" ", subj, F.col("_body_clean"))))
+    s1 = df.withColumn("_body_clean", html_to_text(F.col(body))).withColumn("_body_low", F.lower("_body_clean"))
+    s2 = (s1.withColumn("_text", F.concat_ws(" ", F.lower(subj), F.col("_body_low")))
           .withColumn("_amount", extract_amount(F.concat_ws(" ", subj, F.coalesce(F.col(body), F.lit("")))))
-          .withColumn("_vcands", F.array(*C.vendor_candidates(F.col("_body_clean")))))
+          .withColumn("_vcands", F.array(*C.vendor_candidates(F.col("_body_clean"), F.col("_body_low")))))
     s3 = (s2.withColumn("_vendor", C.pick_vendor([F.col("_vcands")[i] for i in range(len(C.VENDOR_PATTERNS))]))
           .withColumn("_best", C.category_score(F.col("_text")))
           .withColumn("_is_sub", C.flag_subscription(F.col("_text"))))
@@ -68,7 +68,7 @@ def with_rules_analysis(df: DataFrame, subject: str = "subject", body: str = "bo
         C.subscription_icon(text, is_sub).alias("service_logo"),
         trial.alias("is_trial"),
     )
-    return s4.withColumn(out, struct).drop("_body_clean", "_text", "_amount", "_vcands", "_vendor", "_best",
+    return s4.withColumn(out, struct).drop("_body_clean", "_body_low", "_text", "_amount", "_vcands", "_vendor", "_best",
                                            "_is_sub", "_vcat")
 
 

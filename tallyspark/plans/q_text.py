@@ -58,8 +58,10 @@ def q_extract_amount(spark, d):
 
 @register("extract_vendor", MX + "SELECT message_id, vendor AS merchant_name FROM v_expect")
 def q_extract_vendor(spark, d):
-    m = _msgs(spark, d)
-    return m.select("message_id", C.extract_vendor(html_to_text("body")).alias("merchant_name"))
+    m = _msgs(spark, d).withColumn("_clean", html_to_text("body")).withColumn("_low", F.lower("_clean"))
+    m = m.withColumn("_c", F.array(*C.vendor_candidates(F.col("_clean"), F.col("_low"))))
+    return m.select("message_id", C.pick_vendor([F.col("_c")[i] for i in range(len(C.VENDOR_PATTERNS))])
+                    .alias("merchant_name"))
 
 
 @register("resolve_bank", MX + "SELECT message_id, sender, bank FROM v_expect")
@@ -189,11 +191,11 @@ def q_rule_confidence(spark, d):
 
 @register("category_from_vendor", MR + "SELECT message_id, vendor_category FROM v_rules")
 def q_category_from_vendor(spark, d):
-    m = _msgs(spark, d)
-    text = F.lower(F.concat_ws(" ", "subject", html_to_text("body")))
-    vendor = C.extract_vendor(html_to_text("body"))
-    return m.select("message_id",
-                    C.category_from_vendor(vendor, C.category_score(text)["score"]).alias("vendor_category"))
+    t = A.with_rules_analysis(_msgs(spark, d))
+    return t.select("message_id", F.lower(F.col("rules.category")).alias("_c"), "rules.confidence",
+                    "rules.merchant_name").select(
+        "message_id", F.when((F.col("confidence") == 25) & (F.col("_c") != "other transactions"), F.col("_c"))
+        .alias("vendor_category"))
 
 
 @register("rules_analysis", MR + f"""
