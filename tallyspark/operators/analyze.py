@@ -32,14 +32,20 @@ def _preset_color(category_lower: Column) -> Column:
     return expr
 
 
+ANALYSIS_FIELDS = ["amount", "category", "merchant_name", "color", "confidence", "is_subscription",
+                   "subscription_type", "billing_cycle", "service_logo", "is_trial"]
+
+
 def with_rules_analysis(df: DataFrame, subject: str = "subject", body: str = "body",
-                        out: str = "rules") -> DataFrame:
-    """Add the rules-path analysis of each message as struct ``out``.
+                        prefix: str = "r_") -> DataFrame:
+    """Add the rules-path analysis of each message as flat columns
+    ``<prefix><field>`` (fields in ``ANALYSIS_FIELDS``).
 
     Built in stages (cleaned body, then text, amount and vendor candidates,
-    then the category arg-max, then the struct) so each heavy expression is
-    evaluated once per row; Catalyst keeps the stages apart because their
-    results are referenced many times."""
+    then the category arg-max, then the fields) so each heavy expression is
+    evaluated once per row.  The fields stay flat columns rather than one
+    struct: a later filter on one field (say ``amount > 0``) is then pushed
+    down with that field's expression only."""
     subj = F.coalesce(F.col(subject), F.lit(""))
     s1 = df.withColumn("_body_clean", html_to_text(F.col(body))).withColumn("_body_low", F.lower("_body_clean"))
     s2 = (s1.withColumn("_text", F.concat_ws(" ", F.lower(subj), F.col("_body_low")))
@@ -56,41 +62,39 @@ def with_rules_analysis(df: DataFrame, subject: str = "subject", body: str = "bo
                        C.vendor_category_color(vcat))
     amount = F.col("_amount")
     trial = C.flag_trial(text, amount.try_cast("decimal(18,2)"), R.TRIAL_WORDS_RULES)
-    struct = F.struct(
-        amount.alias("amount"),
-        title_case(cat_lower).alias("category"),
-        vendor.alias("merchant_name"),
-        color.alias("color"),
-        C.rule_confidence(score).alias("confidence"),
-        is_sub.alias("is_subscription"),
-        C.subscription_type(text, is_sub).alias("subscription_type"),
-        C.stated_cycle(text, is_sub).alias("billing_cycle"),
-        C.subscription_icon(text, is_sub).alias("service_logo"),
-        trial.alias("is_trial"),
-    )
-    return s4.withColumn(out, struct).drop("_body_clean", "_body_low", "_text", "_amount", "_vcands", "_vendor", "_best",
-                                           "_is_sub", "_vcat")
-
-
-def _model_as_rules_shape(m: Column) -> Column:
-    return F.struct(
-        m["amount"].cast("string").alias("amount"), m["category"].alias("category"),
-        m["merchant_name"].alias("merchant_name"),
-        _preset_color(F.lower(m["category"])).alias("color"),
-        m["confidence"].alias("confidence"), m["is_subscription"].alias("is_subscription"),
-        m["subscription_type"].alias("subscription_type"), m["billing_cycle"].alias("billing_cycle"),
-        m["service_logo"].alias("service_logo"), m["is_trial"].alias("is_trial"))
-
-
-def none_struct(subject: Column) -> Column:
+    fields = {
+        "amount": amount,
+        "category": title_case(cat_lower),
+        "merchant_name": vendor,
+        "color": color,
+        "confidence": C.rule_confidence(score),
+        "is_subscription": is_sub,
+        "subscription_type": C.subscription_type(text, is_sub),
+        "billing_cycle": C.stated_cycle(text, is_sub),
+        "service_logo": C.subscription_icon(text, is_sub),
+        "is_trial": trial,
+    }
+    out = s4.select("*", *[fields[f].alias(prefix + f) for f in ANALYSIS_FIELDS])
+    return out.drop("_body_clean", "_body_low", "_text", "_amount", "_vcands", "_vendor", "_best", "_is_sub",
+                    "_vcat")
+
+
+def _model_fields(m: Column) -> dict:
+    return {
+        "amount": m["amount"].cast("string"), "category": m["category"], "merchant_name": m["merchant_name"],
+        "color": _preset_color(F.lower(m["category"])), "confidence": m["confidence"],
+        "is_subscription": m["is_subscription"], "subscription_type": m["subscription_type"],
+        "billing_cycle": m["billing_cycle"], "service_logo": m["service_logo"], "is_trial": m["is_trial"]}
+
+
+def none_fields(subject: Column) -> dict:
     """No scorer configured: fixed analysis, merchant = first 50
     characters of the subject, rules path not used."""
-    return F.struct(
-        F.lit(None).cast("string").alias("amount"), F.lit(R.NONE_CATEGORY).alias("category"),
-        truncate(subject, 50).alias("merchant_name"), F.lit(R.NONE_COLOR).alias("color"),
-        F.lit(0).alias("confidence"), F.lit(False).alias("is_subscription"),
-        F.lit(None).cast("string").alias("subscription_type"), F.lit(None).cast("string").alias("billing_cycle"),
-        F.lit(R.DEFAULT_ICON).alias("service_logo"), F.lit(False).alias("is_trial"))
+    return {"amount": F.lit(None).cast("string"), "category": F.lit(R.NONE_CATEGORY),
+            "merchant_name": truncate(subject, 50), "color": F.lit(R.NONE_COLOR), "confidence": F.lit(0),
+            "is_subscription": F.lit(False), "subscription_type": F.lit(None).cast("string"),
+            "billing_cycle": F.lit(None).cast("string"), "service_logo": F.lit(R.DEFAULT_ICON),
+            "is_trial": F.lit(False)}
 
 
 def analyze_messages(messages: DataFrame, mode: str = "rules", keep=()) -> DataFrame:
@@ -101,27 +105,31 @@ def analyze_messages(messages: DataFrame, mode: str = "rules", keep=()) -> DataF
     elsewhere (C5); 'rules' always uses the rules path (B15); 'none' is the
     no-scorer default (C6)."""
     subj = F.col("subject")
-    base = messages
     if mode == "model":
         staged = messages.withColumn("_v", parse_model_json(F.col("model_output")))
         staged = staged.withColumn("_m", model_analysis(None, subj, F.col("body"), v=F.col("_v")))
         base = with_rules_analysis(staged)
         m = F.col("_m")
-        a = F.when(m.isNotNull(), _model_as_rules_shape(m)).otherwise(F.col("rules"))
+        mf = _model_fields(m)
+        fields = {f: F.when(m.isNotNull(), mf[f]).otherwise(F.col("r_" + f)) for f in ANALYSIS_FIELDS}
         src = F.when(m.isNotNull(), F.lit("model")).otherwise(F.lit("rules"))
     elif mode == "rules":
         base = with_rules_analysis(messages)
-        a, src = F.col("rules"), F.lit("rules")
+        fields = {f: F.col("r_" + f) for f in ANALYSIS_FIELDS}
+        src = F.lit("rules")
     elif mode == "none":
-        a, src = none_struct(subj), F.lit("none")
+        base = messages
+        fields = none_fields(subj)
+        src = F.lit("none")
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return base.select(
         "account_id", "message_id", "date", C.resolve_bank("sender").alias("bank"), "subject", "sender",
         *keep,
-        a.alias("a"), src.alias("analysis_source"),
+        *[fields[f].alias(f) for f in ANALYSIS_FIELDS],
+        src.alias("analysis_source"),
         preview(F.coalesce(F.col("body"), F.lit("")), 200).alias("email_body_preview"),
-    ).select("*", "a.*").drop("a")
+    )
 
 
 def score_hook(messages: DataFrame, scorer: Callable, mode: str = "model") -> DataFrame:

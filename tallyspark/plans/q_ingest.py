@@ -85,3 +85,25 @@ def q_export_csv(spark, d):
 def q_export_json(spark, d):
     back = X.export_json_roundtrip(_export_input(spark, d))
     return back.withColumn("amount_numeric", F.col("amount_numeric").cast("double"))
+
+
+# ----------------------------------------------------------------------------- streaming
+
+@register("stream_transactions", V.with_ctes(V.SQL_MSG) + """
+, e AS (SELECT *, CASE o_orderkey % 9 WHEN 4 THEN card WHEN 6 THEN intpart WHEN 7 THEN NULL ELSE amt END AS amount
+        FROM v_msg)
+SELECT account_id, message_id, CAST(CAST(amount AS DECIMAL(18,2)) AS DOUBLE) AS amount_numeric
+FROM e WHERE amount IS NOT NULL AND o_orderkey % 50 <> 7""")
+def q_stream_transactions(spark, d):
+    """Messages land as Parquet files (with every tenth message delivered
+    twice), a Structured Streaming query turns them into clean transactions
+    and de-duplicates re-deliveries; the sink is read back."""
+    from ..session import scratch_path
+    from ..streaming.mail_stream import run_available
+    msgs = V.messages(spark, d)
+    landing = scratch_path(spark, "landing")
+    msgs.write.mode("overwrite").parquet(landing + "/part=1")
+    msgs.filter(F.col("message_id").cast("long") % 10 == 3).write.mode("overwrite").parquet(landing + "/part=2")
+    out = run_available(spark, landing)
+    return spark.read.parquet(out).select(F.col("account_id"), "message_id",
+                                          F.col("amount_numeric").cast("double").alias("amount_numeric"))

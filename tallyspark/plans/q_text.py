@@ -192,8 +192,8 @@ def q_rule_confidence(spark, d):
 @register("category_from_vendor", MR + "SELECT message_id, vendor_category FROM v_rules")
 def q_category_from_vendor(spark, d):
     t = A.with_rules_analysis(_msgs(spark, d))
-    return t.select("message_id", F.lower(F.col("rules.category")).alias("_c"), "rules.confidence",
-                    "rules.merchant_name").select(
+    return t.select("message_id", F.lower(F.col("r_category")).alias("_c"), F.col("r_confidence").alias("confidence")
+                    ).select(
         "message_id", F.when((F.col("confidence") == 25) & (F.col("_c") != "other transactions"), F.col("_c"))
         .alias("vendor_category"))
 
