@@ -20,6 +20,7 @@ from ..functions import classify as C
 from ..functions.amount import extract_amount
 from ..functions.model import model_analysis, parse_model_json
 from ..functions.text import html_to_text, preview, title_case, truncate
+from .parallel import spread
 
 KEYS = ("account_id",)
 
@@ -104,6 +105,7 @@ def analyze_messages(messages: DataFrame, mode: str = "rules", keep=()) -> DataF
     ``mode``: 'model' uses ``model_output`` where valid and the rules path
     elsewhere (C5); 'rules' always uses the rules path (B15); 'none' is the
     no-scorer default (C6)."""
+    messages = spread(messages)
     subj = F.col("subject")
     if mode == "model":
         staged = messages.withColumn("_v", parse_model_json(F.col("model_output")))

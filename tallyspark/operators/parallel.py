@@ -1,0 +1,33 @@
+"""Parallelism guard for CPU-heavy per-row work.
+
+Text extraction, MIME parsing and JSON handling cost far more CPU per row
+than reading the row.  When the input arrives in fewer partitions than the
+cluster has cores (a few large files, a single row group), the work would run
+on a few cores only; ``spread`` round-robins such input over the default
+parallelism.  On a real scan of many files the input already has more
+partitions than cores and ``spread`` is a no-op, so no shuffle is added at
+scale.
+
+After the round-robin, one key column passes through a value-preserving but
+non-deterministic projection.  Catalyst does not push filters below a
+non-deterministic projection, so a later filter on an analysis result (say
+``amount > 0``) is evaluated after the shuffle, in parallel, instead of being
+pushed into the single pre-shuffle task together with the expressions it
+needs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def spread(df: DataFrame, min_partitions: int | None = None, fence_column: str | None = None) -> DataFrame:
+    if df.isStreaming:  # micro-batches are planned per batch; leave them alone
+        return df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    out = df.repartition(target)
+    col = fence_column or out.columns[0]
+    return out.withColumn(col, F.when(F.spark_partition_id() >= 0, F.col(col)))

@@ -130,7 +130,8 @@ def q_format_amount(spark, d):
 
 
 def _docs(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    from ..operators.parallel import spread
+    return spread(V.table(spark, d, "documents")).select("doc_id", F.lower("text").alias("text"))
 
 
 _DOC = "WITH docs AS (SELECT doc_id, lower(text) AS text FROM documents)\n"

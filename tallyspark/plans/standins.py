@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.amount import MONEY
+from ..operators.parallel import spread
 
 AS_OF = "2025-10-15"
 
@@ -270,7 +271,7 @@ def messages(spark, sf_dir, with_model: bool = False) -> DataFrame:
     header = F.when(F.col("o_orderkey") % 50 == 7, F.lit("not a date")).otherwise(
         F.concat(F.date_format("o_orderdate", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" "), zone))
     extra = [model_output_column().alias("model_output")] if with_model else []
-    return j.select(
+    return spread(j).select(
         F.col("c_nationkey").alias("account_id"),
         F.col("o_orderkey").cast("string").alias("message_id"),
         subj.alias("subject"), sender.alias("sender"), header.alias("date"), body.alias("body"), *extra,

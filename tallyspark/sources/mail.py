@@ -100,7 +100,8 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def parse_messages(raw: DataFrame) -> DataFrame:
     """A1: (account_id, message_id, content BINARY) -> parsed messages with an
     ``error`` column (NULL when parsed)."""
-    src = raw.select(F.col("account_id").cast("long"), F.col("message_id").cast("string"), "content")
+    from ..operators.parallel import spread
+    src = spread(raw.select(F.col("account_id").cast("long"), F.col("message_id").cast("string"), "content"))
     return src.mapInPandas(_parse_batches, PARSED_SCHEMA)
 
 
