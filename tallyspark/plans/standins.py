@@ -97,7 +97,7 @@ def bill(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     p = table(spark, sf_dir, "part")
     s = table(spark, sf_dir, "supplier")
-    j = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
+    j = spread(li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey))
     return j.select(
         F.col("s_nationkey").alias("account_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
