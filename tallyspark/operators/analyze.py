@@ -38,7 +38,7 @@ ANALYSIS_FIELDS = ["amount", "category", "merchant_name", "color", "confidence",
 
 
 def with_rules_analysis(df: DataFrame, subject: str = "subject", body: str = "body",
-                        prefix: str = "r_") -> DataFrame:
+                        prefix: str = "r_", only_when: Column | None = None) -> DataFrame:
     """Add the rules-path analysis of each message as flat columns
     ``<prefix><field>`` (fields in ``ANALYSIS_FIELDS``).
 
@@ -46,11 +46,19 @@ def with_rules_analysis(df: DataFrame, subject: str = "subject", body: str = "bo
     then the category arg-max, then the fields) so each heavy expression is
     evaluated once per row.  The fields stay flat columns rather than one
     struct: a later filter on one field (say ``amount > 0``) is then pushed
-    down with that field's expression only."""
+    down with that field's expression only.
+
+    ``only_when`` restricts the work to rows where it is true (other rows get
+    NULL fields): the model path uses it so the rules run only where the
+    scorer's answer is unusable."""
     subj = F.coalesce(F.col(subject), F.lit(""))
-    s1 = df.withColumn("_body_clean", html_to_text(F.col(body))).withColumn("_body_low", F.lower("_body_clean"))
+
+    def g(e: Column) -> Column:
+        return e if only_when is None else F.when(only_when, e)
+
+    s1 = df.withColumn("_body_clean", g(html_to_text(F.col(body)))).withColumn("_body_low", F.lower("_body_clean"))
     s2 = (s1.withColumn("_text", F.concat_ws(" ", F.lower(subj), F.col("_body_low")))
-          .withColumn("_amount", extract_amount(F.concat_ws(" ", subj, F.coalesce(F.col(body), F.lit("")))))
+          .withColumn("_amount", g(extract_amount(F.concat_ws(" ", subj, F.coalesce(F.col(body), F.lit(""))))))
           .withColumn("_vcands", F.array(*C.vendor_candidates(F.col("_body_clean"), F.col("_body_low")))))
     s3 = (s2.withColumn("_vendor", C.pick_vendor([F.col("_vcands")[i] for i in range(len(C.VENDOR_PATTERNS))]))
           .withColumn("_best", C.category_score(F.col("_text")))
@@ -110,7 +118,7 @@ def analyze_messages(messages: DataFrame, mode: str = "rules", keep=()) -> DataF
     if mode == "model":
         staged = messages.withColumn("_v", parse_model_json(F.col("model_output")))
         staged = staged.withColumn("_m", model_analysis(None, subj, F.col("body"), v=F.col("_v")))
-        base = with_rules_analysis(staged)
+        base = with_rules_analysis(staged, only_when=F.col("_m").isNull())
         m = F.col("_m")
         mf = _model_fields(m)
         fields = {f: F.when(m.isNotNull(), mf[f]).otherwise(F.col("r_" + f)) for f in ANALYSIS_FIELDS}

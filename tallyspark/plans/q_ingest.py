@@ -104,6 +104,6 @@ def q_stream_transactions(spark, d):
     landing = scratch_path(spark, "landing")
     msgs.write.mode("overwrite").parquet(landing + "/part=1")
     msgs.filter(F.col("message_id").cast("long") % 10 == 3).write.mode("overwrite").parquet(landing + "/part=2")
-    out = run_available(spark, landing)
+    out = run_available(spark, landing, parallelism=spark.sparkContext.defaultParallelism)
     return spark.read.parquet(out).select(F.col("account_id"), "message_id",
                                           F.col("amount_numeric").cast("double").alias("amount_numeric"))
