@@ -22,7 +22,16 @@ def register(name: str, sql: str | None = None, headline: bool = False):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Header offsets and wall times are interpreted in UTC;
+            # casts resolve the zone when the DataFrame is analysed, i.e. here.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         if headline:
