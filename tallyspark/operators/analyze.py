@@ -106,14 +106,17 @@ def none_fields(subject: Column) -> dict:
             "is_trial": F.lit(False)}
 
 
-def analyze_messages(messages: DataFrame, mode: str = "rules", keep=()) -> DataFrame:
+def analyze_messages(messages: DataFrame, mode: str = "rules", keep=(),
+                     min_partitions: int | None = None) -> DataFrame:
     """Messages (account_id, message_id, subject, sender, date, body
     [, model_output]) -> transactions.
 
     ``mode``: 'model' uses ``model_output`` where valid and the rules path
     elsewhere (C5); 'rules' always uses the rules path (B15); 'none' is the
-    no-scorer default (C6)."""
-    messages = spread(messages)
+    no-scorer default (C6).  ``min_partitions`` round-robins a scan with
+    fewer partitions first (see ``parallel.spread``)."""
+    if min_partitions:
+        messages = spread(messages, min_partitions)
     subj = F.col("subject")
     if mode == "model":
         staged = messages.withColumn("_v", parse_model_json(F.col("model_output")))

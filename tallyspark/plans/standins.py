@@ -97,7 +97,8 @@ def bill(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     p = table(spark, sf_dir, "part")
     s = table(spark, sf_dir, "supplier")
-    j = spread(li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey))
+    li = spread(li)
+    j = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
     return j.select(
         F.col("s_nationkey").alias("account_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -248,7 +249,7 @@ def _sql_fill(template: str) -> str:
 def messages(spark, sf_dir, with_model: bool = False) -> DataFrame:
     """Alert messages composed from orders and customers: one per order
     (``with_model`` adds the model answer of ``model_output_column``)."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     c = table(spark, sf_dir, "customer")
     j = o.join(c, o.o_custkey == c.c_custkey)
     amt = F.col("o_totalprice").cast(MONEY).cast("string")
@@ -271,7 +272,7 @@ def messages(spark, sf_dir, with_model: bool = False) -> DataFrame:
     header = F.when(F.col("o_orderkey") % 50 == 7, F.lit("not a date")).otherwise(
         F.concat(F.date_format("o_orderdate", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" "), zone))
     extra = [model_output_column().alias("model_output")] if with_model else []
-    return spread(j).select(
+    return j.select(
         F.col("c_nationkey").alias("account_id"),
         F.col("o_orderkey").cast("string").alias("message_id"),
         subj.alias("subject"), sender.alias("sender"), header.alias("date"), body.alias("body"), *extra,

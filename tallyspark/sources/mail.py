@@ -97,11 +97,14 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def parse_messages(raw: DataFrame) -> DataFrame:
+def parse_messages(raw: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """A1: (account_id, message_id, content BINARY) -> parsed messages with an
-    ``error`` column (NULL when parsed)."""
+    ``error`` column (NULL when parsed).  ``min_partitions`` round-robins a
+    raw scan with fewer partitions first (see ``parallel.spread``)."""
     from ..operators.parallel import spread
-    src = spread(raw.select(F.col("account_id").cast("long"), F.col("message_id").cast("string"), "content"))
+    src = raw.select(F.col("account_id").cast("long"), F.col("message_id").cast("string"), "content")
+    if min_partitions:
+        src = spread(src, min_partitions)
     return src.mapInPandas(_parse_batches, PARSED_SCHEMA)
 
 
