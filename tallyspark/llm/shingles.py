@@ -59,8 +59,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     while at < len(data):
         end = min(len(data), at + CHUNK)
         while end < len(data) and not (_white[data[end]] or breaks[end]):
-            step = np.flatnonzero(_white[data[end:end + 4096]] | breaks[end:end + 4096])
-            end += int(step[0]) if len(step) else min(4096, len(data) - end)
+            ahead = data[end:end + 4096]
+            step = np.flatnonzero(_white[ahead] | breaks[end:end + len(ahead)])
+            end += int(step[0]) if len(step) else len(ahead)
         block = data[at:end]
         inside = ~_white[block]
         first = inside.copy()
