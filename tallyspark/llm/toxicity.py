@@ -106,6 +106,17 @@ def _candidates(words: set[str]) -> set[str]:
     return out
 
 
+def _tables(tox: Counter, clean: Counter) -> Iterator[pd.DataFrame]:
+    """Counters as frames of bounded length."""
+    for which, name in ((tox, "t"), (clean, "c")):
+        terms = list(which.items())
+        for at in range(0, len(terms), 20_000):
+            part = terms[at:at + 20_000]
+            got = pd.DataFrame({"term": pd.Series([k for k, _ in part], dtype=object), "t": 0, "c": 0})
+            got[name] = [v for _, v in part]
+            yield got
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Ridge logistic regression by Newton steps (first column: intercept).
     Weights of hits stay non-negative."""
@@ -138,9 +149,7 @@ def fit(train: DataFrame, label: str = "toxic", exceptions: tuple[str, ...] = ()
                 docs[y] += 1
                 (tox if y else clean).update(_candidates(set(fold(text))))
         yield pd.DataFrame({"term": [""], "t": [docs[1]], "c": [docs[0]]})
-        yield pd.DataFrame({"term": list(tox), "t": list(tox.values()), "c": 0})
-        # terms never seen in a toxic text of any partition are dropped by the sum below
-        yield pd.DataFrame({"term": list(clean), "t": 0, "c": list(clean.values())})
+        yield from _tables(tox, clean)
 
     counts = rows.select("text", "y").mapInPandas(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counts = written(counts, "toxic-terms")
@@ -177,8 +186,7 @@ def fit(train: DataFrame, label: str = "toxic", exceptions: tuple[str, ...] = ()
                     if hits(auto, [w]):
                         near = {" ".join(words[max(0, k - 1):k + 1]), " ".join(words[k:k + 2])} - {w}
                         (tox if y else clean).update(near)
-        yield pd.DataFrame({"term": list(tox), "t": list(tox.values()), "c": 0})
-        yield pd.DataFrame({"term": list(clean), "t": 0, "c": list(clean.values())})
+        yield from _tables(tox, clean)
 
     if weights:
         learnt = (rows.select("text", "y").mapInPandas(contexts, "term string, t long, c long").groupBy("term")
