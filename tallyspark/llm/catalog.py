@@ -1,4 +1,4 @@
 """Imports every query module of this subpackage."""
 
-from . import q_langid, q_linedup, q_mixing, q_packing, q_pq, q_setsketch, q_toxicity  # noqa: F401
+from . import q_chat, q_iblt, q_langid, q_linedup, q_mixing, q_packing, q_pq, q_setsketch, q_toxicity  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
