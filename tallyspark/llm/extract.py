@@ -276,7 +276,7 @@ def compose(rng: np.random.Generator, article: list[Block], others: list[Block],
     inside = rng.random() < 0.5
     for k, b in enumerate(article):
         leaf = ("h1",) if k == 0 and rng.random() < 0.7 else LEAVES[rng.integers(len(LEAVES))] if rng.random() < 0.3 else ("p",)
-        page.append(Block(b.text[:int(rng.integers(8, 60))] if leaf[-1] in ("h2", "li", "td") and rng.random() < 0.7 else b.text, container + leaf, b.linked))
+        page.append(Block(b.text[:int(rng.integers(8, 60))] if leaf[-1:] in (("h2",), ("li",), ("td",)) and rng.random() < 0.7 else b.text, container + leaf, b.linked))
         y.append(1)
         if inside and others and rng.random() < 0.06:
             o = others[rng.integers(len(others))]
