@@ -17,6 +17,10 @@ INSTANT_FORMATS = [
     "d MMM yyyy HH:mm:ss xx",
     "d MMM yyyy HH:mm:ss z",
     "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "d MMM yyyy HH:mm xx",
+    "yyyy-MM-dd HH:mm:ss xx",
+    "yyyy-MM-dd HH:mm:ssXXX",
+    "d MMM yy HH:mm:ss xx",
 ]
 # Formats tried in order on the header with the zone cut off (wall time).
 WALL_FORMATS = [
@@ -25,9 +29,14 @@ WALL_FORMATS = [
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd",
+    "d MMM yy HH:mm:ss",
 ]
 
 
+# A zone at the end of a header: an offset (after a blank or a time) or a name.
+ZONE = r"\s+(?:[+-]\d{2}:?\d{2}|[A-Za-z]{1,5})$|(?<=:\d{2})(?:[+-]\d{2}:?\d{2}|Z)$"
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -40,7 +49,7 @@ def clean_header(date_header) -> Column:
 
 
 def _wall_part(clean: Column) -> Column:
-    return F.trim(F.regexp_replace(clean, r"\s+(?:[+-]\d{2}:?\d{2}|[A-Za-z]{1,5})$", ""))
+    return F.trim(F.regexp_replace(clean, ZONE, ""))
 
 
 def parse_event_ts(date_header) -> Column:
@@ -48,8 +57,8 @@ def parse_event_ts(date_header) -> Column:
     c = clean_header(date_header)
     inst = [F.try_to_timestamp(c, F.lit(f)) for f in INSTANT_FORMATS]
     wall = [F.try_to_timestamp(_wall_part(c), F.lit(f)) for f in WALL_FORMATS]
-    # A header without any zone is read as UTC.
-    return F.coalesce(*inst, *wall)
+    # A header without any zone is read as UTC; one with a zone that no format reads is NULL.
+    return F.coalesce(*inst, F.when(~c.rlike(ZONE), F.coalesce(*wall)))
 
 
 def parse_local_ts(date_header) -> Column:
@@ -65,7 +74,8 @@ def with_parsed_dates(df, date_col: str = "date"):
     helper columns so the generated code stays small."""
     tmp = df.withColumn("_hdr", clean_header(date_col)).withColumn("_wall", _wall_part(F.col("_hdr")))
     wall = F.coalesce(*[F.try_to_timestamp(F.col("_wall"), F.lit(f)) for f in WALL_FORMATS])
-    inst = F.coalesce(*[F.try_to_timestamp(F.col("_hdr"), F.lit(f)) for f in INSTANT_FORMATS], wall)
+    inst = F.coalesce(*[F.try_to_timestamp(F.col("_hdr"), F.lit(f)) for f in INSTANT_FORMATS],
+                      F.when(F.col("_hdr") == F.col("_wall"), wall))
     return (tmp.withColumn("local_ts", wall.cast("timestamp_ntz"))
             .withColumn("event_ts", F.when(F.col("local_ts").isNotNull(), inst))
             .withColumn("local_ts", F.when(F.col("event_ts").isNotNull(), F.col("local_ts")))

@@ -44,10 +44,6 @@ def has_key(v: Column, k: str) -> Column:
     return _key(v, k).isNotNull()
 
 
-def is_json_null(v: Column, k: str) -> Column:
-    return F.coalesce(F.is_variant_null(_key(v, k)), F.lit(False))
-
-
 def _type(v: Column, k: str) -> Column:
     return F.schema_of_variant(_key(v, k))
 
@@ -83,7 +79,7 @@ def model_amount(v: Column) -> Column:
     nval = F.try_variant_get(v, "$.amount", "decimal(38,2)")
     nval = F.when(nval != 0, nval)
     return (F.when(is_str & (s != ""), sval)
-            .when(is_num, nval)).cast("DECIMAL(38,2)")
+            .when(is_num, nval)).try_cast("DECIMAL(38,2)")
 
 
 def model_truthy_bool(v: Column, k: str) -> Column:
@@ -119,11 +115,13 @@ def model_analysis(model_output, subject, body, v: Column | None = None) -> Colu
     conf = F.when(has_key(v, "confidence"), F.try_variant_get(v, "$.confidence", "int")) \
         .otherwise(F.lit(R.MODEL_DEFAULT_CONFIDENCE))
     out = F.struct(
-        amount.cast(MONEY).alias("amount"),
+        amount.try_cast(MONEY).alias("amount"),   # a number beyond MONEY is no amount
         _text_or_default(v, "category", R.MODEL_DEFAULT_CATEGORY).alias("category"),
         _text_or_default(v, "vendor", R.UNKNOWN_VENDOR).alias("merchant_name"),
         conf.alias("confidence"),
-        F.coalesce(F.try_variant_get(v, "$.is_subscription", "boolean"), F.lit(False)).alias("is_subscription"),
+        # only a real JSON boolean counts; the text "true" does not
+        F.coalesce(F.when(_type(v, "is_subscription") == "BOOLEAN", F.try_variant_get(v, "$.is_subscription", "boolean")),
+                   F.lit(False)).alias("is_subscription"),
         F.try_variant_get(v, "$.subscription_type", "string").alias("subscription_type"),
         F.try_variant_get(v, "$.billing_cycle", "string").alias("billing_cycle"),
         _text_or_default(v, "service_logo", R.DEFAULT_ICON).alias("service_logo"),

@@ -6,6 +6,8 @@ expressions (no Python UDF), so they stay inside whole-stage codegen.
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,29 +27,46 @@ def strip_unicode(col) -> Column:
     return F.regexp_replace(_c(col), _U + r"^\s+|\s+$", "")
 
 
-# The five named entities decoded after tags are removed, and the
-# character that replaces a removed tag.
-HTML_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                 ("&#39;", "'"), ("&amp;", "&")]
+# Named character references decoded after tags are removed
+# (those of Latin-1 and of common punctuation).
+NAMED = ("nbsp lt gt quot apos iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr deg plusmn sup2 "
+         "sup3 acute micro para middot cedil sup1 ordm raquo frac14 frac12 frac34 iquest times divide euro hellip ndash mdash "
+         "lsquo rsquo sbquo ldquo rdquo bdquo bull trade amp").split()
+HTML_ENTITIES = [(f"&{n};", " " if n == "nbsp" else html.entities.html5[n + ";"]) for n in NAMED]
+_NUMBERED = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+_PIECES = r"(?s)(" + _NUMBERED + r"|&[A-Za-z][A-Za-z0-9]{1,7};|&|[^&]+)"
+
+
+def decode_references(col) -> Column:
+    """Decode named (``HTML_ENTITIES``) and numbered character references
+    (``&#8377;``, ``&#x20B9;``) in one pass, so that nothing is decoded twice;
+    unknown names and numbers of no valid character stay as they are."""
+    names = F.create_map(*[F.lit(v) for pair in HTML_ENTITIES for v in pair])
+
+    def one(p: Column) -> Column:
+        digits = F.regexp_replace(p, "[&#xX;]", "")
+        code = F.when(p.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        ok = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        number = F.when(ok, F.decode(F.unhex(F.lpad(F.hex(F.when(ok, code).otherwise(63)), 8, "0")), "UTF-32"))
+        return F.when(p.startswith("&#"), F.coalesce(number, p)).when(p.startswith("&"), F.coalesce(F.element_at(names, p), p)).otherwise(p)
+
+    return F.array_join(F.transform(F.regexp_extract_all(_c(col), F.lit(_PIECES), 1), one), "")
 
 
-def html_to_text(col, limit: int | None = 1200) -> Column:
+def html_to_text(col, limit: int | None = None) -> Column:
     """HTML -> readable text (operator B1).
 
     Script and style blocks and comments are dropped, every tag becomes a
-    blank, a small entity table is decoded, and white space is normalised the
-    way the reference's cleaner does it: lines are trimmed, runs of two or
-    more blanks split phrases, and all phrases are joined by one blank.  The
-    result is cut to ``limit`` characters.
+    blank, named and numbered character references are decoded, and runs of
+    blanks that span a line break or hold two or more blanks become one blank.
+    The whole text is kept unless a caller gives a ``limit``.
     """
     x = _c(col)
     x = F.regexp_replace(x, r"(?is)<script\b.*?</script\s*>", " ")
     x = F.regexp_replace(x, r"(?is)<style\b.*?</style\s*>", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
     x = F.regexp_replace(x, r"<[^>]*>", " ")
-    for ent, rep in HTML_ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(rep))
-    x = normalize_blanks(x)
+    x = normalize_blanks(decode_references(x))
     return F.left(x, F.lit(limit)) if limit else x
 
 

@@ -16,13 +16,13 @@ from .metrics import live, recurring_vs_onetime, yearly_cost
 
 KEYS = ("account_id",)
 
-# Message texts (ours).
+# One sentence per rule, stating what the rule found.
 MESSAGES = {
-    "top_category": "Consider reducing spending in {subject}: it is a large share of your expenses",
-    "small_transactions": "Many small transactions: consider a budget for daily expenses",
-    "trials": "You have {value} trial subscriptions: cancel before they convert to paid",
-    "weekend": "Weekend spending is much higher than weekday spending: consider a weekend budget",
-    "balanced": "Your spending patterns look balanced",
+    "top_category": "{subject} takes more than 30% of the total",
+    "small_transactions": "Over half of the payments are below 100",
+    "trials": "{value} entries of the ledger are trials",
+    "weekend": "The mean weekend payment exceeds the mean weekday payment by more than 50%",
+    "balanced": "No rule fired for this account",
 }
 
 

@@ -63,16 +63,21 @@ def merge_subscriptions(ledger: DataFrame, detected: DataFrame, keys=KEYS) -> Da
                            F.struct("detect_order", "id")).alias("_r"))
              .select(*keys, "_r.*"))
     new = _next_seq(ledger, first, [F.col("detect_order"), F.col("id")], keys)
-    return conform(ledger).unionByName(conform(new))
+    return unique_ids(conform(ledger).unionByName(conform(new)), keys)
 
 
 def unique_ids(ledger: DataFrame, keys=KEYS) -> DataFrame:
-    """The n-th repeat (in ``seq`` order) of an id within an account gets
-    the suffix ``_dup_n``."""
+    """Repeats (in ``seq`` order) of an id within an account get the
+    suffixes ``_dup_1``, ``_dup_2``, ... that no other id of the account has."""
     w = Window.partitionBy(*keys, "id").orderBy("seq")
-    r = F.row_number().over(w)
-    return ledger.withColumn("id", F.when(r > 1, F.concat(F.col("id"), F.lit("_dup_"), (r - 1).cast("string")))
-                             .otherwise(F.col("id")))
+    numbered = ledger.withColumn("_r", F.row_number().over(w) - 1)
+    suffix = r"^(?s)(.*)_dup_([0-9]{1,9})$"
+    taken = (ledger.where(F.col("id").rlike(suffix)).groupBy(*keys, F.regexp_extract("id", suffix, 1).alias("id"))
+             .agg(F.collect_set(F.regexp_extract("id", suffix, 2).cast("int")).alias("_taken")))
+    j = numbered.join(taken, [*keys, "id"], "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
+    free = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_r") + F.size("_taken"))), lambda n: ~F.array_contains(F.col("_taken"), n))
+    new = F.when(F.col("_r") > 0, F.concat(F.col("id"), F.lit("_dup_"), F.get(free, F.col("_r") - 1).cast("string"))).otherwise(F.col("id"))
+    return j.select(*[new.alias("id") if c == "id" else F.col(c) for c in ledger.columns])
 
 
 def _trial_fields(amount: Column, status: Column) -> tuple[Column, Column, Column]:
@@ -106,7 +111,7 @@ def ledger_add(ledger: DataFrame, adds: DataFrame, keys=KEYS) -> DataFrame:
         status.alias("status"), is_trial.alias("is_trial"), reason.alias("trial_reason"),
         F.lit(False).alias("auto_detected"))
     new = _next_seq(ledger, a, [F.col("add_seq")], keys)
-    return conform(ledger).unionByName(conform(new))
+    return unique_ids(conform(ledger).unionByName(conform(new)), keys)
 
 
 UPDATABLE = ("service_name", "amount", "billing_cycle", "category", "status", "start_date", "last_payment",
@@ -114,8 +119,8 @@ UPDATABLE = ("service_name", "amount", "billing_cycle", "category", "status", "s
 
 
 def ledger_update(ledger: DataFrame, edits: DataFrame, keys=KEYS) -> tuple[DataFrame, DataFrame]:
-    """Apply edits by id (a NULL field means 'not sent'; the last edit per
-    id by ``edit_seq`` wins).  Crossing the trial threshold flips trial and
+    """Apply edits by id (a NULL field means 'not sent'; per field the last
+    value sent by ``edit_seq`` wins).  Crossing the trial threshold flips trial and
     status and overrides a sent status; a changed name re-enriches icon,
     colour and category (overwriting a sent category).  Returns the updated
     ledger and the edits whose id is unknown."""
@@ -124,8 +129,8 @@ def ledger_update(ledger: DataFrame, edits: DataFrame, keys=KEYS) -> tuple[DataF
         if c not in e.columns:
             e = e.withColumn(c, F.lit(None))
     last = (e.groupBy(*keys, "id")
-            .agg(F.max_by(F.struct(*[F.col(c).alias(f"n_{c}") for c in UPDATABLE]), F.col("edit_seq")).alias("_n"))
-            .select(*keys, "id", "_n.*"))
+            # per field the last value that was sent
+            .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("edit_seq"))).alias(f"n_{c}") for c in UPDATABLE]))
     j = ledger.join(last, [*keys, "id"], "left")
     new_amt = F.col("n_amount").cast(MONEY)
     cur_trial = F.coalesce(F.col("is_trial"), F.lit(False))

@@ -58,7 +58,11 @@ def months_remaining(as_of=None) -> Column:
 
 def subscription_totals(subs: DataFrame, as_of=None, keys=KEYS) -> DataFrame:
     """H2/H3: monthly, yearly and rest-of-year totals over live subscriptions."""
-    t = live(subs).groupBy(*keys).agg(_monthly_sum().alias("total_monthly"))
+    # summed over all rows with the others blanked, so that an account without a
+    # live subscription keeps its row of zeros
+    alive = F.coalesce(F.col("status"), F.lit("Active")).isin("Active", "Trial")
+    t = (subs.withColumn("_amount", F.when(alive, F.col("amount"))).groupBy(*keys)
+         .agg(_monthly_sum("_amount").alias("total_monthly")))
     return t.select(*keys, "total_monthly", (F.col("total_monthly") * 12.0).alias("total_yearly"),
                     months_remaining(as_of).alias("months_remaining"),
                     (F.col("total_monthly") * months_remaining(as_of)).alias("remaining_year"))

@@ -43,9 +43,3 @@ def register(name: str, sql: str | None = None, headline: bool = False):
 def load_all() -> None:
     """Import every query module (each registers itself)."""
     from . import q_advise, q_clean, q_ingest, q_ledger, q_model, q_recur, q_spend, q_text  # noqa: F401
-    for mod in ("q_text", "q_model", "q_recur", "q_ledger", "q_advise", "q_ingest"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise

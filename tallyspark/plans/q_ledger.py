@@ -132,7 +132,8 @@ _MSUM = ("CAST(COALESCE(SUM(amount) FILTER (WHERE billing_cycle NOT IN ('Quarter
          "OR billing_cycle IS NULL), 0) AS DOUBLE) "
          "+ CAST(COALESCE(SUM(amount) FILTER (WHERE billing_cycle = 'Quarterly'), 0) AS DOUBLE) / 3.0 "
          "+ CAST(COALESCE(SUM(amount) FILTER (WHERE billing_cycle = 'Yearly'), 0) AS DOUBLE) / 12.0")
-_TOT = f"tot AS (SELECT account_id, {_MSUM} AS tm FROM v_subs WHERE {_LIVE} GROUP BY account_id)"
+_TOT = (f"tot AS (SELECT account_id, {_MSUM} AS tm FROM (SELECT account_id, billing_cycle, "
+        f"CASE WHEN {_LIVE} THEN amount END AS amount FROM v_subs) GROUP BY account_id)")
 
 
 @register("monthly_equivalent", SUBS + f"SELECT account_id, id, {_M} AS monthly_amount FROM v_subs")

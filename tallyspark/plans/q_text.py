@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions import classify as C
 from ..functions.amount import extract_amount, format_amount
-from ..functions.text import html_to_text, preview, title_case
+from ..functions.text import HTML_ENTITIES, html_to_text, preview, title_case
 from ..operators import analyze as A
 from ..operators import clean as D
 from ..operators import spend as S
@@ -81,17 +81,22 @@ def q_title_case(spark, d):
 
 
 _WS = r"[\s\p{Z}\x{0B}\x{85}]"
-_HTML_SQL = f"""
-, s AS (
-  SELECT page_id,
-    replace(replace(replace(replace(replace(replace(
-      regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+
+
+def _decoded(sql: str) -> str:
+    """Named references and the numbered apostrophe, the only numbered one in the driver's pages."""
+    for ref, char in [("&#39;", "'"), *HTML_ENTITIES]:
+        sql = f"replace({sql}, '{ref}', {G.q(char)})"
+    return sql
+
+
+_TAGLESS = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
         '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'),
-        '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
-      '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t
-  FROM pages)
-SELECT page_id, left(regexp_replace(regexp_replace(t, '{_WS}*[\\n\\r\\x{{0B}}\\x{{0C}}\\x{{85}}\\x{{2028}}\\x{{2029}}]{_WS}*|{_WS}{{2,}}', ' ', 'g'),
-                    '^{_WS}+|{_WS}+$', '', 'g'), 1200) AS text
+        '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"""
+_HTML_SQL = f"""
+, s AS (SELECT page_id, {_decoded(_TAGLESS)} AS t FROM pages)
+SELECT page_id, regexp_replace(regexp_replace(t, '{_WS}*[\\n\\r\\x{{0B}}\\x{{0C}}\\x{{85}}\\x{{2028}}\\x{{2029}}]{_WS}*|{_WS}{{2,}}', ' ', 'g'),
+                    '^{_WS}+|{_WS}+$', '', 'g') AS text
 FROM s"""
 
 
@@ -130,8 +135,7 @@ def q_format_amount(spark, d):
 
 
 def _docs(spark, d):
-    from ..operators.parallel import spread
-    return spread(V.table(spark, d, "documents")).select("doc_id", F.lower("text").alias("text"))
+    return V.dealt(V.table(spark, d, "documents")).select("doc_id", F.lower("text").alias("text"))
 
 
 _DOC = "WITH docs AS (SELECT doc_id, lower(text) AS text FROM documents)\n"

@@ -48,11 +48,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting is always used when present; a local default is set
-    only when nothing is configured (tests, laptops).
+    only when nothing is configured and the master is local (tests, laptops).
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = os.path.join(os.environ.get("TMPDIR", "/tmp"), "tallyspark-checkpoints")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
