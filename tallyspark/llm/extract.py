@@ -303,12 +303,16 @@ def train(samples: list[str]) -> Labeller:
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     for step in range(1, STEPS + 1):
         pages, ys = [], []
-        for _ in range(BATCH):
-            if given and rng.random() < 0.4:
+        long = step % 8 == 0      # now and then a few long pages, so that the state holds over many blocks
+        for _ in range(3 if long else BATCH):
+            if long:
+                a = articles[rng.integers(len(articles))]
+                b, y = compose(rng, a * (int(rng.integers(150, 450)) // len(a) + 1), others, (("html", "body"), ())[rng.integers(2)])
+            elif given and rng.random() < 0.4:
                 b, y = given[rng.integers(len(given))]
                 b, y = b[:90], y[:90]
             else:
-                b, y = compose(rng, articles[rng.integers(len(articles))], others, ("html", "body") + ((), ("div", ".page"), ("div", ".wrapper"))[rng.integers(3)])
+                b, y = compose(rng, articles[rng.integers(len(articles))], others, (("html", "body"), ("html", "body", "div", ".page"), ("html", "body", "div", ".wrapper"), ())[rng.integers(4)])
             pages.append(b)
             ys.append(np.array(y, np.float32))
         x, mask = pad(vectors(pages))

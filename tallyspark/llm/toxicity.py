@@ -11,6 +11,7 @@ drawn by hash; scoring reads every whole text.
 """
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +31,8 @@ MIN_PREFIX, MAX_PREFIX = 4, 8
 # characters commonly put for letters.
 HOMOGLYPHS = ("а a  е e  о o  р p  с c  у y  х x  і i  ј j  ѕ s  ԁ d  һ h  ӏ l  к k  м m  т t  в b  н h  г r  п n  "
               "α a  ε e  ο o  ρ p  τ t  υ u  ι i  κ k  ν v  η n  χ x  γ y  ω w  ß s  ł l  ø o  đ d  ħ h  ı i  æ a  œ o")
-SUBSTITUTES = "0 o  1 i  3 e  4 a  5 s  7 t  8 b  9 g  @ a  $ s  ! i  | l  € e  £ l"
+SUBSTITUTES = "0 o  1 i  3 e  4 a  5 s  7 t  8 b  9 g  € e  £ l"
+SIGNS = {"@": "a", "$": "s"}     # stand for letters only right before a letter
 
 
 def _fold_table() -> dict[int, str | None]:
@@ -50,9 +52,15 @@ def _fold_table() -> dict[int, str | None]:
 _TABLE = _fold_table()
 
 
+_SIGN = re.compile(r"[@$](?=[^\W\d_])")
+
+
 def fold(text: str | None) -> list[str]:
     """Folded words of a text."""
-    return (text or "").translate(_TABLE).split()
+    text = text or ""
+    if "@" in text or "$" in text:
+        text = _SIGN.sub(lambda m: SIGNS[m.group()], text)
+    return text.translate(_TABLE).split()
 
 
 @dataclass
@@ -159,9 +167,10 @@ def fit(train: DataFrame, label: str = "toxic", exceptions: tuple[str, ...] = ()
         return Lexicon({}, list(exceptions))
     least = max(3, math.ceil(0.02 * nt))
     weight = F.log((F.col("t") + 0.5) / (nt + 1.0)) - F.log((F.col("c") + 0.5) / (nc + 1.0))
-    z = weight / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    p, n = nt / (nt + nc), F.col("t") + F.col("c")
+    z = (F.col("t") - n * p) / F.sqrt(n * p * (1 - p))      # against the share of toxic texts
     best = (counts.where((F.col("term") != "") & (F.col("t") >= least)).withColumn("w", weight).withColumn("z", z)
-            .where("w >= 1.5 and z >= 4").orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect())
+            .where("w >= 1.5 and z >= 6").orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect())
     have = {r["term"]: r for r in best}
     weights = {}
     for term, r in have.items():
