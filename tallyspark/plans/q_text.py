@@ -219,9 +219,14 @@ def q_rules_analysis(spark, d):
 
 
 def messages_to_clean_transactions(spark, d):
-    """Flagship pipeline body: messages -> rules analysis -> D1-D4."""
+    """Flagship pipeline body: messages -> rules analysis -> D1-D4.  The analysed
+    transactions are written once: cleaning filters pushed below the analysis
+    would evaluate it again."""
+    from ..session import scratch_path
     t = A.analyze_messages(_msgs(spark, d), mode="rules")
-    return D.clean_transactions(t, "amount", "date")
+    path = scratch_path(spark, "transactions")
+    t.write.parquet(path)
+    return D.clean_transactions(spark.read.schema(t.schema).parquet(path), "amount", "date")
 
 
 @register("messages_by_category", MR + f"""
