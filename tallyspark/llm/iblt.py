@@ -145,18 +145,16 @@ def differences(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b") ->
         parts = max(1, -(-n // (ROWS_PER_PARTITION // 8)))
 
 
-def fingerprint(keys: Column, m: int = BASE_CELLS) -> Column:
-    """Text form of the table of 3 x ``m`` cells of an array of digests: per
-    cell count, xor of digests and xor of checks in hexadecimal."""
-    entries = table_of(keys, F.lit(m))
-    def cell(i: Column) -> Column:
-        mine = F.filter(entries, lambda e: e["cell"] == i)
-        c = F.lpad(F.lower(F.hex(F.size(mine))), 2, "0")
-        k = F.aggregate(mine, F.lit(0), lambda s, e: s.bitwiseXOR(e["k"]))
-        x = F.aggregate(mine, F.lit(0), lambda s, e: s.bitwiseXOR(e["x"]))
-        word = lambda v: F.lpad(F.lower(F.hex(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
-        return F.concat(c, word(k), word(x))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3 * m - 1)), cell), ".")
+def fingerprint(entries: Column, m: int = BASE_CELLS) -> Column:
+    """Text form of a table of 3 x ``m`` cells from its entries (a column of
+    ``table_of``): per cell count, xor of digests and xor of checks in
+    hexadecimal.  The entries should be a column of their own, so that they
+    are made once and not once per cell."""
+    word = lambda v: F.lpad(F.lower(F.hex(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
+    xor = lambda mine, f: F.aggregate(mine, F.lit(0), lambda s, e: s.bitwiseXOR(e[f]))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(3 * m - 1)), lambda i: F.filter(entries, lambda e: e["cell"] == i))
+    return F.array_join(F.transform(cells, lambda mine: F.concat(
+        F.lpad(F.lower(F.hex(F.size(mine))), 2, "0"), word(xor(mine, "k")), word(xor(mine, "x")))), ".")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,7 +181,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         both = F.size("a") + F.size(x)
         return F.when(both == 0, F.lit(1.0)).otherwise((both - F.col(diff)) / (both + F.col(diff)))
 
-    sizes = rows.select("block", "row", "id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"),
-                        fingerprint(F.col("e")).alias("edited_fingerprint"), "a", "e", "n").join(d, ["block", "row"])
+    m = F.lit(BASE_CELLS)
+    tables = rows.withColumn("ta", table_of(F.col("a"), m)).withColumn("te", table_of(F.col("e"), m))
+    sizes = tables.select("block", "row", "id", "n_chars", "edited_sha256", fingerprint(F.col("ta")).alias("fingerprint"),
+                          fingerprint(F.col("te")).alias("edited_fingerprint"), "a", "e", "n").join(d, ["block", "row"])
     return sizes.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                         near("e", "de").alias("near_edited"), near("n", "dn").alias("near_next"))
