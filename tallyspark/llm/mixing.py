@@ -54,7 +54,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
 def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     """Target shares proportional to a power of the token counts."""
     one = cells.groupBy(dim).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("p"))
-    return one.crossJoin(F.broadcast(one.agg(F.sum("p").alias("all")))).select(F.col(dim).alias("value"), (F.col("p") / F.col("all")).alias("share"))
+    total = one.agg(F.sum("p")).first()[0] or 1.0
+    return one.select(F.col(dim).alias("value"), (F.col("p") / F.lit(total)).alias("share"))
 
 
 def mix(docs: DataFrame, rate: float = 0.8, powers: tuple[float, float, float] = (0.7, 0.8, 0.9), targets: dict[str, DataFrame] | None = None,
