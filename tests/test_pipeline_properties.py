@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from tallyspark.plans import catalog  # noqa: E402
 from tallyspark.operators import spend as S  # noqa: E402
 from tallyspark.plans import standins as V  # noqa: E402
 from tallyspark.sources import mail as MAIL  # noqa: E402
@@ -30,9 +30,12 @@ def test_every_query_has_oracle_or_reason():
     assert len(qs) >= 80
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+catalog.load_all()
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_runs_on_smallest_tables(spark, name):
-    df = E.queries()[name](spark, SF)
+    df = catalog.QUERIES[name](spark, SF)
     df.limit(5).collect()
 
 
