@@ -183,7 +183,8 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
         links = forest(sets, regs, percent)
         return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]})
 
-    return rows.groupBy("cluster", "part").applyInPandas(run, "a binary, b binary")
+    # one key, so that rows already dealt by cluster are dealt anew, block by block
+    return rows.groupBy(F.struct("cluster", "part").alias("block")).applyInPandas(run, "a binary, b binary")
 
 
 def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
