@@ -58,10 +58,12 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 6, min_words: int = 3,
     lines = written(flat.where("norm <> ''").select("id", "row_hash", "site", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2")), "lines")
     bad = written(boilerplate(lines, min_sites), "boilerplate")
     hit = lines.join(bad, ["h1", "h2"]).where(~F.struct(*KEY).eqNullSafe(F.col("first")))
-    gone = hit.groupBy(*KEY).agg(F.sort_array(F.collect_set("pos")).alias("__gone"))
+    gone = hit.groupBy(*KEY).agg(F.collect_set("pos").alias("__gone"))
     got = rows.join(gone, rows[id_col].eqNullSafe(gone["id"]) & rows["__row_hash"].eqNullSafe(gone["row_hash"]), "left").select(*[rows[c] for c in names], "__gone")
     pieces = _lines(F.col("text"))
-    kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    # the lines are split once (bound by the outer lambda) and the positions left are found by hashing
+    kept = F.array_join(F.get(F.transform(F.array(pieces), lambda p: F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("__gone")), lambda i: F.get(p, i))), F.lit(0)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     got = got.withColumn("__new", text)
     out = [F.col("__new").alias("text") if c == "text" else
