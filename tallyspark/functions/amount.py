@@ -61,12 +61,6 @@ def extract_amount(text, strict: bool = False) -> Column:
     return F.coalesce(*cands)
 
 
-def amount_value(amount_text) -> Column:
-    """Amount text -> DECIMAL(18,2), NULL when not a number."""
-    t = F.col(amount_text) if isinstance(amount_text, str) else amount_text
-    return t.try_cast(MONEY)
-
-
 def clean_amount(amount_text) -> Column:
     """Transaction amount text -> number.
 
@@ -97,12 +91,6 @@ def format_amount(amount, symbol: str = "₹") -> Column:
             .otherwise(F.concat(F.lit(symbol), F.format_number(a, 0))))
 
 
-def format_money(amount, symbol: str = "₹") -> Column:
-    """Two-decimal grouped display used in summaries."""
-    a = (F.col(amount) if isinstance(amount, str) else amount).cast("double")
-    return F.concat(F.lit(symbol), F.format_number(a, 2))
-
-
 def low_amount_reason(amount) -> Column:
     """'Low amount (₹x.xx)' text used for trial reasons."""
     a = F.col(amount) if isinstance(amount, str) else amount

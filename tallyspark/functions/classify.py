@@ -240,8 +240,14 @@ def service_lookup(description) -> Column:
 
 def service_enrich(service_name) -> Column:
     """Manual-subscription enrichment (F9): struct ``(category, logo, color)``
-    from the first contained needle, else the first word rung, else other."""
-    low = strip_unicode(F.lower(_c(service_name)))
+    from the first contained needle, else the first word rung, else other.
+
+    The normalised name is made once per row: it is the variable of a lambda
+    over a list of one, which the optimizer cannot inline into every rung."""
+    return F.get(F.transform(F.array(strip_unicode(F.lower(_c(service_name)))), _enrich), F.lit(0))
+
+
+def _enrich(low: Column) -> Column:
     arr = F.array(*[F.struct(F.lit(n).alias("needle"), F.lit(cat).alias("category"), F.lit(logo).alias("logo"),
                              F.lit(col).alias("color"))
                     for n, cat, logo, col in R.ENRICH_RULES])

@@ -12,14 +12,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import classify as C
 from ..functions.amount import extract_amount
 from ..functions.model import model_analysis, parse_model_json
-from ..functions.text import html_to_text, preview, title_case, truncate
+from ..functions.text import html_to_text, preview, strip_unicode, title_case, truncate
 
 KEYS = ("account_id",)
 
@@ -32,6 +32,14 @@ def _preset_color(category_lower: Column) -> Column:
     return expr
 
 
+def palette_color(category_lower: Column) -> Column:
+    """Palette colour of a category without one of its own, chosen by a hash of
+    the name: the same in every account, whatever other categories exist."""
+    pal = F.array(*[F.lit(c) for c in R.PALETTE])
+    h = F.conv(F.substring(F.md5(category_lower), 1, 7), 16, 10).cast("int")
+    return F.get(pal, h % len(R.PALETTE))
+
+
 ANALYSIS_FIELDS = ["amount", "category", "merchant_name", "color", "confidence", "is_subscription",
                    "subscription_type", "billing_cycle", "service_logo", "is_trial"]
 
@@ -67,7 +75,7 @@ def with_rules_analysis(df: DataFrame, subject: str = "subject", body: str = "bo
     vcat = F.col("_vcat")
     cat_lower = F.coalesce(vcat, C.category_label(F.col("_best")))
     color = F.coalesce(_preset_color(cat_lower), F.when(score > 0, F.col("_best.color")),
-                       C.vendor_category_color(vcat))
+                       C.vendor_category_color(vcat), palette_color(cat_lower))
     amount = F.col("_amount")
     trial = C.flag_trial(text, amount.try_cast("decimal(18,2)"), R.TRIAL_WORDS_RULES)
     fields = {
@@ -90,7 +98,7 @@ def with_rules_analysis(df: DataFrame, subject: str = "subject", body: str = "bo
 def _model_fields(m: Column) -> dict:
     return {
         "amount": m["amount"].cast("string"), "category": m["category"], "merchant_name": m["merchant_name"],
-        "color": _preset_color(F.lower(m["category"])), "confidence": m["confidence"],
+        "color": F.coalesce(_preset_color(F.lower(m["category"])), palette_color(F.lower(m["category"]))), "confidence": m["confidence"],
         "is_subscription": m["is_subscription"], "subscription_type": m["subscription_type"],
         "billing_cycle": m["billing_cycle"], "service_logo": m["service_logo"], "is_trial": m["is_trial"]}
 
@@ -158,26 +166,23 @@ def score_hook(messages: DataFrame, scorer: Callable, mode: str = "model") -> Da
 
 def category_colors(txns: DataFrame, keys=KEYS) -> DataFrame:
     """One colour per (account, category): the preset colour of a known
-    name, else a palette colour by the category's rank among the account's
-    categories (deterministic, unlike arrival order).  Built on the distinct
-    categories only, so the window sees one row per category."""
+    name, else the palette colour of its name."""
     cats = txns.select(*keys, F.lower("category").alias("category_key")).distinct()
-    w = Window.partitionBy(*keys).orderBy("category_key")
-    pal = F.array(*[F.lit(c) for c in R.PALETTE])
-    ranked = cats.withColumn("r", F.dense_rank().over(w))
-    preset = _preset_color(F.col("category_key"))
-    return ranked.select(*keys, "category_key",
-                         F.coalesce(preset, F.get(pal, ((F.col("r") - 1) % len(R.PALETTE)).cast("int")))
-                         .alias("color"))
+    key = F.col("category_key")
+    return cats.select(*keys, "category_key", F.coalesce(_preset_color(key), palette_color(key)).alias("color"))
 
 
 def vendor_dim(txns: DataFrame, keys=KEYS) -> DataFrame:
     """First-seen attributes per vendor key (lower-cased, trimmed
-    merchant name); "first" is the earliest (event_ts, message_id)."""
-    k = F.lower(F.trim("merchant_name"))
-    first = F.min_by(F.struct("merchant_name", "category", "is_subscription", "is_trial"),
-                     F.struct("event_ts", "message_id"))
-    return (txns.groupBy(*keys, k.alias("vendor_key")).agg(first.alias("f"))
-            .select(*keys, "vendor_key", F.col("f.merchant_name").alias("display_name"),
-                    F.col("f.category").alias("category"), F.col("f.is_subscription").alias("is_subscription"),
-                    F.col("f.is_trial").alias("is_trial")))
+    merchant name); "first" is the earliest (event_ts, message_id).  Without a
+    colour of its own a vendor has its category's."""
+    k = strip_unicode(F.lower("merchant_name"))
+    attrs = ("merchant_name", "category", "color", "is_subscription", "subscription_type", "service_logo", "is_trial")
+    absent = [c for c in attrs if c not in txns.columns]
+    rows = txns.withColumns({c: F.lit(None).cast("string") for c in absent}) if absent else txns
+    first = F.min_by(F.struct(*attrs), F.struct("event_ts", "message_id"))
+    name = F.lower("f.category")
+    return (rows.groupBy(*keys, k.alias("vendor_key")).agg(first.alias("f"))
+            .select(*keys, "vendor_key", F.col("f.merchant_name").alias("display_name"), "f.category",
+                    F.coalesce("f.color", _preset_color(name), palette_color(name)).alias("color"), "f.is_subscription",
+                    "f.subscription_type", "f.service_logo", "f.is_trial"))

@@ -74,11 +74,15 @@ def facet_filter(df: DataFrame, categories=None, banks=None, amount_range=None)
 
 
 def facet_domains(df: DataFrame, keys=KEYS) -> DataFrame:
-    """Per account the sorted distinct categories and banks and the amount
-    range.  The distinct sets are built with partial aggregation."""
-    return df.groupBy(*keys).agg(
-        F.array_sort(F.collect_set("category")).alias("categories"),
-        F.array_sort(F.collect_set("bank")).alias("banks"),
+    """The choices of each filter, one row each: (account, facet, value) with
+    facet 'category' or 'bank' and the amount range of its charges, and one row
+    with facet 'amount' and the range of the whole account.  Rows instead of
+    lists, so an account may have any number of values."""
+    facet = F.explode(F.array(F.struct(F.lit("category").alias("facet"), F.col("category").alias("value")),
+                              F.struct(F.lit("bank").alias("facet"), F.col("bank").alias("value")),
+                              F.struct(F.lit("amount").alias("facet"), F.lit(None).cast("string").alias("value"))))
+    rows = df.select(*keys, "amount_numeric", facet.alias("f")).filter((F.col("f.facet") == "amount") | F.col("f.value").isNotNull())
+    return rows.groupBy(*keys, F.col("f.facet").alias("facet"), F.col("f.value").alias("value")).agg(
         F.min("amount_numeric").cast("double").alias("min_amount"),
         F.max("amount_numeric").cast("double").alias("max_amount"),
     )

@@ -24,7 +24,7 @@ LEDGER_COLUMNS = ["account_id", "id", "seq", "service_name", "service_logo", "am
                   "start_date", "last_payment", "category", "brand_color", "bank", "transaction_count", "status",
                   "auto_detected", "original_description", "confidence_score", "subscription_type", "is_trial",
                   "trial_reason"]
-_TYPES = {"account_id": "long", "id": "string", "seq": "long", "service_name": "string", "service_logo": "string",
+_TYPES = {"account_id": "string", "id": "string", "seq": "long", "service_name": "string", "service_logo": "string",
           "amount": MONEY, "billing_cycle": "string", "start_date": "date", "last_payment": "date",
           "category": "string", "brand_color": "string", "bank": "string", "transaction_count": "long",
           "status": "string", "auto_detected": "boolean", "original_description": "string",
@@ -34,11 +34,12 @@ _TYPES = {"account_id": "long", "id": "string", "seq": "long", "service_name": "
 
 def conform(df: DataFrame) -> DataFrame:
     """Project any subscription-shaped frame onto the ledger schema (absent
-    columns become NULL, i.e. 'key absent')."""
+    columns become NULL, i.e. 'key absent').  Accounts keep their type."""
     cols = []
     for c in LEDGER_COLUMNS:
         src = F.col(c) if c in df.columns else F.lit(None)
-        cols.append(src.cast(_TYPES[c]).alias(c))
+        kind = df.schema[c].dataType if c == "account_id" and c in df.columns else _TYPES[c]
+        cols.append(src.cast(kind).alias(c))
     return df.select(*cols)
 
 

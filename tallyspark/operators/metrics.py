@@ -8,8 +8,6 @@ parameter wherever the reference reads the clock.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,7 +151,3 @@ def recurring_vs_onetime(txns: DataFrame, subs: DataFrame, as_of=None, keys=KEYS
     return j.select(*keys, sub.alias("subscription_monthly"), spend.alias("monthly_spend"),
                     F.greatest(spend - sub, F.lit(0.0)).alias("one_time_monthly"),
                     F.when(sub > 0, F.try_divide(sub, spend) * 100.0).alias("subscription_ratio_pct"))
-
-
-def default_as_of() -> _dt.date:
-    return _dt.date.today()

@@ -1,6 +1,6 @@
 """Recurring-charge detection (operators F1-F9).
 
-One hash aggregate per path, keyed by ``(account_id, key, amount)``: partial
+One aggregate keyed by ``(account_id, path, key, amount)``: partial
 aggregation on the map side means a merchant with millions of charges costs
 one small row per task before the shuffle.  "First" attributes are the
 earliest ``(event_ts, message_id)`` with a non-NULL value (``min_by`` with a
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions.classify import recurrence_trial, service_lookup
 from ..functions.text import strip_unicode, title_case
+from ..session import scratch_path
 
 KEYS = ("account_id",)
 DAY_MICROS = 86_400_000_000
@@ -61,36 +62,44 @@ def subscription_id(prefix: str, name: Column, amount: Column, extra: Column) ->
     return F.concat_ws("_", F.lit(prefix), clean, h)
 
 
-def group_charges(txns: DataFrame, key: Column, keys=KEYS, attrs=()) -> DataFrame:
-    """Aggregate charges per (account, key, amount) with count, first and
-    last instants, the local dates of the first and last charge, and the
-    first non-NULL value of each attribute."""
-    order = F.struct("event_ts", "message_id")
-    t = txns.withColumn("_key", key).filter(F.col("_key").isNotNull() & F.col("amount_numeric").isNotNull())
-    aggs = [F.count("event_ts").alias("transaction_count"),
-            F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"),
-            F.min_by("local_ts", order).alias("first_local"), F.max_by("local_ts", order).alias("last_local")]
-    aggs += [_first(a, order).alias(a) for a in attrs]
-    return t.groupBy(*keys, F.col("_key").alias("group_key"), "amount_numeric").agg(*aggs)
+ATTRS = ("merchant_name", "category", "bank", "subscription_type", "billing_cycle", "service_logo", "color",
+         "is_trial", "subject")
 
 
-FLAGGED_ATTRS = ("merchant_name", "category", "bank", "subscription_type", "billing_cycle", "service_logo",
-                 "color", "is_trial", "subject")
+def _flagged() -> Column:
+    return F.coalesce(F.col("is_subscription"), F.lit(False))
 
 
-def recurring_flagged(txns: DataFrame, keys=KEYS) -> DataFrame:
-    """groups of flagged charges by (lower-trim merchant, amount) with the
-    mean confidence; every group is kept (count >= 1)."""
-    key = strip_unicode(F.lower("merchant_name"))
+def _merchant_key() -> Column:
+    return strip_unicode(F.lower("merchant_name"))
+
+
+def _subject_key() -> Column:
+    return strip_unicode(F.lower("subject"))
+
+
+def _complete() -> Column:
+    return F.col("group_key").isNotNull() & F.col("amount_numeric").isNotNull()
+
+
+def group_charges(txns: DataFrame, *by: Column) -> DataFrame:
+    """Aggregate charges per key columns ``by`` with count, first and last
+    instants, the local dates of the first and last charge, the mean
+    confidence and the first non-NULL value of each attribute."""
     order = F.struct("event_ts", "message_id")
-    t = txns.filter(F.col("is_subscription") == F.lit(True))
-    t = t.withColumn("_key", key).filter(F.col("_key").isNotNull() & F.col("amount_numeric").isNotNull())
     aggs = [F.count("event_ts").alias("transaction_count"),
             F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"),
             F.min_by("local_ts", order).alias("first_local"), F.max_by("local_ts", order).alias("last_local"),
             F.avg("confidence").alias("confidence")]
-    aggs += [_first(a, order).alias(a) for a in FLAGGED_ATTRS]
-    return t.groupBy(*keys, F.col("_key").alias("merchant_key"), "amount_numeric").agg(*aggs)
+    return txns.groupBy(*by).agg(*aggs, *[_first(a, order).alias(a) for a in ATTRS])
+
+
+def recurring_flagged(txns: DataFrame, keys=KEYS) -> DataFrame:
+    """groups of flagged charges by (lower-trim merchant, amount) with the
+    mean confidence; every group is kept (count >= 1)."""
+    t = txns.filter(_flagged()).withColumn("group_key", _merchant_key()).filter(_complete())
+    g = group_charges(t, *keys, F.col("group_key"), F.col("amount_numeric"))
+    return g.withColumnRenamed("group_key", "merchant_key")
 
 
 def _assemble_flagged(g: DataFrame, keys=KEYS) -> DataFrame:
@@ -124,23 +133,25 @@ def _assemble_flagged(g: DataFrame, keys=KEYS) -> DataFrame:
         F.col("_t.subscription_type").alias("subscription_type"),
         F.col("_t.is_trial").alias("is_trial"),
         F.col("_t.trial_reason").alias("trial_reason"),
-        F.struct(F.lit(0).alias("path"), F.col("merchant_key").alias("key"),
+        F.struct(F.lit(0).alias("path"), F.col("group_key").alias("key"),
                  F.col("amount_numeric").alias("amount")).alias("detect_order"),
     )
 
 
 def detect_flagged(txns: DataFrame, keys=KEYS) -> DataFrame:
-    return _assemble_flagged(recurring_flagged(txns, keys), keys)
-
-
-PATTERN_ATTRS = ("subject", "category", "bank", "merchant_name")
+    return _assemble_flagged(recurring_flagged(txns, keys).withColumnRenamed("merchant_key", "group_key"), keys)
 
 
 def recurring_pattern(txns: DataFrame, keys=KEYS) -> DataFrame:
     """groups by (lower-trim subject, amount) with at least two charges,
     a positive elapsed gap and a mean gap inside a band; name, category and
     confidence come from the service lookup of the subject (F8)."""
-    g = group_charges(txns, strip_unicode(F.lower("subject")), keys, PATTERN_ATTRS)
+    t = txns.withColumn("group_key", _subject_key()).filter(_complete())
+    return _assemble_pattern(group_charges(t, *keys, F.col("group_key"), F.col("amount_numeric")), keys)
+
+
+def _assemble_pattern(g: DataFrame, keys=KEYS) -> DataFrame:
+    """F7, F8 over groups by subject."""
     cnt = F.col("transaction_count")
     gap = elapsed_days("first_ts", "last_ts")
     band = cycle_band(F.try_divide(gap.cast("double"), (cnt - 1).cast("double")))
@@ -179,14 +190,24 @@ def detect_subscriptions(txns: DataFrame, keys=KEYS, mode: str = "compat") -> Da
 
     ``mode='both'`` runs the pattern path over the unflagged charges of every
     account as well (the reference switches it off for the whole account).
-    The flagged-account set is one row per account; the anti join against it
-    is broadcast by AQE when small and shuffled otherwise."""
-    flagged_rows = txns.filter(F.col("is_subscription") == F.lit(True))
-    if mode == "compat":
-        flagged_accounts = flagged_rows.select(*keys).distinct()
-        rest = txns.join(flagged_accounts, list(keys), "left_anti")
-    elif mode == "both":
-        rest = txns.filter(~F.coalesce(F.col("is_subscription"), F.lit(False)))
-    else:
+
+    The charges are read and shuffled once: flagged charges are grouped by
+    merchant, the others by subject, in one aggregate whose groups are written
+    once under the shared checkpoint folder.  What follows reads those groups;
+    the accounts with a flagged charge are one row each."""
+    if mode not in ("compat", "both"):
         raise ValueError(f"unknown mode {mode!r}")
-    return detect_flagged(flagged_rows, keys).unionByName(recurring_pattern(rest, keys))
+    t = txns.withColumn("flagged", _flagged())
+    t = t.withColumn("group_key", F.when(F.col("flagged"), _merchant_key()).otherwise(_subject_key()))
+    # a flagged charge without merchant or amount still makes its account a flagged one
+    t = t.filter(F.col("flagged") | _complete())
+    groups = group_charges(t, *keys, F.col("flagged"), F.col("group_key"), F.col("amount_numeric"))
+    path = scratch_path(txns.sparkSession, "charge-groups")
+    groups.write.parquet(path)
+    groups = txns.sparkSession.read.schema(groups.schema).parquet(path)
+    rest = groups.filter(~F.col("flagged"))
+    if mode == "compat":
+        accounts = groups.filter("flagged").select(*keys).distinct()
+        rest = rest.join(accounts, list(keys), "left_anti")
+    flagged = _assemble_flagged(groups.filter(F.col("flagged") & _complete()), keys)
+    return flagged.unionByName(_assemble_pattern(rest, keys))

@@ -103,16 +103,15 @@ def top_n_share(df: DataFrame, dim: str, n: int = 5, keys=KEYS) -> DataFrame:
     """Top ``n`` values of ``dim`` by total (ties: smaller value
     first) with their share of the account total in percent.
 
-    The totals table is one row per (account, value); the account total comes
-    from a window over that small table, and the per-account top-n uses the
-    window group limit (partial top-n before the shuffle)."""
+    The totals table is one row per (account, value).  Its top-n per account
+    uses the window group limit (partial top-n before the shuffle); the account
+    totals are a second aggregate of the same table, joined to the n rows."""
     agg = df.groupBy(*keys, dim).agg(F.sum("amount_numeric").alias("s"))
-    wa = Window.partitionBy(*keys)
     wr = Window.partitionBy(*keys).orderBy(F.col("s").desc(), F.col(dim).asc_nulls_last())
-    ranked = (agg.withColumn("rank", F.row_number().over(wr))
-              .withColumn("account_total", F.sum("s").over(wa)))
-    top = ranked.filter(F.col("rank") <= n)
-    return top.select(*keys, dim, "rank",
+    top = agg.withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= n)
+    total = agg.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("s").alias("account_total"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return top.join(total, same).select(*keys, dim, "rank",
                       F.col("s").cast("double").alias("total_amount"),
                       (F.try_divide(F.col("s").cast("double"), F.col("account_total").cast("double")) * 100.0).alias("share_pct"))
 

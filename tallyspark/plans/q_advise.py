@@ -67,13 +67,12 @@ def q_recommendations(spark, d):
 
 
 @register("duplicate_services", V.with_ctes(V.SQL_SUBS) + """
-SELECT account_id, category, CAST(len(s) AS INTEGER) AS n_services, array_to_string(s, '|') AS services
-FROM (SELECT account_id, category, list_sort(list_distinct(list(lower(service_name)))) AS s
+SELECT account_id, category, CAST(len(s) AS BIGINT) AS n_services, unnest(s) AS service
+FROM (SELECT account_id, category, list_distinct(list(lower(service_name))) AS s
       FROM v_subs WHERE COALESCE(status, 'Active') IN ('Active', 'Trial') GROUP BY ALL)
 WHERE len(s) > 1""")
 def q_duplicate_services(spark, d):
-    r = AD.duplicate_services(V.subs(spark, d))
-    return r.select("account_id", "category", "n_services", F.array_join("services", "|").alias("services"))
+    return AD.duplicate_services(V.subs(spark, d))
 
 
 @register("spend_spikes", V.with_ctes(V.SQL_TXN_EVENTS) + """

@@ -96,14 +96,14 @@ def q_facet_filter(spark, d):
 
 
 @register("facet_domains", OR + """
-SELECT account_id, array_to_string(list_sort(list_distinct(list(category))), '|') AS categories,
-       array_to_string(list_sort(list_distinct(list(bank))), '|') AS banks,
-       CAST(MIN(amount_numeric) AS DOUBLE) AS min_amount, CAST(MAX(amount_numeric) AS DOUBLE) AS max_amount
-FROM v_txn_orders GROUP BY account_id""")
+SELECT account_id, facet, value, CAST(MIN(amount_numeric) AS DOUBLE) AS min_amount,
+       CAST(MAX(amount_numeric) AS DOUBLE) AS max_amount
+FROM (SELECT account_id, 'category' AS facet, category AS value, amount_numeric FROM v_txn_orders WHERE category IS NOT NULL
+      UNION ALL SELECT account_id, 'bank', bank, amount_numeric FROM v_txn_orders WHERE bank IS NOT NULL
+      UNION ALL SELECT account_id, 'amount', NULL, amount_numeric FROM v_txn_orders)
+GROUP BY ALL""")
 def q_facet_domains(spark, d):
-    t = D.facet_domains(V.txn_orders(spark, d))
-    return t.select("account_id", F.array_join("categories", "|").alias("categories"),
-                    F.array_join("banks", "|").alias("banks"), "min_amount", "max_amount")
+    return D.facet_domains(V.txn_orders(spark, d))
 
 
 @register("top20_with_rest", OR + """

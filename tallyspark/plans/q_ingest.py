@@ -87,6 +87,28 @@ def q_export_json(spark, d):
     return back.withColumn("amount_numeric", F.col("amount_numeric").cast("double"))
 
 
+_SUBS_SQL = V.with_ctes(V.SQL_SUBS) + """
+SELECT account_id, id, service_name, CAST(amount AS DOUBLE) AS amount, category, billing_cycle, status, start_date,
+       last_payment, is_trial, brand_color, bank FROM v_subs"""
+
+
+def _subs_input(spark, d):
+    return V.subs(spark, d).select("account_id", "id", "service_name", "amount", "category", "billing_cycle", "status",
+                                   "start_date", "last_payment", "is_trial", "brand_color", "bank")
+
+
+@register("export_subscriptions_csv", _SUBS_SQL)
+def q_export_subscriptions_csv(spark, d):
+    back = X.export_csv_roundtrip(_subs_input(spark, d))
+    return back.withColumn("amount", F.col("amount").cast("double"))
+
+
+@register("export_subscriptions_json", _SUBS_SQL)
+def q_export_subscriptions_json(spark, d):
+    back = X.export_json_roundtrip(_subs_input(spark, d))
+    return back.withColumn("amount", F.col("amount").cast("double"))
+
+
 # ----------------------------------------------------------------------------- streaming
 
 @register("stream_transactions", V.with_ctes(V.SQL_MSG) + """
@@ -100,11 +122,11 @@ def q_stream_transactions(spark, d):
     into clean transactions, each once; the sink is read back."""
     from ..session import scratch_path
     from ..streaming.mail_stream import run_available
-    msgs = V.messages(spark, d)
+    msgs = V.messages(spark, d).withColumn("account_id", F.col("account_id").cast("string"))
     landing = scratch_path(spark, "landing")
     cores = spark.sparkContext.defaultParallelism
     msgs.repartitionByRange(cores, F.desc("date")).write.mode("overwrite").parquet(landing + "/part=1")
     msgs.filter(F.col("message_id").cast("long") % 10 == 3).write.mode("overwrite").parquet(landing + "/part=2")
     out = run_available(spark, landing, max_files_per_trigger=cores)
-    return spark.read.parquet(out).select(F.col("account_id"), "message_id",
+    return spark.read.parquet(out).select(F.col("account_id").cast("int"), "message_id",
                                           F.col("amount_numeric").cast("double").alias("amount_numeric"))

@@ -123,6 +123,24 @@ def q_ledger_view(spark, d):
     return L.ledger_view(V.subs(spark, d), sort="amount_desc").select("account_id", "id", "view_rank")
 
 
+_NEXT = ("COALESCE(last_payment, start_date) + CAST(CASE billing_cycle WHEN 'Monthly' THEN 30 "
+         "WHEN 'Quarterly' THEN 90 WHEN 'Yearly' THEN 365 ELSE 30 END AS INTEGER)")
+
+
+def _view(sort: str, order: str) -> None:
+    """Register the ledger view in another of its orders."""
+    @register(f"ledger_view_{sort}", SUBS + f"""
+SELECT account_id, id, CAST(row_number() OVER (PARTITION BY account_id ORDER BY {order}, seq) AS INTEGER) AS view_rank
+FROM v_subs WHERE COALESCE(status, 'Active') IN ('Active', 'Trial')""")
+    def q(spark, d):
+        return L.ledger_view(V.subs(spark, d), sort=sort).select("account_id", "id", "view_rank")
+
+
+_view("amount_asc", "amount")
+_view("name", "service_name")
+_view("next_payment", f"{_NEXT} NULLS FIRST")
+
+
 # ----------------------------------------------------------------------------- H
 
 _M = ("CASE billing_cycle WHEN 'Quarterly' THEN CAST(amount AS DOUBLE) / 3.0 "
@@ -173,8 +191,6 @@ def q_monthly_by_category(spark, d):
 
 _Y = ("CAST(CASE billing_cycle WHEN 'Monthly' THEN amount * 12 WHEN 'Quarterly' THEN amount * 4 "
       "WHEN 'Yearly' THEN amount ELSE amount * 12 END AS DOUBLE)")
-_NEXT = ("COALESCE(last_payment, start_date) + CAST(CASE billing_cycle WHEN 'Monthly' THEN 30 "
-         "WHEN 'Quarterly' THEN 90 WHEN 'Yearly' THEN 365 ELSE 30 END AS INTEGER)")
 
 
 @register("yearly_cost", SUBS + f"SELECT account_id, id, {_Y} AS yearly_cost FROM v_subs")

@@ -65,7 +65,7 @@ def _sid(prefix: str, name: str, amount: str, extra: str) -> str:
     return (f"'{prefix}_' || {clean} || '_' || left(md5({clean} || '_' || {cents} || '_' || {extra}), 8)")
 
 
-_FLAG_G = _flag_groups("v_bill", RC.FLAGGED_ATTRS)
+_FLAG_G = _flag_groups("v_bill", RC.ATTRS)
 
 
 @register("recurring_flagged", BILL + "," + _FLAG_G + """
@@ -78,7 +78,7 @@ def q_recurring_flagged(spark, d):
     return g.select("account_id", "merchant_key", F.col("amount_numeric").cast("double").alias("amount"),
                     "transaction_count", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"),
                     F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "confidence",
-                    *[a for a in RC.FLAGGED_ATTRS])
+                    *[a for a in RC.ATTRS])
 
 
 @register("cycle_inference", BILL + "," + _FLAG_G + f"""
@@ -117,7 +117,7 @@ _TI, _TR, _TT = _trial_sql("merchant_name", "subject", "amount_numeric", "subscr
 
 
 @register("trial_reason", V.with_ctes(V.SQL_BILL, V.SQL_TXN_EVENTS, _EV_BILL) + "," + _flag_groups(
-        "v_both", RC.FLAGGED_ATTRS) + f"""
+        "v_both", RC.ATTRS) + f"""
 SELECT account_id, merchant_key, CAST(amount_numeric AS DOUBLE) AS amount, {_TI} AS is_trial,
        {_TR} AS trial_reason, {_TT} AS subscription_type
 FROM g""")
@@ -226,8 +226,7 @@ def q_service_enrich(spark, d):
 
 _PS = _svc_sql("subject")
 _PTI, _PTR, _ = _trial_sql(_PS["name"], "subject", "amount_numeric", "'other'")
-_PATTERN = f"""
-pat_src AS (SELECT * FROM v_bill WHERE account_id NOT IN (SELECT account_id FROM v_bill WHERE is_subscription)),
+_GROUPS = f"""
 pg AS (SELECT account_id, lower(trim(subject)) AS k, amount_numeric, COUNT(event_ts) AS transaction_count,
               MIN(event_ts) AS first_ts, MAX(event_ts) AS last_ts,
               arg_min(local_ts, {ORD}) AS first_local, arg_max(local_ts, {ORD}) AS last_local,
@@ -235,6 +234,8 @@ pg AS (SELECT account_id, lower(trim(subject)) AS k, amount_numeric, COUNT(event
        FROM pat_src WHERE subject IS NOT NULL AND amount_numeric IS NOT NULL GROUP BY ALL),
 pb AS (SELECT *, {_band(f'({_GAP}) / (transaction_count - 1)', True)} AS cycle FROM pg
        WHERE transaction_count >= 2 AND {_GAP} > 0)"""
+_PATTERN = ("\npat_src AS (SELECT * FROM v_bill WHERE account_id NOT IN "
+            "(SELECT account_id FROM v_bill WHERE is_subscription))," + _GROUPS)
 _PAT_OUT = f"""
 SELECT account_id, {_sid('pattern', _PS['name'], 'amount_numeric', "cycle || '_' || CAST(account_id AS VARCHAR)")} AS id,
        {_PS['name']} AS service_name, CAST(amount_numeric AS DOUBLE) AS amount, cycle AS billing_cycle,
@@ -252,11 +253,9 @@ def _out(df):
     return df.withColumn("amount", F.col("amount").cast("double")).select(*_OUT_COLS)
 
 
-@register("recurring_pattern", V.with_ctes(V.SQL_BILL, _PATTERN) + _PAT_OUT)
+@register("recurring_pattern", V.with_ctes(V.SQL_BILL, "\npat_src AS (SELECT * FROM v_bill)," + _GROUPS) + _PAT_OUT)
 def q_recurring_pattern(spark, d):
-    b = V.bill(spark, d)
-    flagged_accounts = b.filter("is_subscription").select("account_id").distinct()
-    return _out(RC.recurring_pattern(b.join(flagged_accounts, "account_id", "left_anti")))
+    return _out(RC.recurring_pattern(V.bill(spark, d)))
 
 
 @register("detect_subscriptions", V.with_ctes(V.SQL_BILL, _PATTERN) + "," + _FLAG_G + _FLAG_OUT +

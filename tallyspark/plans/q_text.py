@@ -241,24 +241,34 @@ def q_messages_by_category(spark, d):
     return S.by_category(messages_to_clean_transactions(spark, d))
 
 
+def _color_sql(name: str) -> str:
+    preset = " ".join(f"WHEN {name} = {G.q(n)} THEN {G.q(c)}" for n, c in R.PRESET_COLORS)
+    palette = ", ".join(G.q(c) for c in R.PALETTE)
+    return (f"COALESCE(CASE {preset} END, "
+            f"[{palette}][CAST('0x' || substr(md5({name}), 1, 7) AS BIGINT) % {len(R.PALETTE)} + 1])")
+
+
 @register("category_colors", V.with_ctes(V.SQL_TXN_EVENTS, V.SQL_BILL) + f"""
 , c AS (SELECT DISTINCT account_id, lower(category) AS category_key FROM
         (SELECT account_id, category FROM v_txn_events UNION ALL SELECT account_id, category FROM v_bill))
-, r AS (SELECT *, dense_rank() OVER (PARTITION BY account_id ORDER BY category_key) AS r FROM c)
-SELECT account_id, category_key,
-       COALESCE(CASE {' '.join(f"WHEN category_key = {G.q(n)} THEN {G.q(c)}" for n, c in R.PRESET_COLORS)} END,
-                [{', '.join(G.q(c) for c in R.PALETTE)}][((r - 1) % {len(R.PALETTE)}) + 1]) AS color
-FROM r""")
+SELECT account_id, category_key, {_color_sql('category_key')} AS color FROM c""")
 def q_category_colors(spark, d):
     u = V.txn_events(spark, d).select("account_id", "category").unionByName(
         V.bill(spark, d).select("account_id", "category"))
     return A.category_colors(u)
 
 
-@register("vendor_dim", V.with_ctes(V.SQL_TXN_EVENTS) + """
+@register("vendor_dim", V.with_ctes(V.SQL_TXN_EVENTS) + f"""
 , r AS (SELECT *, row_number() OVER (PARTITION BY account_id, lower(trim(merchant_name))
                                      ORDER BY event_ts, message_id) AS rn FROM v_txn_events)
 SELECT account_id, lower(trim(merchant_name)) AS vendor_key, merchant_name AS display_name, category,
-       is_subscription, is_trial FROM r WHERE rn = 1""")
+       CASE WHEN CAST(message_id AS BIGINT) % 3 = 0 THEN '#ABCDEF' ELSE {_color_sql('lower(category)')} END AS color,
+       is_subscription, CASE WHEN is_subscription THEN 'type ' || bank END AS subscription_type,
+       'logo ' || category AS service_logo, is_trial
+FROM r WHERE rn = 1""")
 def q_vendor_dim(spark, d):
-    return A.vendor_dim(V.txn_events(spark, d))
+    t = V.txn_events(spark, d)
+    return A.vendor_dim(t.withColumns({
+        "color": F.when(F.col("message_id").cast("long") % 3 == 0, F.lit("#ABCDEF")),
+        "subscription_type": F.when(F.col("is_subscription"), F.concat(F.lit("type "), "bank")),
+        "service_logo": F.concat(F.lit("logo "), "category")}))

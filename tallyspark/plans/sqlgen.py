@@ -39,9 +39,3 @@ def ladder(text: str, rungs, default: str | None) -> str:
 def title_map(expr: str, labels) -> str:
     """Python str.title() of a known, finite label set."""
     return "CASE " + " ".join(f"WHEN {expr} = {q(lbl)} THEN {q(lbl.title())}" for lbl in labels) + f" ELSE {expr} END"
-
-
-def first_label(text: str, table) -> str:
-    """First label (table order) with a needle contained in text, else NULL."""
-    return "CASE " + " ".join(f"WHEN {contains_any(text, [n.lower() for n in needles])} THEN {q(lbl)}"
-                              for lbl, needles in table) + " END"

@@ -307,21 +307,23 @@ SQL_MSG = (
 )
 
 
-# ----------------------------------------------------------------------------- ledger edits (slices of part)
+# ----------------------------------------------------------------------------- ledger edits
 
 def ledger_base(spark, sf_dir) -> DataFrame:
-    """Ledger before edits: subscriptions with p_partkey % 10 < 7."""
-    return subs(spark, sf_dir).filter(F.col("seq") % 10 < 7)
+    """Ledger before edits: every subscription."""
+    return subs(spark, sf_dir)
 
 
 SQL_LEDGER = """
-v_ledger AS (SELECT * FROM v_subs WHERE seq % 10 < 7)"""
+v_ledger AS (SELECT * FROM v_subs)"""
 
 
 def ledger_adds(spark, sf_dir) -> DataFrame:
-    s = subs(spark, sf_dir).filter(F.col("seq") % 10 == 7)
+    """One manual add per subscription, under a name of its own."""
+    s = subs(spark, sf_dir)
     k = F.col("seq")
-    return s.select("account_id", k.alias("add_seq"), "service_name", "amount", "billing_cycle",
+    name = F.concat_ws(" ", "service_name", k.cast("string"))
+    return s.select("account_id", k.alias("add_seq"), name.alias("service_name"), "amount", "billing_cycle",
                     F.when(k % 20 == 7, F.lit(None).cast("string")).otherwise(F.col("category")).alias("category"),
                     "start_date", "last_payment",
                     F.when(k % 3 == 0, F.lit("Inactive")).otherwise(F.lit("Active")).alias("status"), "bank",
@@ -331,17 +333,19 @@ def ledger_adds(spark, sf_dir) -> DataFrame:
 
 SQL_ADDS = """
 v_adds AS (
-  SELECT account_id, seq AS add_seq, service_name, amount, billing_cycle,
+  SELECT account_id, seq AS add_seq, service_name || ' ' || CAST(seq AS VARCHAR) AS service_name, amount, billing_cycle,
          CASE WHEN seq % 20 = 7 THEN NULL ELSE category END AS category, start_date, last_payment,
          CASE WHEN seq % 3 = 0 THEN 'Inactive' ELSE 'Active' END AS status, bank,
          CASE WHEN seq % 4 = 3 THEN NULL ELSE '*' END AS service_logo, '#123456' AS brand_color
-  FROM v_subs WHERE seq % 10 = 7)"""
+  FROM v_subs)"""
 
 
 def ledger_edits(spark, sf_dir) -> DataFrame:
-    s = subs(spark, sf_dir).filter((F.col("seq") % 10 == 0) | (F.col("seq") % 10 == 8))
+    """One edit per subscription, some with no value sent; one in ten names an
+    id that the ledger does not hold."""
+    s = subs(spark, sf_dir)
     k = F.col("seq")
-    return s.select("account_id", "id", k.alias("edit_seq"),
+    return s.select("account_id", F.when(k % 10 == 8, F.concat(F.lit("x"), "id")).otherwise(F.col("id")).alias("id"), k.alias("edit_seq"),
                     F.when(k % 3 == 0, (k % 20).cast(MONEY)).alias("amount"),
                     F.when(k % 4 == 0, F.concat(F.lit("spotify "), F.col("service_name"))).alias("service_name"),
                     F.when(k % 5 == 0, F.lit("Inactive")).alias("status"),
@@ -350,18 +354,18 @@ def ledger_edits(spark, sf_dir) -> DataFrame:
 
 SQL_EDITS = """
 v_edits AS (
-  SELECT account_id, id, seq AS edit_seq,
+  SELECT account_id, CASE WHEN seq % 10 = 8 THEN 'x' || id ELSE id END AS id, seq AS edit_seq,
          CASE WHEN seq % 3 = 0 THEN CAST(seq % 20 AS DECIMAL(18,2)) END AS n_amount,
          CASE WHEN seq % 4 = 0 THEN 'spotify ' || service_name END AS n_service_name,
          CASE WHEN seq % 5 = 0 THEN 'Inactive' END AS n_status,
          CASE WHEN seq % 7 = 3 THEN 'Edited' END AS n_category
-  FROM v_subs WHERE seq % 10 IN (0, 8))"""
+  FROM v_subs)"""
 
 
 def detected_slice(spark, sf_dir) -> DataFrame:
-    """Detected subscriptions to merge: p_partkey % 10 >= 7, some names in
-    upper case (case-blind duplicates of ledger names)."""
-    s = subs(spark, sf_dir).filter(F.col("seq") % 10 >= 7)
+    """Detected subscriptions to merge, one per ledger row: half the names in
+    upper case (case-blind duplicates of ledger names), the others new."""
+    s = subs(spark, sf_dir)
     name = F.when(F.col("seq") % 2 == 0, F.upper("service_name")).otherwise(
         F.concat(F.col("service_name"), F.lit(" plus")))
     return s.select("account_id", F.concat(F.lit("det"), F.col("id")).alias("id"), name.alias("service_name"),
@@ -375,7 +379,7 @@ v_det AS (
   SELECT account_id, 'det' || id AS id,
          CASE WHEN seq % 2 = 0 THEN upper(service_name) ELSE service_name || ' plus' END AS service_name,
          amount, billing_cycle, category, status, is_trial
-  FROM v_subs WHERE seq % 10 >= 7)"""
+  FROM v_subs)"""
 
 
 # ----------------------------------------------------------------------------- model answers

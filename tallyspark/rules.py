@@ -3,16 +3,11 @@
 Rule tables are *inputs*: every classifier takes a table argument and these
 lists are only the defaults.  Order is meaningful (first match wins, ties go to
 the earlier rule).  Small tables (a few hundred needles) are applied as literal
-arrays inside native higher-order functions, so no join or shuffle happens;
-``rule_frame`` turns any table into a DataFrame for the broadcast-join variant
-used with large user tables.
+``contains`` chains, so no join or shuffle happens.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
 # =============================================================================
 # Fixed values.  These word lists, colours and sender addresses must equal the
 # reference's for equal results; they are stated plainly and in their natural
@@ -208,32 +203,3 @@ CYCLE_YEAR_FACTOR = {"Monthly": 12, "Quarterly": 4, "Yearly": 1}
 CYCLE_DAYS = {"Monthly": 30, "Quarterly": 90, "Yearly": 365}
 CYCLE_BANDS = [("monthly", 25, 35), ("quarterly", 85, 95), ("yearly", 360, 370)]
 DUE_SOON_DAYS = 7
-
-# =============================================================================
-# Rule tables as DataFrames (for broadcast joins with large user tables).
-# =============================================================================
-
-RULE_SCHEMA = T.StructType([
-    T.StructField("rule_set", T.StringType(), False),
-    T.StructField("ordinal", T.IntegerType(), False),
-    T.StructField("label", T.StringType(), False),
-    T.StructField("needle", T.StringType(), False),
-    T.StructField("attrs", T.MapType(T.StringType(), T.StringType()), True),
-])
-
-
-def category_rule_rows():
-    for i, (label, words, color) in enumerate(CATEGORY_RULES):
-        for w in words:
-            yield ("category", i, label, w, {"color": color})
-
-
-def bank_rule_rows():
-    for i, (label, senders) in enumerate(BANK_SENDERS):
-        for s in senders:
-            yield ("bank", i, label, s.lower(), None)
-
-
-def rule_frame(spark: SparkSession, rows) -> DataFrame:
-    """A rule table as a DataFrame with ``RULE_SCHEMA``."""
-    return spark.createDataFrame(list(rows), RULE_SCHEMA)

@@ -20,7 +20,7 @@ from ..operators.analyze import analyze_messages
 from ..operators.clean import clean_transactions
 from ..session import scratch_path
 
-MESSAGE_SCHEMA = "account_id INT, message_id STRING, subject STRING, sender STRING, date STRING, body STRING"
+MESSAGE_SCHEMA = "account_id STRING, message_id STRING, subject STRING, sender STRING, date STRING, body STRING"
 
 OUT_COLUMNS = ["account_id", "message_id", "bank", "merchant_name", "category", "amount", "amount_numeric",
                "event_ts", "local_ts", "is_subscription", "is_trial"]
