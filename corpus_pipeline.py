@@ -43,8 +43,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents by their raked probabilities."""
-    return mixing.mix(docs.select(*COLUMNS)).where("sampled").select(*COLUMNS)
+    """Sample documents by probabilities whose shares are raked under the bound of one."""
+    return mixing.mix(docs.select(*COLUMNS), bounded=True).where("sampled").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,12 +8,15 @@ document id, so it repeats.  DataFrame operations only; the cells stay
 distributed, and every marginal is summed on the map side.
 """
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import written
 
 DIMS = ("source", "lang", "topic")
 ROUNDS, SCALE_ROUNDS = 6, 6
+BOUND_ROUNDS, TOLERANCE = 40, 1e-3      # of bounded raking; it stops at the tolerance
 NONE = "(none)"
 
 
@@ -51,6 +54,57 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return cells
 
 
+def within(own: DataFrame, rate: float) -> DataFrame:
+    """own (value, own, share): adds ``goal``, the tokens wanted of each value
+    when ``rate`` of all are drawn.  A value whose share asks for more tokens
+    than it has gives all of them; the others keep their proportions."""
+    r = own.agg(F.sum("own").cast("double").alias("n"), F.sum("share").alias("s")).first()
+    want = rate * (r["n"] or 0.0)
+    scale, filled = want / (r["s"] or 1.0), -1
+    while True:     # the filled values only grow in number
+        full = F.lit(scale) * F.col("share") >= F.col("own")
+        r = own.agg(F.count_if(full).alias("k"), F.sum(F.when(full, F.col("own"))).alias("full"), F.sum(F.when(~full, F.col("share"))).alias("rest")).first()
+        if r["k"] == filled or not r["rest"]:
+            return own.withColumn("goal", F.least(F.col("own").cast("double"), F.lit(scale) * F.col("share")))
+        filled, scale = r["k"], (want - float(r["full"] or 0)) / r["rest"]
+
+
+def rake_bounded(cells: DataFrame, targets: dict[str, DataFrame], rate: float, rounds: int = BOUND_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells (source, lang, topic, tokens) with ``w``: tokens to draw of each
+    cell, where min(w, tokens) meets the goals of ``within`` in every
+    dimension, each value to ``tolerance``.
+
+    A step scales the cells of a value that are not full to what its full
+    cells leave of the goal.  Goals that contradict one another (a value of one
+    dimension found only with a value of another that may give less) stay
+    apart after ``rounds``, with a warning.
+    """
+    cells = cells.withColumn("w", F.lit(rate) * F.col("tokens"))
+    for d in DIMS:
+        own = cells.groupBy(d).agg(F.sum("tokens").alias("own"))
+        all_tokens = own.agg(F.sum("own").cast("double")).first()[0] or 1.0
+        own = own.join(targets[d].select(F.col("value").alias(d), "share"), d, "left").withColumn("share", F.coalesce("share", F.col("own") / F.lit(all_tokens)))
+        cells = cells.join(within(written(own, "goals"), rate).select(d, F.col("goal").alias(f"t_{d}")), d)
+    cells = written(cells, "cells")
+    full, drawn = F.col("w") >= F.col("tokens"), F.least("w", "tokens")
+    values = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).alias("v"), F.col(f"t_{d}").alias("t")) for d in DIMS]))
+    for _ in range(rounds):
+        for d in DIMS:
+            m = cells.groupBy(d).agg(F.sum(drawn).alias("m"), F.sum(F.when(full, F.col("tokens"))).alias("f"), F.sum(F.when(~full, F.col("w"))).alias("rest"))
+            t = F.col(f"t_{d}")
+            left = (t - F.coalesce("f", F.lit(0))) / F.col("rest")
+            k = F.when((F.col("rest") > 0) & (t > F.col("m")), left).otherwise(t / F.col("m"))
+            # a full cell's weight stays within reach of a later step
+            cells = cells.join(m, d).withColumn("w", F.least(F.col("w") * k, F.lit(1e6) * F.col("tokens"))).drop("m", "f", "rest")
+        cells = written(cells, "cells")
+        met = cells.select(drawn.alias("u"), values.alias("x")).groupBy("x.d", "x.v").agg(F.sum("u").alias("u"), F.first("x.t").alias("t"))
+        gap = met.agg(F.max(F.abs(F.col("u") / F.col("t") - 1))).first()[0] or 0.0
+        if gap <= tolerance:
+            return cells
+    warnings.warn(f"mixing: after {rounds} rounds a share is {gap:.2%} off its goal", stacklevel=2)
+    return cells
+
+
 def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     """Target shares proportional to a power of the token counts."""
     one = cells.groupBy(dim).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("p"))
@@ -58,8 +112,21 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return one.select(F.col(dim).alias("value"), (F.col("p") / F.lit(total)).alias("share"))
 
 
+def _scale(cells: DataFrame, rate: float) -> float:
+    """Common factor of the raked weights at which ``rate`` of all tokens are expected."""
+    total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
+    scale = rate * total
+    for _ in range(SCALE_ROUNDS):     # cells that would exceed probability one are full; the rest share what is left
+        full = F.lit(scale) * F.col("w") >= F.col("tokens")
+        r = cells.agg(F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("w"))).alias("rest")).first()
+        if not r["rest"]:
+            break
+        scale = (rate * total - float(r["full"] or 0)) / r["rest"]
+    return scale
+
+
 def mix(docs: DataFrame, rate: float = 0.8, powers: tuple[float, float, float] = (0.7, 0.8, 0.9), targets: dict[str, DataFrame] | None = None,
-        topic: Column | None = None, tokens: Column | None = None, rounds: int = ROUNDS, id_col: str = "doc_id") -> DataFrame:
+        topic: Column | None = None, tokens: Column | None = None, rounds: int = ROUNDS, id_col: str = "doc_id", bounded: bool = False) -> DataFrame:
     """All columns of ``docs`` with topic, tokens, probability and sampled
     (names that clash are replaced).
 
@@ -67,21 +134,24 @@ def mix(docs: DataFrame, rate: float = 0.8, powers: tuple[float, float, float] =
     shares.  Null sources and languages are a value of their own; null and
     empty texts weigh one token; rows of equal id are drawn alike; an empty
     table gives an empty result.
+
+    ``bounded`` rakes under the bound of probability one (``rake_bounded``), so
+    the shares of probability * tokens meet the targets; a value whose target
+    asks for more tokens than it has is drawn whole, since nothing is repeated,
+    and the rest of its dimension shares what is left.  Without it (as in
+    ``mix_sql``) the raked weights are cut at probability one under one common
+    scale, and the shares of the sample miss the targets where cells are cut.
     """
     names = [c for c in docs.columns if c not in ("topic", "tokens", "probability", "sampled")]
     rows = docs.select(*names, (topic_of() if topic is None else topic).alias("topic"), (tokens_of() if tokens is None else tokens).alias("tokens"))
     place = [F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(d) for d in DIMS]
     cells = written(rows.select(*place, "tokens").groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "cells")
     goal = {d: tempered(cells, d, p) for d, p in zip(DIMS, powers)} | (targets or {})
-    cells = rake(cells, goal, rounds)
-    total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
-    scale = rate * total
-    for _ in range(SCALE_ROUNDS):     # cells that would exceed probability one are full; the rest share what is left
-        full = F.lit(scale) * F.col("w") >= F.col("tokens")
-        r = cells.agg(F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("w"))).alias("rest")).first()
-        if not r["rest"]:
-            break
-        scale = (rate * total - float(r["full"] or 0)) / r["rest"]
+    if bounded:
+        cells, scale = rake_bounded(cells, goal, rate), 1.0
+    else:
+        cells = rake(cells, goal, rounds)
+        scale = _scale(cells, rate)
     cells = cells.select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.least(F.lit(1.0), F.lit(scale) * F.col("w") / F.col("tokens")).alias("probability"))
     on = [F.coalesce(rows[d].cast("string"), F.lit(NONE)) == cells[f"__{d}"] for d in DIMS]
     got = rows.join(cells, on[0] & on[1] & on[2]).drop(*[f"__{d}" for d in DIMS])

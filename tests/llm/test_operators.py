@@ -163,6 +163,32 @@ def test_raking_meets_targets(spark):
     assert abs(share("source", "a") - 0.5) < 1e-4 and abs(share("lang", "fr") - 0.3) < 1e-4 and abs(share("topic", "u") - 0.4) < 1e-4
 
 
+def test_bounded_mixing_meets_targets_in_the_probabilities(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(1500):      # a hot source, sources of mostly one language
+        s = 0 if i % 3 == 0 else int(rng.integers(1, 12))
+        lang = ("en", "fr", "de")[s % 3] if rng.random() < 0.6 else ("en", "fr", "de", "it")[int(rng.integers(0, 4))]
+        text = ("a | b ", "by licence ", "me@x.org ", "plain words ")[int(rng.integers(0, 4)) if rng.random() < 0.3 else 3] * int(rng.integers(1, 120))
+        rows.append((i, text, lang, f"s{s}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, bounded=True).collect()
+    total = sum(r.tokens for r in got)
+    assert sum(r.probability == 1 for r in got) > 50 and max(r.probability for r in got) <= 1
+    assert abs(sum(r.probability * r.tokens for r in got) / total - 0.8) < 2e-3
+    for d, power in zip(mixing.DIMS, (0.7, 0.8, 0.9)):
+        own, drawn = defaultdict(float), defaultdict(float)
+        for r in got:
+            own[r[d]] += r.tokens
+            drawn[r[d]] += r.probability * r.tokens
+        share = {v: n ** power for v, n in own.items()}
+        low, high = 0.0, 1e9
+        for _ in range(200):      # the common factor at which 0.8 of all tokens are drawn without repeats
+            k = (low + high) / 2
+            low, high = (k, high) if sum(min(own[v], k * share[v]) for v in own) < 0.8 * total else (low, k)
+        assert all(abs(drawn[v] / min(own[v], low * share[v]) - 1) < 2e-3 for v in own), d
+
+
 def test_mixing_handles_nulls(spark, mixed):
     got = mixing.mix(mixed[0]).collect()
     assert len(got) == 12 and all(0 < r.probability <= 1 for r in got)
