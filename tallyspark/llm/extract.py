@@ -228,11 +228,14 @@ class Labeller:
 
     def label(self, pages: list[np.ndarray], cells: int = 60_000) -> list[np.ndarray]:
         """Probability of article per block of each page, in batches of pages
-        of like length that hold at most about ``cells`` blocks."""
+        of like length.  A batch padded to its longest page has at most
+        ``cells`` blocks, unless it is a single page."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
         while order:
-            size = max(1, min(256, cells // len(pages[order[0]])))
+            size = 1
+            while size < min(256, len(order)) and (size + 1) * len(pages[order[size]]) <= cells:
+                size += 1
             part, order = order[:size], order[size:]
             x, mask = pad([pages[k] for k in part])
             p = _sigmoid(self.logits(x, mask))

@@ -288,6 +288,22 @@ def test_extraction_of_varied_pages(spark):
     assert got[2] == got[3] == got[4] == "" and got[5].count("\n") == 19999
 
 
+def test_a_very_long_page_is_labelled_alone(monkeypatch):
+    rng = np.random.default_rng(4)
+    pages = [rng.normal(size=(int(n), extract.WIDTH)).astype(np.float32) for n in [*rng.integers(1, 40, 255), 20000]]
+    model, pad, shapes = extract.Labeller(), extract.pad, []
+
+    def seen(part):
+        shapes.append((max(len(p) for p in part), len(part)))
+        assert shapes[-1][0] * shapes[-1][1] <= 60_000
+        return pad(part)
+
+    monkeypatch.setattr(extract, "pad", seen)
+    got = model.label(pages)
+    assert (20000, 1) in shapes and len(shapes) < 10 and [len(p) for p in got] == [len(p) for p in pages]
+    assert np.allclose(got[3], model.label([pages[3]])[0], atol=1e-5) and np.allclose(got[-1], model.label([pages[-1]])[0], atol=1e-5)
+
+
 def test_gradient_of_the_labeller():
     rng = np.random.default_rng(0)
     m = extract.Labeller()
