@@ -2,11 +2,13 @@
 
 A text's paragraphs (lines, cut at sentence ends) are hashed to 32-bit digests;
 each distinct digest is added to one cell in each of three parts of a table.  A
-cell holds a count, the xor of its digests and the xor of their checks.  Two
-versions are compared by subtracting their tables: what they share cancels,
-and cells with a single digest left are peeled part by part until every
-differing digest is recovered.  A pair that does not peel is tried again with
-a larger table.  DataFrame operations only: cells are rows, subtraction and
+cell holds a count, the xor of its digests and the xor of their checks.  Tables
+have a power of two of cells a part, by the number of digests, so that a larger
+one folds down to a smaller one.  Two versions are compared by subtracting
+their tables at the smaller size: what they share cancels, and cells with a
+single digest left are peeled part by part until every differing digest is
+recovered.  A pair that does not peel is tried again with a larger table, made
+from the digests.  DataFrame operations only: cells are rows, subtraction and
 peeling are aggregations that stay inside one shuffle partition per document.
 """
 
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import written
 
-BASE_CELLS = 8        # cells per part in a fingerprint string
+BASE_CELLS = 8        # cells per part of the smallest table
 PEELS = 5             # rounds over the three parts
 ROWS_PER_PARTITION = 2000
 BREAK = "\\n|(?<=[.!?]) +"
@@ -68,8 +70,14 @@ def edited_text(text: str = "t", following: str = "next") -> Column:
     return F.concat(F.substring(F.col(text), F.lit(1), F.length(text) - half), F.substring(F.col(following), F.lit(1), half))
 
 
+def size_of(n: Column) -> Column:
+    """Cells per part of the table of ``n`` digests: a power of two at which
+    two texts of that size peel in most cases even if they share nothing."""
+    return F.greatest(F.lit(BASE_CELLS), F.pow(F.lit(2), F.ceil(F.log2(1.1 * F.greatest(F.lit(1), n)))).cast("int"))
+
+
 def _cell(part: int, key: Column, m: Column) -> Column:
-    return (F.lit(part) * m + F.pmod(F.xxhash64(F.lit(part), m, key), m)).cast("int")
+    return (F.lit(part) * m + F.pmod(F.xxhash64(F.lit(part), key), m)).cast("int")
 
 
 def _check(key: Column) -> Column:
@@ -82,7 +90,6 @@ def table_of(keys: Column, m: Column, sign: int = 1) -> Column:
         F.struct(_cell(j, k, m).alias("cell"), F.lit(sign).alias("c"), k.alias("k"), _check(k).alias("x")) for j in range(3)])))
 
 
-
 def _add(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by, "cell").agg(F.sum("c").cast("int").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("x").alias("x")).where("cell < 0 or c <> 0 or k <> 0 or x <> 0")
 
@@ -122,11 +129,14 @@ def differences(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b") ->
     """Number of differing digests of each pair of digest arrays.
 
     pairs: (by..., a, b) with ``by`` unique.  Returns (by..., differing).
-    Tables start at a size that holds all digests of both sides in most cases
-    and grow fourfold, with new hashes, for the pairs that fail.
+    Tables start at the smaller of both sides' own sizes, that is as their
+    fingerprints folded to one size, and grow fourfold to an odd size, which
+    deals the digests anew, for the pairs that fail.  A pair whose numbers of
+    digests are too far apart for that start gets the larger side's size.
     """
-    # largest array first decides the table; a pair never shuffles after this deal
-    todo = pairs.withColumn("m", F.greatest(F.lit(BASE_CELLS), F.pow(F.lit(2), F.ceil(F.log2(0.55 * F.greatest(F.lit(1), F.size(a) + F.size(b))))).cast("int")))
+    # the table of a pair is decided here; a pair never shuffles after this deal
+    few = F.least(size_of(F.size(a)), size_of(F.size(b)))
+    todo = pairs.withColumn("m", F.when(F.abs(F.size(a) - F.size(b)) > 2.4 * few, F.greatest(size_of(F.size(a)), size_of(F.size(b)))).otherwise(few))
     total = todo.count()
     parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_PER_PARTITION))
     done = []
@@ -145,16 +155,60 @@ def differences(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b") ->
         parts = max(1, -(-n // (ROWS_PER_PARTITION // 8)))
 
 
-def fingerprint(entries: Column, m: int = BASE_CELLS) -> Column:
-    """Text form of a table of 3 x ``m`` cells from its entries (a column of
-    ``table_of``): per cell count, xor of digests and xor of checks in
-    hexadecimal.  The entries should be a column of their own, so that they
-    are made once and not once per cell."""
+def cells_of(fingerprint: Column, m: Column, sign: int = 1) -> Column:
+    """Cell entries (cell, c, k, x) of a fingerprint string, folded to ``m``
+    cells a part (a power of two, at most the string's own)."""
+    def number(word: Column) -> Column:
+        v = F.conv(word, 16, 10).cast("long")
+        return F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v).cast("int")
+
+    words = F.split(fingerprint, " ")
+    own = table_size(fingerprint)
+
+    def entry(w: Column) -> Column:
+        cell = number(F.substring_index(w, ":", 1))
+        rest = F.substring_index(w, ":", -1)
+        return F.struct((F.floor(cell / own) * m + F.pmod(F.pmod(cell, own), m)).cast("int").alias("cell"), (F.lit(sign) * number(F.substr(rest, F.lit(17)))).alias("c"),
+                        number(F.substring(rest, 1, 8)).alias("k"), number(F.substring(rest, 9, 8)).alias("x"))
+
+    return F.transform(F.slice(words, F.lit(2), F.size(words) - 1), entry)
+
+
+def table_size(fingerprint: Column) -> Column:
+    """Cells per part of a fingerprint string."""
+    return F.conv(F.substring_index(fingerprint, " ", 1), 16, 10).cast("int")
+
+
+def subtract(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", keep_digests: bool = False) -> DataFrame:
+    """Two fingerprint strings of each row of (by..., a, b) subtracted at the
+    smaller size and peeled; returns what ``peel`` does (left in cells >= 0 is
+    what did not peel; a pair without any difference gives no row)."""
+    m = F.least(table_size(F.col(a)), table_size(F.col(b)))
+    rows = pairs.select(*by, m.alias("m"), a, b)
+    cells = rows.select(*by, "m", F.explode(F.concat(cells_of(F.col(a), F.col("m")), cells_of(F.col(b), F.col("m"), -1))).alias("o"))
+    return peel(cells.select(*by, "m", "o.*"), by, keep_digests=keep_digests)
+
+
+def tables(rows: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """Fingerprint strings of columns of digest arrays: (by..., new names).
+
+    columns: new name -> column of digests.  A string is the cells per part in
+    hexadecimal, then by cell, separated by blanks, cell:digests checks count:
+    the xors with 8 hexadecimal digits each, the count with as many as it has;
+    cells without a digest are left out.  Cells are rows until the end, so the
+    work grows with the number of digests.
+    """
     word = lambda v: F.lpad(F.lower(F.hex(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
-    xor = lambda mine, f: F.aggregate(mine, F.lit(0), lambda s, e: s.bitwiseXOR(e[f]))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(3 * m - 1)), lambda i: F.filter(entries, lambda e: e["cell"] == i))
-    return F.array_join(F.transform(cells, lambda mine: F.concat(
-        F.lpad(F.lower(F.hex(F.size(mine))), 2, "0"), word(xor(mine, "k")), word(xor(mine, "x")))), ".")
+    short = lambda v: F.lower(F.hex(v.cast("long")))
+    each = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("d")) for i, c in enumerate(columns.values())])).alias("p")).select(*by, "p.*")
+    each = each.withColumn("m", size_of(F.size("d")))
+    none = F.array(F.struct(F.lit(-1).alias("cell"), F.lit(0).alias("c"), F.lit(0).alias("k"), F.lit(0).alias("x")))
+    cells = each.select(*by, "kind", "m", F.explode(F.concat(none, table_of(F.col("d"), F.col("m")))).alias("o")).select(*by, "kind", "m", "o.*")
+    cells = cells.groupBy(*by, "kind", "m", "cell").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("x").alias("x"))
+    text = F.when(F.col("cell") < 0, short(F.col("m"))).otherwise(F.concat(short(F.col("cell")), F.lit(":"), word(F.col("k")), word(F.col("x")), short(F.col("c"))))
+    got = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("kind", "cell", text.alias("w")))).alias("all"))
+    part = lambda i: F.array_join(F.transform(F.filter("all", lambda e: e["kind"] == i), lambda e: e["w"]), " ")
+    return got.select(*by, *[part(i).alias(name) for i, name in enumerate(columns)])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,8 +216,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and how alike they are.
 
     Returns per row: id, n_chars (code points), edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next: shared digests over all digests
-    of both (1 if neither has any).  Null text counts as empty; null ids come
+    edited_fingerprint (see tables), near_edited, near_next: shared digests over
+    all digests of both (1 if neither has any), from subtracting the returned
+    fingerprints, of the next row for near_next (see differences).  Null text counts as empty; null ids come
     last in descending order; among equal ids the order is by descending text;
     repeated rows follow one another; a single row is its own next; an empty
     table gives an empty result; other columns are ignored.
@@ -178,12 +233,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = d.groupBy("block", "row").agg(F.sum(F.when(F.col("kind") == 0, F.col("differing"))).alias("de"), F.sum(F.when(F.col("kind") == 1, F.col("differing"))).alias("dn"))
 
     def near(x: str, diff: str) -> Column:
-        both = F.size("a") + F.size(x)
+        both = F.col("a") + F.col(x)
         return F.when(both == 0, F.lit(1.0)).otherwise((both - F.col(diff)) / (both + F.col(diff)))
 
-    m = F.lit(BASE_CELLS)
-    tables = rows.withColumn("ta", table_of(F.col("a"), m)).withColumn("te", table_of(F.col("e"), m))
-    sizes = tables.select("block", "row", "id", "n_chars", "edited_sha256", fingerprint(F.col("ta")).alias("fingerprint"),
-                          fingerprint(F.col("te")).alias("edited_fingerprint"), "a", "e", "n").join(d, ["block", "row"])
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_PARTITION))
+    made = tables(rows.select("block", "row", "a", "e").repartition(parts, "block", "row"), ["block", "row"], {"fingerprint": "a", "edited_fingerprint": "e"})
+    sizes = rows.select("block", "row", "id", "n_chars", "edited_sha256", *[F.size(c).alias(c) for c in "aen"]).join(made, ["block", "row"]).join(d, ["block", "row"])
     return sizes.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                         near("e", "de").alias("near_edited"), near("n", "dn").alias("near_next"))

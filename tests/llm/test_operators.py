@@ -208,6 +208,31 @@ def test_fingerprints_match_plain_computation(spark, mixed):
     assert sorted((r.doc_id or -1, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(want)
 
 
+def test_returned_fingerprints_peel_to_the_likeness(spark):
+    line = lambda a, b: "\n".join(f"line {k} of it" for k in range(a, b))
+    rows = [(1, line(0, 600), "a"), (2, line(300, 1000), "a"), (3, line(5000, 8200), "a"), (4, "", "a"), (5, line(0, 2), "a")]
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: r for r in iblt.fingerprints(docs).collect()}
+    pairs = spark.createDataFrame([(i, "edit", r.fingerprint, r.edited_fingerprint) for i, r in got.items()] + [(2, "next", got[2].fingerprint, got[1].fingerprint)], "id long, kind string, a string, b string")
+    left, found = defaultdict(int), defaultdict(int)
+    for r in iblt.subtract(pairs, ["id", "kind"]).collect():
+        if r.cell >= 0:
+            left[r.id, r.kind] += 1
+        else:
+            found[r.id, r.kind] += r.c
+    cut = lambda t: {p for p in re.split(r"\n|(?<=[.!?]) +", t) if p.strip(" ")}
+    texts = {i: t for i, t, _ in rows}
+    edited = {i: texts[i][:len(texts[i]) - len(texts[i]) // 2] + texts[i - 1 or 5][:len(texts[i]) // 2] for i in texts}
+    assert found[2, "next"] == len(cut(texts[2]) ^ cut(texts[1])) and not left[2, "next"]
+    for i in (1, 2, 4, 5):
+        a, e = cut(texts[i]), cut(edited[i])
+        assert found[i, "edit"] == len(a ^ e) and not left[i, "edit"]
+        assert abs(got[i].near_edited - (len(a & e) / len(a | e) if a | e else 1.0)) < 1e-9
+    # folded to few cells, a cell counts far over 255 digests and loses none
+    fold = docs.where("doc_id = 3").select(F.lit(got[3].fingerprint).alias("f")).select(F.explode(iblt.cells_of(F.col("f"), F.lit(8))).alias("o")).groupBy("o.cell").agg(F.sum("o.c").alias("c")).collect()
+    assert sum(r.c for r in fold) == 3 * 3200 and max(r.c for r in fold) > 255
+
+
 def test_peeling_recovers_digests_and_retries(spark):
     a, b = list(range(1, 400)), list(range(300, 500))
     df = spark.createDataFrame([(1, a, b), (2, [], []), (3, a, a)], "id int, a array<int>, b array<int>")
