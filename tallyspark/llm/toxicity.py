@@ -10,6 +10,8 @@ other texts.  Fitting reads a sample of at most about ``SAMPLE`` labelled rows,
 drawn by hash; scoring reads every whole text.
 """
 
+import bisect
+import itertools
 import math
 import re
 import unicodedata
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import crc_mod, written
 
 SAMPLE = 24_000
-MAX_TERMS = 2_000
+MAX_TERMS = 2_000      # exceptions
+LEAST_TEXTS = 8       # toxic texts that are enough for a term in any sample; the rest is left to its significance
 MIN_PREFIX, MAX_PREFIX = 4, 8
 
 # Letters of other scripts that look like Latin ones, and
@@ -165,21 +168,24 @@ def fit(train: DataFrame, label: str = "toxic", exceptions: tuple[str, ...] = ()
     nt, nc = (total["t"], total["c"]) if total else (0, 0)
     if not nt or not nc:
         return Lexicon({}, list(exceptions))
-    least = max(3, math.ceil(0.02 * nt))
+    least = max(3, min(LEAST_TEXTS, math.ceil(0.02 * nt)))     # below, chance alone reaches the significance among many terms
     weight = F.log((F.col("t") + 0.5) / (nt + 1.0)) - F.log((F.col("c") + 0.5) / (nc + 1.0))
     p, n = nt / (nt + nc), F.col("t") + F.col("c")
     z = (F.col("t") - n * p) / F.sqrt(n * p * (1 - p))      # against the share of toxic texts
     best = (counts.where((F.col("term") != "") & (F.col("t") >= least)).withColumn("w", weight).withColumn("z", z)
-            .where("w >= 1.5 and z >= 6").orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect())
+            .where("w >= 1.5 and z >= 6").orderBy(F.desc("z"), "term").collect())     # bounded by the sample
     have = {r["term"]: r for r in best}
+    stems = sorted((o.rstrip("*"), o) for o in have)
     weights = {}
     for term, r in have.items():
         stem = term.rstrip("*")
         # a longer term with nearly all of the toxic texts is the more exact one ...
-        if term.endswith("*") and any(o != term and o.rstrip("*").startswith(stem) and have[o]["t"] >= 0.97 * r["t"] for o in have):
+        longer = itertools.takewhile(lambda x: x[0].startswith(stem), itertools.islice(stems, bisect.bisect_left(stems, (stem,)), None))
+        if term.endswith("*") and any(o != term and have[o]["t"] >= 0.97 * r["t"] for _, o in longer):
             continue
         # ... and a term is left out where a kept prefix is as sure with many more texts
-        if any(o != term and o.endswith("*") and stem.startswith(o[:-1]) and have[o]["t"] * 0.97 > r["t"] and have[o]["w"] >= r["w"] - 0.7 for o in have):
+        shorter = {stem[:k] + "*" for k in range(MIN_PREFIX, len(stem) + 1)} & have.keys() - {term}
+        if any(have[o]["t"] * 0.97 > r["t"] and have[o]["w"] >= r["w"] - 0.7 for o in shorter):
             continue
         weights[term] = float(r["w"])
     lex = Lexicon(weights, list(exceptions))
@@ -219,7 +225,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, keep: list[
     """keep (all columns by default), score, predicted, hit_weight.  Null and
     empty texts have no hits and get the score of no evidence."""
     keep = docs.columns if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most 2 * MAX_TERMS entries
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # terms bounded by the sample, at most MAX_TERMS exceptions
 
     @F.pandas_udf("struct<score: double, hit_weight: double>")
     def run(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

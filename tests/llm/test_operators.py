@@ -126,6 +126,24 @@ def test_toxicity_learns_from_training_fold_only(spark):
     assert held and all(r.predicted == int(r.doc_id % 3 == 0) for r in held)
 
 
+def test_toxicity_learns_a_long_tail_of_rare_words(spark):
+    rng = np.random.default_rng(8)
+    name = lambda i: "".join(chr(97 + (i * 7919 + 31 * k * k + i // (k + 1)) % 26) for k in range(3)) + hashlib.md5(str(i).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:6]
+    bad = [name(i) for i in range(300)]
+    rows = [(k, words(k, 30) + (" " + " ".join(bad[j] for j in rng.choice(300, 2, replace=False)) if k % 8 == 0 else ""), "a") for k in range(32000)]
+    docs = docs_of(spark, rows)
+    used = defaultdict(int)
+    for _, t, _ in rows:
+        for w in set(t.split()) & set(bad):
+            used[w] += 1
+    assert max(used.values()) < 0.015 * 4000
+    labels = spark.createDataFrame([(k, 1, int(k % 8 == 0)) for k in range(32000)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    got = toxicity.score(docs.where("doc_id < 4000"), lexicon).collect()
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert sum(r.predicted == int(r.doc_id % 8 == 0) for r in held) >= 0.99 * len(held)
+
+
 def test_language_models(spark):
     rng = np.random.default_rng(5)
     parts = {"x": ["th", "the", "and", "ing", "er"], "y": ["eau", "qu", "oi", "lle", "re"]}
