@@ -26,13 +26,15 @@ CACHE_WORDS = 400_000
 
 
 class Tokenizer:
-    """Byte-level BPE ids of the vocabulary file ``path``; each distinct word
-    (by the vocabulary's word pattern) is encoded once and kept."""
+    """Byte-level BPE ids of the vocabulary file ``path``, as ``tokenizers``
+    gives them with add_special_tokens=False: an added token that stands in a
+    text, such as <|endoftext|>, is its own id.  Texts without one are encoded
+    by tiktoken where the vocabulary is there in its form."""
 
     def __init__(self, path: str):
         import tokenizers
         self.model = tokenizers.Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         try:
             import public_tokenizers as public
             import tiktoken
@@ -44,7 +46,11 @@ class Tokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.fast is not None:
-            return [np.array(self.fast.encode_ordinary(t.encode("utf-8", "replace").decode()), dtype=np.uint32) for t in texts]
+            return [np.array(self.fast.encode_ordinary(t), dtype=np.uint32) if not any(a in t for a in self.added) else self.plain([t])[0]
+                    for t in (t.encode("utf-8", "replace").decode() for t in texts)]
+        return self.plain(texts)
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.model.encode_batch(texts, add_special_tokens=False)]
 
 

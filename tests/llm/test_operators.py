@@ -298,6 +298,22 @@ def test_packing_round_trip(spark, mixed):
         assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)
 
 
+def test_packing_keeps_the_id_of_an_added_token(spark):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rows = [(1, "hello <|endoftext|> world", "a"), (2, "<|endoftext|><|endoftext|>", "a"), (3, "hello <|endoftext world", "a"), (4, "é<|endoftext|>\n " + words(5, 2500), "a")]
+    by = defaultdict(list)
+    for r in packing.pack_documents(docs_of(spark, rows), path, ids=True).collect():
+        by[r.doc_id].append(r)
+    slow = packing.Tokenizer(path)
+    slow.fast = None
+    for i, t, _ in rows:
+        want = tok.encode(t, add_special_tokens=False).ids + [1]
+        assert np.frombuffer(b"".join(bytes(r.ids) for r in sorted(by[i], key=lambda r: r.start)), "<u4").tolist() == want
+        assert slow.encode([t])[0].tolist() + [1] == want and (50256 in want) == ("<|endoftext|>" in t)
+
+
 def test_embedding_links_match_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))
