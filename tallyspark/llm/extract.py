@@ -38,6 +38,7 @@ WORD = re.compile(r"[a-z]+")
 # tags and attribute words that mark other parts than the article, for the training labels only
 OTHER = frozenset("nav footer aside form header menu sidebar ad ads advert banner cookie notice comment comments reply share social related promo breadcrumb login subscribe".split())
 ARTICLE = frozenset("article main".split())
+ARTICLE_WORDS = frozenset(".article .post .content .entry .main".split())     # on pages without such a tag
 
 
 class Block:
@@ -289,20 +290,31 @@ def compose(rng: np.random.Generator, article: list[Block], others: list[Block],
     return page, y
 
 
+def _inside(path: tuple[str, ...], marks: frozenset[str]) -> bool:
+    """Whether a path goes through one of ``marks`` and then no other part."""
+    first = next((k for k, x in enumerate(path) if x in marks), None)
+    return first is not None and not any(x.lstrip(".") in OTHER for x in path[first:])
+
+
 def train(samples: list[str]) -> Labeller:
-    """Fit on composed and given pages (labels of given pages by their tags)."""
+    """Fit on composed and given pages (labels of given pages by their tags).
+
+    A page without an article or main tag is not given, since what is its text
+    is not known: only its blocks that a class, role or tag names as article or
+    as another part serve composed pages."""
     rng = np.random.default_rng(17)
-    given = []
+    given, others, articles = [], [], []
     for s in samples:
         b = blocks(s)
-        y = [int(any(x in ARTICLE for x in k.path) and not any(x.lstrip(".") in OTHER for x in k.path[k.path.index(next(z for z in k.path if z in ARTICLE)):]))
-             if any(x in ARTICLE for x in k.path) else 0 for k in b]
-        if b:
+        tagged = any(x in ARTICLE for k in b for x in k.path)
+        y = [int(_inside(k.path, ARTICLE if tagged else ARTICLE_WORDS)) for k in b]
+        if tagged:
             given.append((b, y))
+        others += [k for k, v in zip(b, y) if not v and (tagged or any(x.lstrip(".") in OTHER for x in k.path))]
+        articles.append([k for k, v in zip(b, y) if v][:60])
     model = Labeller()
-    others = [k for b, y in given for k, v in zip(b, y) if not v]
-    articles = [[k for k, v in zip(b, y) if v] for b, y in given]
-    articles = [a[:60] for a in articles if a] or [[Block("Some words of an article stand here, in one sentence.", ("article", "p"), 0)]]
+    others = others or [Block(x, (), 0) for x in ("Home", "About us", "Log in", "We use cookies.", "Read more", "Subscribe to our letter", "I liked this very much, thank you.")]
+    articles = [a for a in articles if a] or [[Block("Some words of an article stand here, in one sentence.", ("article", "p"), 0)]]
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     for step in range(1, STEPS + 1):
         pages, ys = [], []

@@ -347,6 +347,23 @@ def test_extraction_of_varied_pages(spark):
     assert got[2] == got[3] == got[4] == "" and got[5].count("\n") == 19999
 
 
+def test_extraction_where_many_pages_have_no_article_tag():
+    def page(k, div):
+        text = [f"{words(100 * k + j, 14)[:90]}, and so it goes on in number {k}." for j in range(5)]
+        body = "".join(f"<p>{t}</p>" for t in text)
+        body = f'<div class="{('post', 'content')[k % 2]}">{body}</div>' if div else f"<article>{body}</article>"
+        return (f'<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav><div class="banner">Buy now {k}</div>{body}'
+                f'<div class="comments"><p>I liked it, {k} times.</p></div><footer>&copy; site {k}</footer></body></html>'), text
+
+    made = [page(k, k % 5 != 0) for k in range(60)]      # four of five lay the text out in a div
+    model = extract.train([p for p, _ in made])
+    for k in range(60, 80):
+        p, text = page(k, k % 2)
+        b = extract.blocks(p)
+        got = [x.text for x, v in zip(b, model.label(extract.vectors([b]))[0]) if v >= 0.5]
+        assert got == text, k
+
+
 def test_a_very_long_page_is_labelled_alone(monkeypatch):
     rng = np.random.default_rng(4)
     pages = [rng.normal(size=(int(n), extract.WIDTH)).astype(np.float32) for n in [*rng.integers(1, 40, 255), 20000]]
