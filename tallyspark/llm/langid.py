@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import written
 
 SAMPLE_CHARS = 2_000_000
+SAMPLE_BLOCK = 20_000      # characters drawn together
 ORDER = 4
 BLOCK = 1 << 19
 PRIME = np.uint64(0x100000001B3 * 2 + 0x9E3779B1)
@@ -236,14 +237,23 @@ class Scorer:
 
 def fit(docs: DataFrame, order: int = ORDER, sample_chars: int = SAMPLE_CHARS) -> "Scorer | None":
     """Models from (text, lang); rows with a null lang or text are left out.
-    None if nothing is left."""
+    None if nothing is left.
+
+    About ``sample_chars`` characters of the distinct texts of each language
+    are drawn, by a hash of text and block of SAMPLE_BLOCK characters, so that
+    a language of a few long texts keeps its share."""
     rows = docs.select("text", "lang").where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("size", F.length("text"))
+    distinct = rows.groupBy("lang", "h").agg(F.first("size").alias("size"))
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.sum("size").alias("n")).collect()}
     if not sizes:
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, int(min(1.0, sample_chars / max(1, v)) * (1 << 30)) + 1)]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share)
-    sample = written(sample.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("lang", "text"), "lang-sample")
+    drawn = F.filter(F.sequence(F.lit(0), F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / SAMPLE_BLOCK).cast("int")),
+                     lambda k: F.pmod(F.when(k == 0, F.col("h")).otherwise(F.xxhash64("h", k)), F.lit(1 << 30)) < F.col("share"))
+    pieces = (rows.withColumn("share", share).withColumn("k", F.explode(drawn))
+              .select("lang", "h", "k", F.substring("text", F.col("k") * SAMPLE_BLOCK + 1, F.lit(SAMPLE_BLOCK)).alias("text")))
+    sample = written(pieces.groupBy("lang", "h", "k").agg(F.first("text").alias("text")).select("lang", "text"), "lang-sample")
     counts = (sample.mapInPandas(lambda f: _count(f, order), "lang string, n int, gram long, context long, tail long, c long")
               .groupBy("lang", "n", "gram").agg(F.first("context").alias("context"), F.first("tail").alias("tail"), F.sum("c").alias("c")))
     counts = counts.toPandas()   # bounded by the sample: at most order x sample_chars rows a language

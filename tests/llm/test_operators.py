@@ -162,6 +162,19 @@ def test_language_models(spark):
     assert 0.7 < m.prob[1].sum() <= 1.0 + 1e-6
 
 
+def test_language_of_one_very_long_text_keeps_a_model(spark):
+    rng = np.random.default_rng(17)
+    parts = {"x": ["th", "the", "and", "ing", "er"], "y": ["eau", "qu", "oi", "lle", "re"]}
+    text = lambda k, n=60: " ".join("".join(rng.choice(parts[k], 3)) for _ in range(n))
+    rows = [(i, text("x"), "x") for i in range(60)] + [(100 + i, text("y", 8), "y") for i in range(2)] + [(200 + i, text("y", 4000) * 60, "y") for i in range(1)]
+    rows += [(300 + i, rows[-1][1], "y") for i in range(3)]      # copies count once
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample_chars=60_000)
+    assert model.langs == ["x", "y"]
+    fresh = spark.createDataFrame([(i, text("xy"[i % 2])) for i in range(20)], "doc_id long, text string")
+    assert all(r.lang_pred == "xy"[r.doc_id % 2] for r in langid.identify(fresh, model).collect())
+
+
 def test_line_dedup_keeps_the_first_and_short_lines(spark):
     line = "this line is on many sites"
     rows = [(k, f"own words of document {k} here\n{line}\nok\n", f"s{k % 7}") for k in range(14)] + [(90, None, None), (91, "", "s1"), (92, line, "s1")]
