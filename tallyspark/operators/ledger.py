@@ -119,47 +119,87 @@ UPDATABLE = ("service_name", "amount", "billing_cycle", "category", "status", "s
              "bank", "service_logo", "brand_color")
 
 
+EDIT_BLOCK = 1_000_000     # edits of a block, about
+
+
+def _edit_blocks(edits: DataFrame) -> DataFrame:
+    """Adds ``_block``, a number that never falls as ``edit_seq`` rises, so that
+    the edits of one id, however many, are the work of many tasks.  The bounds
+    are quantiles over all edits, at most 255 numbers."""
+    n, bounds = edits.agg(F.count("*"), F.percentile_approx("edit_seq", [k / 256 for k in range(1, 256)])).first()
+    step = -(-256 // max(1, min(256, -(-n // EDIT_BLOCK))))
+    block = F.lit(0)
+    for bound in sorted(set((bounds or [])[step - 1::step])):
+        block = block + F.coalesce(F.col("edit_seq") >= F.lit(bound), F.lit(False)).cast("int")
+    return edits.withColumn("_block", block)
+
+
 def ledger_update(ledger: DataFrame, edits: DataFrame, keys=KEYS) -> tuple[DataFrame, DataFrame]:
-    """Apply edits by id (a NULL field means 'not sent'; per field the last
-    value sent by ``edit_seq`` wins).  Crossing the trial threshold flips trial and
-    status and overrides a sent status; a changed name re-enriches icon,
-    colour and category (overwriting a sent category).  Returns the updated
-    ledger and the edits whose id is unknown."""
+    """Apply the edits of each id one after the other, in ``edit_seq`` order
+    (a NULL field means 'not sent'; equal ``edit_seq`` of one id follow a hash of
+    their values).  In each edit, an amount that crosses the trial threshold flips
+    trial and status and overrides a sent status; a name that differs from the
+    present one re-enriches icon, colour and category (overwriting sent ones).  Of
+    rows with one id the first by ``seq`` is edited.  Returns the updated ledger
+    and the edits whose id is unknown.
+
+    What an edit does depends only on the last amount and the last name before
+    it.  Those come from a window inside its block of edits, else from the blocks
+    before, else from the ledger; then each field keeps the last value that some
+    edit gave it.
+    """
+    who = [*keys, "id"]
     e = edits
     for c in UPDATABLE:
         if c not in e.columns:
-            e = e.withColumn(c, F.lit(None))
-    last = (e.groupBy(*keys, "id")
-            # per field the last value that was sent
-            .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("edit_seq"))).alias(f"n_{c}") for c in UPDATABLE]))
-    j = ledger.join(last, [*keys, "id"], "left")
-    new_amt = F.col("n_amount").cast(MONEY)
-    cur_trial = F.coalesce(F.col("is_trial"), F.lit(False))
-    to_trial = new_amt.isNotNull() & (new_amt <= TRIAL_MAX) & ~cur_trial
-    to_active = new_amt.isNotNull() & (new_amt > TRIAL_MAX) & cur_trial
-    renamed = F.col("n_service_name").isNotNull() & (F.col("n_service_name") != F.col("service_name"))
-    enr = service_enrich(F.col("n_service_name"))
-    out = j.withColumn("_enr", enr).select(
-        *[c for c in ledger.columns if c not in UPDATABLE + ("is_trial", "trial_reason")],
-        F.coalesce("n_service_name", "service_name").alias("service_name"),
-        F.coalesce(new_amt, F.col("amount")).alias("amount"),
-        F.coalesce("n_billing_cycle", "billing_cycle").alias("billing_cycle"),
-        F.coalesce("n_start_date", "start_date").alias("start_date"),
-        F.coalesce("n_last_payment", "last_payment").alias("last_payment"),
-        F.coalesce("n_bank", "bank").alias("bank"),
-        F.when(to_trial, F.lit("Trial")).when(to_active, F.lit("Active"))
-         .otherwise(F.coalesce("n_status", "status")).alias("status"),
-        F.when(to_trial, F.lit(True)).when(to_active, F.lit(False)).otherwise(F.col("is_trial")).alias("is_trial"),
-        F.when(to_trial, low_amount_reason(new_amt)).when(to_active, F.lit(None))
-         .otherwise(F.col("trial_reason")).alias("trial_reason"),
-        F.when(renamed, F.col("_enr.logo")).otherwise(F.coalesce("n_service_logo", "service_logo"))
-         .alias("service_logo"),
-        F.when(renamed, F.col("_enr.color")).otherwise(F.coalesce("n_brand_color", "brand_color"))
-         .alias("brand_color"),
-        F.when(renamed, F.col("_enr.category")).otherwise(F.coalesce("n_category", "category")).alias("category"),
-    )
-    unmatched = last.join(ledger.select(*keys, "id"), [*keys, "id"], "left_anti")
-    return out.select(*ledger.columns), unmatched
+            e = e.withColumn(c, F.lit(None).cast(_TYPES[c]))
+    e = _edit_blocks(e.select(*who, "edit_seq", *[F.col(c).cast(_TYPES[c]).alias(c) for c in UPDATABLE]))
+    e = e.withColumn("_at", F.struct("edit_seq", F.xxhash64(*UPDATABLE))).withColumn("_low", F.col("amount") <= TRIAL_MAX)
+
+    def last_sent(value, sent: Column) -> Column:
+        return F.max_by(value, F.when(sent, F.col("_at")))
+
+    def before(w, c: str) -> Column:
+        return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+
+    base = ledger.groupBy(*who).agg(F.min(F.struct("seq", "service_name", "is_trial")).alias("_base"))
+    blocks = (e.groupBy(*who, "_block").agg(last_sent("_low", F.col("_low").isNotNull()).alias("_low"),
+                                            last_sent("service_name", F.col("service_name").isNotNull()).alias("_name")))
+    earlier = Window.partitionBy(*who).orderBy("_block")
+    blocks = (blocks.withColumn("_low", before(earlier, "_low")).withColumn("_name", before(earlier, "_name")).join(base, who)
+              .select(*who, "_block", F.col("_base.seq").alias("_seq"), F.coalesce("_low", "_base.is_trial", F.lit(False)).alias("_was_low"),
+                      F.coalesce("_name", "_base.service_name").alias("_was_name")))
+    inside = Window.partitionBy(*who, "_block").orderBy("_at")
+    steps = (e.withColumn("_enr", service_enrich("service_name"))
+             .withColumn("_before_low", before(inside, "_low")).withColumn("_before_name", before(inside, "service_name"))
+             .join(blocks, [*who, "_block"]))
+    was_low, was_name = F.coalesce("_before_low", "_was_low"), F.coalesce("_before_name", "_was_name")
+    to_trial, to_active = F.col("_low") & ~was_low, ~F.col("_low") & was_low
+    renamed = F.col("service_name").isNotNull() & ~F.col("service_name").eqNullSafe(was_name)
+    steps = (steps.withColumn("_renamed", renamed)
+             .withColumn("_turn", F.when(to_trial, F.struct(F.lit("Trial").alias("status"), F.lit(True).alias("is_trial"),
+                                                            low_amount_reason("amount").alias("reason")))
+                         .when(to_active, F.struct(F.lit("Active").alias("status"), F.lit(False).alias("is_trial"), F.lit(None).cast("string").alias("reason")))))
+    given = {c: F.col(c) for c in UPDATABLE}
+    given["status"] = F.coalesce("_turn.status", "status")
+    for c, part in (("category", "category"), ("service_logo", "logo"), ("brand_color", "color")):
+        given[c] = F.when(F.col("_renamed"), F.col(f"_enr.{part}")).otherwise(F.col(c))
+    last = steps.groupBy(*who).agg(F.first("_seq").alias("_seq"), last_sent("_turn", F.col("_turn").isNotNull()).alias("_turn"),
+                                   *[last_sent(v, v.isNotNull()).alias(f"n_{c}") for c, v in given.items()])
+    j = ledger.withColumnRenamed("seq", "_pos").join(last, who, "left").withColumn("seq", F.col("_pos"))
+    mine = F.col("_seq").eqNullSafe(F.col("_pos"))
+    out = {c: F.when(mine, F.coalesce(f"n_{c}", c)).otherwise(F.col(c)) for c in UPDATABLE if c in ledger.columns}
+    turned = mine & F.col("_turn").isNotNull()
+    out["is_trial"] = F.when(turned, F.col("_turn.is_trial")).otherwise(F.col("is_trial"))
+    if "trial_reason" in ledger.columns:
+        out["trial_reason"] = F.when(turned, F.col("_turn.reason")).otherwise(F.col("trial_reason"))
+    unmatched = edits.join(ledger.select(*who).distinct(), who, "left_anti")
+    return j.select(*[out.get(c, F.col(c)).alias(c) for c in ledger.columns]), unmatched
+
+
+def ledger_clear(ledger: DataFrame) -> DataFrame:
+    """The ledger without any subscription, under the same columns."""
+    return ledger.limit(0)
 
 
 def ledger_delete(ledger: DataFrame, deletes: DataFrame, keys=KEYS) -> DataFrame:

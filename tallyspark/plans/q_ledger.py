@@ -107,6 +107,34 @@ def q_ledger_update_unmatched(spark, d):
     return unmatched.select("account_id", "id")
 
 
+_ES = _enrich_sql("e.n_service_name")
+_TO_TRIAL = "(e.n_amount IS NOT NULL AND e.n_amount <= 10 AND NOT COALESCE(f.is_trial, false))"
+_TO_ACTIVE = "(e.n_amount IS NOT NULL AND e.n_amount > 10 AND COALESCE(f.is_trial, false))"
+_RENAMED = "(e.n_service_name IS NOT NULL AND e.n_service_name IS DISTINCT FROM f.service_name)"
+
+
+@register("ledger_update_sequence", V.with_ctes(V.SQL_SUBS, V.SQL_LEDGER, V.SQL_EDIT_LOG).replace("WITH", "WITH RECURSIVE", 1) + f"""
+, e AS (SELECT *, row_number() OVER (PARTITION BY account_id, id ORDER BY edit_seq) AS n FROM v_edit_log)
+, f AS (SELECT CAST(0 AS BIGINT) AS n, account_id, id, service_name, amount, status, is_trial, CAST(NULL AS VARCHAR) AS trial_reason,
+               category, CAST(NULL AS VARCHAR) AS service_logo, brand_color FROM v_ledger
+        UNION ALL
+        SELECT e.n, f.account_id, f.id, COALESCE(e.n_service_name, f.service_name), COALESCE(e.n_amount, f.amount),
+               CASE WHEN {_TO_TRIAL} THEN 'Trial' WHEN {_TO_ACTIVE} THEN 'Active' ELSE COALESCE(e.n_status, f.status) END,
+               CASE WHEN {_TO_TRIAL} THEN true WHEN {_TO_ACTIVE} THEN false ELSE f.is_trial END,
+               CASE WHEN {_TO_TRIAL} THEN 'Low amount (₹' || format('{{:.2f}}', CAST(e.n_amount AS DOUBLE)) || ')'
+                    WHEN {_TO_ACTIVE} THEN NULL ELSE f.trial_reason END,
+               CASE WHEN {_RENAMED} THEN {_ES['category']} ELSE COALESCE(e.n_category, f.category) END,
+               CASE WHEN {_RENAMED} THEN {_ES['logo']} ELSE f.service_logo END,
+               CASE WHEN {_RENAMED} THEN {_ES['color']} ELSE f.brand_color END
+        FROM f JOIN e ON e.account_id = f.account_id AND e.id = f.id AND e.n = f.n + 1)
+SELECT account_id, id, service_name, CAST(amount AS DOUBLE) AS amount, status, is_trial, trial_reason, category, service_logo, brand_color
+FROM (SELECT *, row_number() OVER (PARTITION BY account_id, id ORDER BY n DESC) AS r FROM f) WHERE r = 1""")
+def q_ledger_update_sequence(spark, d):
+    out, _unmatched = L.ledger_update(L.conform(V.ledger_base(spark, d)), V.ledger_edit_log(spark, d))
+    return _money(out.select("account_id", "id", "service_name", "amount", "status", "is_trial", "trial_reason",
+                             "category", "service_logo", "brand_color"), "amount")
+
+
 @register("ledger_delete", LED + """
 SELECT account_id, id FROM v_ledger WHERE seq % 10 <> 1""")
 def q_ledger_delete(spark, d):

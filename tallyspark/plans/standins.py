@@ -362,6 +362,33 @@ v_edits AS (
   FROM v_subs)"""
 
 
+def ledger_edit_log(spark, sf_dir) -> DataFrame:
+    """Several edits of one subscription: one per order, on the subscription
+    whose number is the customer's, in order of the order key; an edit sends one
+    to four fields or none, one in eleven names an id that the ledger does not hold."""
+    o = table(spark, sf_dir, "orders")
+    s = subs(spark, sf_dir).select("account_id", F.col("id").alias("sub_id"), F.col("seq").alias("o_custkey"), F.col("service_name").alias("old"))
+    k = F.col("o_orderkey")
+    return o.join(s, "o_custkey").select(
+        "account_id", F.when(k % 11 == 8, F.concat(F.lit("x"), "sub_id")).otherwise(F.col("sub_id")).alias("id"), k.alias("edit_seq"),
+        F.when(k % 3 != 0, (F.floor("o_totalprice") % 21).cast(MONEY)).alias("amount"),
+        F.when(k % 4 == 0, F.concat(F.lit("spotify "), F.col("old"))).when(k % 4 == 1, F.concat(F.lit("cloud "), F.lower("o_orderpriority")))
+         .when(k % 8 == 2, F.col("old")).alias("service_name"),
+        F.when(k % 5 == 0, F.lit("Inactive")).when(k % 5 == 1, F.lit("Active")).alias("status"),
+        F.when(k % 7 == 3, F.concat(F.lit("Edited "), F.col("o_orderstatus"))).alias("category"))
+
+
+SQL_EDIT_LOG = """
+v_edit_log AS (
+  SELECT s.account_id, CASE WHEN o_orderkey % 11 = 8 THEN 'x' || s.id ELSE s.id END AS id, o_orderkey AS edit_seq,
+         CASE WHEN o_orderkey % 3 <> 0 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) % 21 AS DECIMAL(18,2)) END AS n_amount,
+         CASE WHEN o_orderkey % 4 = 0 THEN 'spotify ' || s.service_name WHEN o_orderkey % 4 = 1 THEN 'cloud ' || lower(o_orderpriority)
+              WHEN o_orderkey % 8 = 2 THEN s.service_name END AS n_service_name,
+         CASE o_orderkey % 5 WHEN 0 THEN 'Inactive' WHEN 1 THEN 'Active' END AS n_status,
+         CASE WHEN o_orderkey % 7 = 3 THEN 'Edited ' || o_orderstatus END AS n_category
+  FROM orders JOIN v_subs s ON s.seq = o_custkey)"""
+
+
 def detected_slice(spark, sf_dir) -> DataFrame:
     """Detected subscriptions to merge, one per ledger row: half the names in
     upper case (case-blind duplicates of ledger names), the others new."""

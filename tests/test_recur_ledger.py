@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tallyspark.operators import ledger as L
@@ -147,6 +149,64 @@ def test_update_crossing_threshold(spark):
     assert [x["id"] for x in unmatched.collect()] == ["nope"]
 
 
+EDIT_LOG = "account_id long, id string, edit_seq long, amount double, service_name string, status string, category string"
+
+
+def _one_by_one(rows, edits):
+    """Edits applied one at a time to a list of dicts, as a plain loop."""
+    for _, i, _, amount, name, status, category in sorted(edits, key=lambda e: e[2]):
+        row = next((r for r in rows if r["id"] == i), None)
+        if row is None:
+            continue
+        sent = {k: v for k, v in (("amount", amount), ("service_name", name), ("status", status), ("category", category)) if v is not None}
+        if amount is not None and (amount <= 10) != bool(row["is_trial"]):
+            low = amount <= 10
+            sent |= {"status": "Trial" if low else "Active", "is_trial": low, "trial_reason": f"Low amount (₹{amount:.2f})" if low else None}
+        if name is not None and name != row["service_name"]:
+            sent["category"] = "Video Streaming" if "netflix" in name else "Music Streaming" if "spotify" in name else "Other Services"
+        row.update(sent)
+    return rows
+
+
+@pytest.mark.parametrize("block", [1_000_000, 1, 7])
+def test_updates_of_one_id_follow_one_another(spark, monkeypatch, block):
+    import random
+    from decimal import Decimal
+    monkeypatch.setattr(L, "EDIT_BLOCK", block)
+    rng = random.Random(5)
+    subs = [(1, f"s{k}", k, "zz netflix" if k % 2 else None, Decimal(5 + 10 * (k % 2)), "Monthly", "Active", "c", [None, True, False][k % 3], None, None, None)
+            for k in range(6)]
+    led = L.conform(_subs(spark, subs))
+    pick = lambda *v: rng.choice([None, None, *v])
+    # a third of all edits are of one id; one id is unknown
+    edits = [(1, rng.choice(["s0", "s1", "s1", "s1", "s2", "s3", "s4", "nope"]), k, pick(3.0, 10.0, 11.0, 99.0),
+              pick("zz netflix", "zz spotify", "zz"), pick("Inactive", "Active"), pick("d", "e")) for k in range(80)]
+    out, unmatched = L.ledger_update(led, spark.createDataFrame(edits, EDIT_LOG).repartition(3))
+    start = [r.asDict() for r in led.orderBy("seq").collect()]
+    fields = ("id", "service_name", "amount", "status", "is_trial", "trial_reason", "category")
+    want = [tuple(r[c] for c in fields) for r in _one_by_one(start, edits)]
+    assert [tuple(r[c] for c in fields) for r in out.orderBy("seq").collect()] == want
+    assert sorted(r["edit_seq"] for r in unmatched.collect()) == [e[2] for e in edits if e[1] == "nope"]
+
+
+def test_probed_edit_sequences(spark):
+    from decimal import Decimal
+    led = L.conform(_subs(spark, [(1, i, k, "Svc", Decimal("50"), "Monthly", "Active", "c", False, None, None, None) for k, i in enumerate("ab")]))
+    edits = spark.createDataFrame([(1, "a", 1, 5.0, None, None, None), (1, "a", 2, None, None, "Inactive", None),
+                                   (1, "b", 1, None, "netflix", None, None), (1, "b", 2, None, None, None, "Mine")], EDIT_LOG)
+    got = {r["id"]: r for r in L.ledger_update(led, edits)[0].collect()}
+    assert got["a"]["status"] == "Inactive" and got["a"]["is_trial"] and got["b"]["category"] == "Mine"
+    none = L.ledger_update(led, edits.limit(0))[0]
+    assert sorted(map(tuple, none.collect()), key=str) == sorted(map(tuple, led.collect()), key=str)
+
+
+def test_clear_leaves_an_empty_ledger(spark):
+    from decimal import Decimal
+    led = L.conform(_subs(spark, [(1, "a", 1, "x", Decimal("1"), "Monthly", "Active", None, False, None, None, None)]))
+    empty = L.ledger_clear(led)
+    assert empty.collect() == [] and empty.schema == led.schema
+
+
 def test_monthly_metrics(spark):
     from decimal import Decimal
     s = _subs(spark, [
