@@ -9,9 +9,10 @@ arithmetic (cross-multiplied), so no boundary case depends on rounding.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import over_rows_before
 from .metrics import live, recurring_vs_onetime, yearly_cost
 
 KEYS = ("account_id",)
@@ -97,9 +98,37 @@ def duplicate_services(subs: DataFrame, keys=KEYS) -> DataFrame:
             .select(*group, "n_services", "service"))
 
 
-def spend_spikes(txns: DataFrame, keys=KEYS, days: int = 30, k: float = 3.0) -> DataFrame:
-    """Charges above mean + k * sample sd of the same account and
-    category over the ``days`` days before the charge's day.
+def _spikes(df: DataFrame, keys, day: Column, k: float) -> DataFrame:
+    """Charges above mean + k * sample sd, from the sums of a window (``ws``,
+    ``wss``, ``wn``) of two charges or more."""
+    n = F.col("wn").cast("decimal(20,0)")
+    var_num = (n * F.col("wss") - F.col("ws") * F.col("ws")).cast("double")
+    var = var_num / (F.col("wn").cast("double") * (F.col("wn") - 1).cast("double"))
+    amount = F.col("amount_numeric").cast("double")
+    out = (df.filter("wn >= 2").withColumn("window_mean", F.col("ws").cast("double") / F.col("wn").cast("double"))
+           .withColumn("window_sd", F.sqrt(F.greatest(var, F.lit(0.0)))))
+    return out.filter(amount > F.col("window_mean") + k * F.col("window_sd")).select(
+        *keys, "message_id", "category", day.alias("day"), amount.alias("amount"), "window_mean", "window_sd")
+
+
+def spend_spikes(txns: DataFrame, keys=KEYS, rows: int = 30, k: float = 3.0, block_rows: int = 1_000_000) -> DataFrame:
+    """Charges above mean + k * sample sd of the ``rows`` charges before
+    them in the same account and category (charges without a category are a
+    group), in order of (event_ts, message_id, amount); local_ts where event_ts is absent.
+
+    The row frame is split along time, so a hot category is many tasks; sums are
+    exact DECIMALs."""
+    a = F.col("amount_numeric")
+    sums = {"ws": F.sum(a), "wss": F.sum(a * a), "wn": F.count(a)}
+    at = "event_ts" if "event_ts" in txns.columns else "local_ts"
+    t = txns.select(*keys, "message_id", "category", "local_ts", F.col(at).alias("_at"), "amount_numeric")
+    out = over_rows_before(t, [*keys, "category"], ["_at", "message_id", "amount_numeric"], rows, sums, block_rows)
+    return _spikes(out, keys, F.to_date("local_ts"), k)
+
+
+def spend_spikes_by_day(txns: DataFrame, keys=KEYS, days: int = 30, k: float = 3.0) -> DataFrame:
+    """Charges above mean + k * sample sd of the same account and category
+    over the ``days`` days before the charge's day.
 
     Skew-safe: the window runs over one pre-aggregated row per (account,
     category, day) with exact DECIMAL sums and sums of squares, never over the
@@ -111,17 +140,10 @@ def spend_spikes(txns: DataFrame, keys=KEYS, days: int = 30, k: float = 3.0) ->
         F.sum(a).alias("s"), F.sum(a * a).alias("ss"), F.count(a).alias("n"))
     dn = F.unix_date("day")
     w = Window.partitionBy(*keys, "category").orderBy(dn).rangeBetween(-days, -1)
-    st = daily.select(*keys, "category", "day", F.sum("s").over(w).alias("ws"), F.sum("ss").over(w).alias("wss"),
-                      F.sum("n").over(w).alias("wn")).filter(F.col("wn") >= 2)
-    n = F.col("wn").cast("decimal(20,0)")
-    var_num = (n * F.col("wss") - F.col("ws") * F.col("ws")).cast("double")
-    var = var_num / (F.col("wn").cast("double") * (F.col("wn") - 1).cast("double"))
-    mean = F.col("ws").cast("double") / F.col("wn").cast("double")
-    thr = st.select(*keys, "category", "day", mean.alias("window_mean"),
-                    F.sqrt(F.greatest(var, F.lit(0.0))).alias("window_sd"))
-    t = txns.withColumn("day", d).join(thr, [*keys, "category", "day"])
-    return t.filter(a.cast("double") > F.col("window_mean") + k * F.col("window_sd")).select(
-        *keys, "message_id", "category", "day", a.cast("double").alias("amount"), "window_mean", "window_sd")
+    sums = daily.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "category", "day")], F.sum("s").over(w).alias("ws"),
+                        F.sum("ss").over(w).alias("wss"), F.sum("n").over(w).alias("wn"))
+    t = txns.withColumn("day", d).join(sums, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "category", "day")])
+    return _spikes(t, keys, F.col("day"), k)
 
 
 def trial_savings(subs: DataFrame, keys=KEYS) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions.amount import MONEY, TRIAL_MAX, low_amount_reason
 from ..functions.classify import service_enrich
+from .frames import order_blocks
 from .recur import subscription_id
 
 KEYS = ("account_id",)
@@ -122,18 +123,6 @@ UPDATABLE = ("service_name", "amount", "billing_cycle", "category", "status", "s
 EDIT_BLOCK = 1_000_000     # edits of a block, about
 
 
-def _edit_blocks(edits: DataFrame) -> DataFrame:
-    """Adds ``_block``, a number that never falls as ``edit_seq`` rises, so that
-    the edits of one id, however many, are the work of many tasks.  The bounds
-    are quantiles over all edits, at most 255 numbers."""
-    n, bounds = edits.agg(F.count("*"), F.percentile_approx("edit_seq", [k / 256 for k in range(1, 256)])).first()
-    step = -(-256 // max(1, min(256, -(-n // EDIT_BLOCK))))
-    block = F.lit(0)
-    for bound in sorted(set((bounds or [])[step - 1::step])):
-        block = block + F.coalesce(F.col("edit_seq") >= F.lit(bound), F.lit(False)).cast("int")
-    return edits.withColumn("_block", block)
-
-
 def ledger_update(ledger: DataFrame, edits: DataFrame, keys=KEYS) -> tuple[DataFrame, DataFrame]:
     """Apply the edits of each id one after the other, in ``edit_seq`` order
     (a NULL field means 'not sent'; equal ``edit_seq`` of one id follow a hash of
@@ -153,7 +142,7 @@ def ledger_update(ledger: DataFrame, edits: DataFrame, keys=KEYS) -> tuple[DataF
     for c in UPDATABLE:
         if c not in e.columns:
             e = e.withColumn(c, F.lit(None).cast(_TYPES[c]))
-    e = _edit_blocks(e.select(*who, "edit_seq", *[F.col(c).cast(_TYPES[c]).alias(c) for c in UPDATABLE]))
+    e = order_blocks(e.select(*who, "edit_seq", *[F.col(c).cast(_TYPES[c]).alias(c) for c in UPDATABLE]), "edit_seq", EDIT_BLOCK)
     e = e.withColumn("_at", F.struct("edit_seq", F.xxhash64(*UPDATABLE))).withColumn("_low", F.col("amount") <= TRIAL_MAX)
 
     def last_sent(value, sent: Column) -> Column:

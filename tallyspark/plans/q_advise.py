@@ -76,6 +76,20 @@ def q_duplicate_services(spark, d):
 
 
 @register("spend_spikes", V.with_ctes(V.SQL_TXN_EVENTS) + """
+, w AS (SELECT *, SUM(amount_numeric) OVER f AS ws, SUM(amount_numeric * amount_numeric) OVER f AS wss, COUNT(amount_numeric) OVER f AS wn
+        FROM v_txn_events
+        WINDOW f AS (PARTITION BY account_id, category ORDER BY event_ts, message_id, amount_numeric ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
+, thr AS (SELECT *, CAST(ws AS DOUBLE) / CAST(wn AS DOUBLE) AS window_mean,
+                 sqrt(greatest(CAST(CAST(wn AS DECIMAL(20,0)) * wss - ws * ws AS DOUBLE)
+                               / (CAST(wn AS DOUBLE) * CAST(wn - 1 AS DOUBLE)), 0.0)) AS window_sd
+          FROM w WHERE wn >= 2)
+SELECT account_id, message_id, category, CAST(local_ts AS DATE) AS day, CAST(amount_numeric AS DOUBLE) AS amount, window_mean, window_sd
+FROM thr WHERE CAST(amount_numeric AS DOUBLE) > window_mean + 3.0 * window_sd""")
+def q_spend_spikes(spark, d):
+    return AD.spend_spikes(V.txn_events(spark, d))
+
+
+@register("spend_spikes_by_day", V.with_ctes(V.SQL_TXN_EVENTS) + """
 , daily AS (SELECT account_id, category, CAST(local_ts AS DATE) AS day, SUM(amount_numeric) AS s,
                    SUM(amount_numeric * amount_numeric) AS ss, COUNT(amount_numeric) AS n
             FROM v_txn_events GROUP BY ALL)
@@ -92,8 +106,8 @@ SELECT t.account_id, t.message_id, t.category, thr.day, CAST(t.amount_numeric AS
 FROM v_txn_events t JOIN thr ON t.account_id = thr.account_id AND t.category = thr.category
  AND CAST(t.local_ts AS DATE) = thr.day
 WHERE CAST(t.amount_numeric AS DOUBLE) > thr.window_mean + 3.0 * thr.window_sd""")
-def q_spend_spikes(spark, d):
-    return AD.spend_spikes(V.txn_events(spark, d))
+def q_spend_spikes_by_day(spark, d):
+    return AD.spend_spikes_by_day(V.txn_events(spark, d))
 
 
 @register("trial_savings", V.with_ctes(V.SQL_SUBS) + """

@@ -3,6 +3,9 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
+from pyspark.sql import functions as F
+
 from tallyspark.operators import advise as AD
 from tallyspark.operators import clean as CL
 from tallyspark.operators import spend as S
@@ -63,3 +66,34 @@ def test_spend_spike(spark):
     rows.append((1, "big", "c", Decimal("500"), dt.datetime(2025, 1, 12)))
     out = [r["message_id"] for r in AD.spend_spikes(_tx(spark, rows)).collect()]
     assert out == ["big"]
+
+
+@pytest.mark.parametrize("block_rows", [1_000_000, 7, 40])
+def test_spikes_over_the_thirty_rows_before(spark, block_rows):
+    """A hot category, sparse ones, one without a name, ties, against a plain loop."""
+    import random
+    import statistics
+    rng = random.Random(1)
+    rows = []
+    for k in range(600):
+        cat = rng.choice(["hot"] * 6 + [None, "a", "b", "c"])
+        amount = None if rng.random() < 0.05 else Decimal(rng.choice([1, 2, 3, 4, 5] * 6 + [90])).quantize(Decimal("1.00"))
+        rows.append((rng.randint(1, 2), f"m{k:04d}", cat, amount, dt.datetime(2025, 1, 1) + dt.timedelta(hours=rng.randint(0, 300) ** 2 // 90)))
+    want = []
+    for key in {(r[0], r[2]) for r in rows}:
+        group = sorted((r for r in rows if (r[0], r[2]) == key), key=lambda r: (r[4], r[1]))
+        for i, r in enumerate(group):
+            seen = [x[3] for x in group[max(0, i - 30):i] if x[3] is not None]
+            if r[3] is not None and len(seen) >= 2 and float(r[3]) > float(statistics.mean(seen)) + 3 * statistics.stdev(map(float, seen)) + 1e-9:
+                want.append(r[1])
+    tx = _tx(spark, rows).withColumn("event_ts", F.col("local_ts").cast("timestamp")).repartition(5)
+    got = [r["message_id"] for r in AD.spend_spikes(tx, block_rows=block_rows).collect()]
+    assert len(want) > 5 and sorted(got) == sorted(want)
+    assert any(r[2] is None and r[1] in want for r in rows)
+    assert AD.spend_spikes(tx.limit(0)).collect() == []
+
+
+def test_day_spikes_of_charges_without_a_category(spark):
+    rows = [(1, f"m{d}", None, Decimal("10") + d % 2, dt.datetime(2025, 1, d + 1)) for d in range(10)]
+    rows.append((1, "big", None, Decimal("500"), dt.datetime(2025, 1, 12)))
+    assert [r["message_id"] for r in AD.spend_spikes_by_day(_tx(spark, rows)).collect()] == ["big"]
