@@ -11,6 +11,7 @@ from ..functions.amount import extract_amount, format_amount
 from ..functions.text import HTML_ENTITIES, html_to_text, preview, title_case
 from ..operators import analyze as A
 from ..operators import clean as D
+from ..operators import rule_table as RT
 from ..operators import spend as S
 from . import sqlgen as G
 from . import standins as V
@@ -187,6 +188,36 @@ def q_score_category(spark, d):
     return t.select("doc_id", F.col("best.score").alias("score"), C.category_label(F.col("best")).alias("category"))
 
 
+# Rule tables of any number of needles: the words of the benchmark items, 40 labels.
+_TABLE_RULES = _DOC.rstrip() + """
+, needles AS (SELECT lower(w) AS needle, min(item_id) AS ordinal, 'topic ' || CAST(min(item_id) % 40 AS VARCHAR) AS label
+              FROM (SELECT item_id, unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 2 GROUP BY 1)
+, hits AS (SELECT doc_id, needle, ordinal, label FROM docs JOIN needles ON contains(docs.text, needle))
+"""
+
+
+def needle_table(spark, d):
+    """One rule per word of the benchmark items."""
+    words = V.table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where(F.length("w") >= 2)
+    return (words.groupBy(F.lower("w").alias("needle")).agg(F.min("item_id").alias("ordinal"))
+            .withColumn("label", F.concat(F.lit("topic "), (F.col("ordinal") % 40).cast("string"))))
+
+
+@register("rule_table_resolve", _TABLE_RULES + """
+SELECT d.doc_id, COALESCE(f.label, 'none') AS label FROM docs d LEFT JOIN
+  (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, needle) AS r FROM hits) WHERE r = 1) f USING (doc_id)""")
+def q_rule_table_resolve(spark, d):
+    return RT.resolve_by_rules(_docs(spark, d), "text", needle_table(spark, d), ["doc_id"], default="none").select("doc_id", "label")
+
+
+@register("rule_table_score", _TABLE_RULES + f"""
+, per AS (SELECT doc_id, label, count(DISTINCT needle) AS score, min(ordinal) AS first FROM hits GROUP BY ALL)
+SELECT d.doc_id, CAST(COALESCE(s.score, 0) AS INTEGER) AS score, COALESCE(s.label, {G.q(R.CATEGORY_NONE)}) AS category FROM docs d LEFT JOIN
+  (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first, label) AS r FROM per) WHERE r = 1) s USING (doc_id)""")
+def q_rule_table_score(spark, d):
+    return RT.score_by_rules(_docs(spark, d), "text", needle_table(spark, d), ["doc_id"]).select("doc_id", "score", "category")
+
+
 @register("rule_confidence", _DOC + f"""
 SELECT doc_id, CAST(CASE WHEN {_DSCORE} > 0 THEN {_DSCORE} * 15 ELSE 25 END AS INTEGER) AS confidence FROM docs""")
 def q_rule_confidence(spark, d):

@@ -4,7 +4,8 @@ The reference runs one mailbox search per term (sender addresses, subject
 words, a body phrase) in order and stops once the ids found so far -
 counted with duplicates - reach N; then it de-duplicates, sorts ids
 descending as byte strings and keeps N.  Here every message is tested
-against the ordered term list with native expressions (no join), matches are
+against the ordered term list with native expressions (no join; an inverted
+index where the terms are a table), matches are
 counted per (account, term), a running sum over the at most few dozen terms
 of each account decides which terms were searched, and the per-account top N
 runs through Spark's window group limit (partial top-N on the map side), so a
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..operators.rule_table import hits_by_rules
+from ..session import scratch_path
 
 KEYS = ("account_id",)
 
@@ -41,8 +44,18 @@ def term_hits(messages: DataFrame, terms=None) -> Column:
 
 def candidate_messages(messages: DataFrame, n: int = 50, terms=None, keys=KEYS) -> DataFrame:
     """A3: per account the ids the reference's search would return, with
-    their rank (1 = greatest id)."""
-    m = messages.select(*keys, "message_id", F.explode(term_hits(messages, terms)).alias("term_ord"))
+    their rank (1 = greatest id).  ``terms`` is a short list of (field, needle)
+    or, for many terms, a DataFrame (term_ord, field, needle).
+
+    Messages are read and matched once: the matches are written to the shared
+    scratch folder, as counting and choosing both need them."""
+    if isinstance(terms, DataFrame):
+        m = hits_by_rules(messages, ["sender", "subject", "body"], terms, [*keys, "message_id"])
+    else:
+        m = messages.select(*keys, "message_id", F.explode(term_hits(messages, terms)).alias("term_ord"))
+    path = scratch_path(messages.sparkSession, "candidates")
+    m.write.parquet(path)
+    m = messages.sparkSession.read.schema(m.schema).parquet(path)
     per_term = m.groupBy(*keys, "term_ord").agg(F.count("*").alias("hits"))
     w = Window.partitionBy(*keys).orderBy("term_ord").rowsBetween(Window.unboundedPreceding, -1)
     searched = (per_term.withColumn("before", F.coalesce(F.sum("hits").over(w), F.lit(0)))
