@@ -70,13 +70,18 @@ def parse_local_ts(date_header) -> Column:
 
 def with_parsed_dates(df, date_col: str = "date"):
     """Add ``event_ts`` and ``local_ts``; rows where either fails stay with
-    NULLs (dropped by ``drop_bad_dates``).  The header is cleaned once into
-    helper columns so the generated code stays small."""
-    tmp = df.withColumn("_hdr", clean_header(date_col)).withColumn("_wall", _wall_part(F.col("_hdr")))
-    wall = F.coalesce(*[F.try_to_timestamp(F.col("_wall"), F.lit(f)) for f in WALL_FORMATS])
-    inst = F.coalesce(*[F.try_to_timestamp(F.col("_hdr"), F.lit(f)) for f in INSTANT_FORMATS],
-                      F.when(F.col("_hdr") == F.col("_wall"), wall))
-    return (tmp.withColumn("local_ts", wall.cast("timestamp_ntz"))
-            .withColumn("event_ts", F.when(F.col("local_ts").isNotNull(), inst))
-            .withColumn("local_ts", F.when(F.col("event_ts").isNotNull(), F.col("local_ts")))
-            .drop("_hdr", "_wall"))
+    NULLs (dropped by ``drop_bad_dates``).
+
+    The formats are tried once per row: the two parses come out of a generator
+    over a list of one, below which the optimizer pushes no filter, so a filter
+    on the dates reads them instead of a copy of the parse."""
+    tmp = df.withColumn("_hdr", clean_header(date_col)).withColumn("_cut", _wall_part(F.col("_hdr")))
+    wall = F.coalesce(*[F.try_to_timestamp(F.col("_cut"), F.lit(f)) for f in WALL_FORMATS])
+    inst = F.coalesce(*[F.try_to_timestamp(F.col("_hdr"), F.lit(f)) for f in INSTANT_FORMATS])
+    both = F.inline(F.array(F.struct(wall.alias("_wall"), inst.alias("_inst"))))
+    tmp = tmp.select("*", both)
+    # a header without any zone is read as UTC
+    event = F.coalesce("_inst", F.when(F.col("_hdr") == F.col("_cut"), F.col("_wall")))
+    return (tmp.withColumn("event_ts", F.when(F.col("_wall").isNotNull(), event))
+            .withColumn("local_ts", F.when(event.isNotNull(), F.col("_wall").cast("timestamp_ntz")))
+            .drop("_hdr", "_cut", "_wall", "_inst"))

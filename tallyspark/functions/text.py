@@ -53,19 +53,25 @@ def decode_references(col) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(_c(col), F.lit(_PIECES), 1), one), "")
 
 
+# Up to the end of a tag: a quoted value may hold any character, a bracket too.
+_REST = r"""(?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+>"""
+# One token each: a comment, a raw element with its content, a tag, a
+# declaration or a broken end tag, a run of text, a bracket that opens nothing.
+_TOKENS = (r"(?is)(<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>])" + _REST + r".*?(?:</\2\s*+>|\z)|</?[a-z]" + _REST + r"|<[!?/][^>]*+>|[^<]++|<)")
+
+
 def html_to_text(col, limit: int | None = None) -> Column:
     """HTML -> readable text (operator B1).
 
-    Script and style blocks and comments are dropped, every tag becomes a
-    blank, named and numbered character references are decoded, and runs of
-    blanks that span a line break or hold two or more blanks become one blank.
-    The whole text is kept unless a caller gives a ``limit``.
+    One pass cuts the source into tokens.  Comments, script and style elements
+    are dropped and every tag becomes a blank, also where a quoted attribute
+    holds a bracket; a bracket that opens no tag is text.  Named and numbered
+    character references are decoded, and runs of blanks that span a line break
+    or hold two or more blanks become one blank.  The whole text is kept unless
+    a caller gives a ``limit``.
     """
-    x = _c(col)
-    x = F.regexp_replace(x, r"(?is)<script\b.*?</script\s*>", " ")
-    x = F.regexp_replace(x, r"(?is)<style\b.*?</style\s*>", " ")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
-    x = F.regexp_replace(x, r"<[^>]*>", " ")
+    token = F.regexp_extract_all(_c(col), F.lit(_TOKENS), F.lit(1))
+    x = F.array_join(F.transform(token, lambda t: F.when(t.startswith("<") & (F.length(t) > 1), F.lit(" ")).otherwise(t)), "")
     x = normalize_blanks(decode_references(x))
     return F.left(x, F.lit(limit)) if limit else x
 

@@ -110,3 +110,23 @@ def q_score_hook(spark, d):
     t = A.score_hook(V.messages(spark, d), demo_scorer)
     return t.select("message_id", "analysis_source", F.col("amount").cast("double").alias("amount"),
                     "category", "merchant_name", "confidence")
+
+
+def partial_scorer(subject, body, bank):
+    """The demo scorer, which raises on a batch that holds an amount with 13 cents."""
+    if body.fillna("").str.contains(".13", regex=False).any():
+        raise RuntimeError("cannot read this amount")
+    return demo_scorer(subject, body, bank)
+
+
+@register("score_hook_isolated", MM + f"""
+, bad AS (SELECT *, contains(body, '.13') AS failed FROM v_model)
+SELECT message_id, CASE WHEN failed THEN 'rules' ELSE 'model' END AS analysis_source,
+       CASE WHEN failed THEN CAST(amount AS DOUBLE) END AS amount,
+       CASE WHEN failed THEN {G.title_map('COALESCE(vendor_category, label)', _ALL_LABELS)} ELSE bank END AS category,
+       CASE WHEN failed THEN vendor ELSE subject END AS merchant_name,
+       CASE WHEN failed THEN 'RuntimeError: cannot read this amount' END AS score_error
+FROM bad""")
+def q_score_hook_isolated(spark, d):
+    t = A.score_hook(V.messages(spark, d), partial_scorer, errors=True)
+    return t.select("message_id", "analysis_source", F.col("amount").cast("double").alias("amount"), "category", "merchant_name", "score_error")

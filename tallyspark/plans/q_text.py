@@ -107,6 +107,22 @@ def q_html_to_text(spark, d):
     return p.select("page_id", html_to_text("html").alias("text"))
 
 
+# Sources that blind replacement of tags gets wrong, and the text that a reader sees.
+HARD_HTML = [("<p title='a>b'>x</p>", "x"), ("a < b and c > d", "a < b and c > d"), ('<a href="?q=<i>" data-x = "1 > 0">link</a>', "link"),
+             ("<p class=o'x>Hello</p><p>it's here</p>", "Hello it's here"), ("<SCRIPT type='x>y'>if (a<b) { c(\"</p>\") }</SCRIPT >end", "end"),
+             ("<scripture>kept</scripture><!-- <b>no</b> -->yes", "kept yes"), ("1 <2 & 3", "1 <2 & 3"), ("tail <!-- open", "tail")]
+_HARD_IN = "[" + ", ".join(G.q(a) for a, _ in HARD_HTML) + "]"
+_HARD_OUT = "[" + ", ".join(G.q(b) for _, b in HARD_HTML) + "]"
+
+
+@register("html_to_text_hard", "WITH x AS (SELECT 1)" + _HTML_SQL.replace("SELECT page_id, regexp", ", plain AS (SELECT page_id, regexp", 1) + f""")
+SELECT page_id, trim(text || ' ' || {_HARD_OUT}[page_id % {len(HARD_HTML)} + 1]) AS text FROM plain""")
+def q_html_to_text_hard(spark, d):
+    p = V.table(spark, d, "pages")
+    hard = F.get(F.array(*[F.lit(a) for a, _ in HARD_HTML]), (F.col("page_id") % len(HARD_HTML)).cast("int"))
+    return p.select("page_id", html_to_text(F.concat("html", F.lit("\n"), hard)).alias("text"))
+
+
 @register("body_preview", """
 SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview
 FROM conversations""")

@@ -15,7 +15,7 @@ from .conftest import SF  # noqa: E402
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF",
                 "MapInArrow")
-PYTHON_ALLOWED = {"ingest_messages", "mail_body_select", "ingest_with_deadletter", "score_hook"}
+PYTHON_ALLOWED = {"ingest_messages", "mail_body_select", "ingest_with_deadletter", "score_hook", "score_hook_isolated"}
 catalog.load_all()
 BAD_JOINS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
@@ -32,6 +32,18 @@ def test_plan_shape(spark, name):
     assert not any(n in plan for n in BAD_JOINS), f"{name}: cross or nested-loop join"
 
 
+@pytest.mark.parametrize("name", ["parse_dates", "drop_bad_dates", "newest_first", "date_range"])
+def test_header_dates_are_parsed_once(spark, name):
+    from tallyspark.functions import dates
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("gettimestamp(") == len(dates.INSTANT_FORMATS) + len(dates.WALL_FORMATS)
+
+
+def test_candidate_search_reads_its_matches_back(spark):
+    plan = _plan(catalog.QUERIES["candidate_messages"](spark, SF))
+    assert "contains" not in plan.lower() and "orders.parquet" not in plan
+
+
 def test_no_collect_in_library():
     root = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tallyspark")
     for d, _, files in os.walk(root):

@@ -115,6 +115,13 @@ def test_html_to_text(spark):
     assert _one(spark, T.html_to_text(F.col("t")), html) == "Hello& world b"
 
 
+def test_html_to_text_of_hard_sources(spark):
+    from tallyspark.plans.q_text import HARD_HTML
+    for html, want in HARD_HTML + [("<p " + "a='>' " * 20_000 + ">x</p>", "x"), ("<" * 5000, "<" * 5000), ("<p title='open>x</p> y", "x y"),
+                                   ("<br/>a<br />b", "a b"), ("</p>x</ p>y", "x y"), ("<!doctype html><?xml a?>x", "x"), ("<style>p>q{}", ""), (None, None), ("", "")]:
+        assert _one(spark, T.html_to_text(F.col("t")), html) == want, html[:60]
+
+
 def test_preview(spark):
     assert _one(spark, T.preview(F.col("t"), 5), "abcdefgh") == "abcde..."
     assert _one(spark, T.preview(F.col("t"), 5), "abc") == "abc"
