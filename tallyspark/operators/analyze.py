@@ -21,6 +21,8 @@ from ..functions.amount import extract_amount
 from ..functions.model import model_analysis, parse_model_json
 from ..functions.text import html_to_text, preview, strip_unicode, title_case, truncate
 
+from .frames import order_blocks, running, text_position
+
 KEYS = ("account_id",)
 
 
@@ -194,12 +196,29 @@ def score_hook(messages: DataFrame, scorer: Callable, mode: str = "model", error
     return analyze_messages(scored, mode=mode, keep=("score_error",) if errors else ())
 
 
-def category_colors(txns: DataFrame, keys=KEYS) -> DataFrame:
-    """One colour per (account, category): the preset colour of a known
-    name, else the palette colour of its name."""
-    cats = txns.select(*keys, F.lower("category").alias("category_key")).distinct()
-    key = F.col("category_key")
-    return cats.select(*keys, "category_key", F.coalesce(_preset_color(key), palette_color(key)).alias("color"))
+def category_colors(txns: DataFrame, known: DataFrame | None = None, keys=KEYS, block_rows: int = 1_000_000) -> DataFrame:
+    """The colour dictionary of each account: one row (account,
+    category_key, ordinal, color) per category.
+
+    A known name has its preset colour and no ordinal.  The other categories
+    are numbered from 1 and take the palette's colours in turn, so no two share
+    one before the palette is used up.  ``known`` is the dictionary so far: its
+    rows stay as they are, and new categories, in order of their names, are
+    numbered behind them.  Rows without a category have no entry."""
+    cats = txns.select(*keys, F.lower("category").alias("category_key")).where("category_key is not null").distinct()
+    if known is not None:
+        cats = cats.join(known.select(*keys, "category_key"), [*keys, "category_key"], "left_anti")
+    cats = cats.withColumn("color", _preset_color(F.col("category_key"))).withColumn("_at", text_position(F.col("category_key")))
+    preset = cats.where("color is not null").select(*keys, "category_key", F.lit(None).cast("long").alias("ordinal"), "color")
+    new = order_blocks(cats.where("color is null"), "_at", block_rows, "_along")
+    new = running(new, list(keys), ["category_key"], F.col("_along"), name="ordinal")
+    if known is not None:
+        new = (new.join(known.groupBy(*keys).agg(F.max("ordinal").alias("_last")), list(keys), "left")
+               .withColumn("ordinal", F.col("ordinal") + F.coalesce("_last", F.lit(0))))
+    palette = F.array(*[F.lit(c) for c in R.PALETTE])
+    color = F.get(palette, ((F.col("ordinal") - 1) % len(R.PALETTE)).cast("int"))
+    out = preset.unionByName(new.select(*keys, "category_key", "ordinal", color.alias("color")))
+    return out if known is None else known.select(out.columns).unionByName(out)
 
 
 def vendor_dim(txns: DataFrame, keys=KEYS) -> DataFrame:

@@ -50,3 +50,26 @@ def over_rows_before(df: DataFrame, by: list[str], order: list[str], n: int, agg
     for name, agg in aggregates.items():
         out = out.withColumn(name, agg.over(frame))
     return out.where(~F.col("_copy")).drop("_block", "_copy")
+
+
+def running(df: DataFrame, by: list[str], order: list[str], block: Column, value: Column | None = None, name: str = "_run") -> DataFrame:
+    """Adds the sum of ``value`` (default: the number of rows) over the rows equal
+    in ``by`` (NULL equals NULL) up to and with each row, in ascending order of
+    ``order``.  ``block`` never falls along that order within a group; each
+    block of a group is added up by itself and then raised by the blocks before
+    it, so a hot group is the work of as many tasks as it has blocks."""
+    t = df.withColumn("_value", F.lit(1).cast("long") if value is None else value).withColumn("_block", block)
+    sums = t.groupBy(*by, "_block").agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_block").alias("_k_block"),
+                       F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_here", F.sum("_value").over(inside))
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
+    return (t.join(sums, [F.col("_block").eqNullSafe(F.col("_k_block")), *same])
+            .select(*df.columns, (F.col("_before") + F.col("_here")).alias(name)))
+
+
+def text_position(text: Column) -> Column:
+    """A number that never falls as texts rise in byte order: the first seven bytes."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")

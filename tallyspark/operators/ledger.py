@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions.amount import MONEY, TRIAL_MAX, low_amount_reason
 from ..functions.classify import service_enrich
-from .frames import order_blocks
+from .frames import order_blocks, running
 from .recur import subscription_id
 
 KEYS = ("account_id",)
@@ -68,18 +68,34 @@ def merge_subscriptions(ledger: DataFrame, detected: DataFrame, keys=KEYS) -> Da
     return unique_ids(conform(ledger).unionByName(conform(new)), keys)
 
 
+ID_BLOCK = 100_000     # positions, suffixes or repeats of a block
+
+
 def unique_ids(ledger: DataFrame, keys=KEYS) -> DataFrame:
     """Repeats (in ``seq`` order) of an id within an account get the
-    suffixes ``_dup_1``, ``_dup_2``, ... that no other id of the account has."""
-    w = Window.partitionBy(*keys, "id").orderBy("seq")
-    numbered = ledger.withColumn("_r", F.row_number().over(w) - 1)
+    suffixes ``_dup_1``, ``_dup_2``, ... that no other id of the account has.
+
+    The n-th repeat gets the n-th free number.  A taken number t with j taken
+    ones below it has t - 1 - j free ones below it, so it is skipped by every
+    repeat from the (t - j)-th on: the number of the n-th repeat is n plus the
+    taken ones with t - j <= n.  All three counts are running sums over blocks,
+    so one id repeated any number of times is the work of many tasks."""
+    group = [*keys, "id"]
+
+    def blocks(c: str) -> Column:
+        return F.floor(F.col(c) / F.lit(ID_BLOCK))
+
+    numbered = running(ledger, group, ["seq"], blocks("seq"), name="_n").withColumn("_n", F.col("_n") - 1)
     suffix = r"^(?s)(.*)_dup_([0-9]{1,9})$"
-    taken = (ledger.where(F.col("id").rlike(suffix)).groupBy(*keys, F.regexp_extract("id", suffix, 1).alias("id"))
-             .agg(F.collect_set(F.regexp_extract("id", suffix, 2).cast("int")).alias("_taken")))
-    j = numbered.join(taken, [*keys, "id"], "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
-    free = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_r") + F.size("_taken"))), lambda n: ~F.array_contains(F.col("_taken"), n))
-    new = F.when(F.col("_r") > 0, F.concat(F.col("id"), F.lit("_dup_"), F.get(free, F.col("_r") - 1).cast("string"))).otherwise(F.col("id"))
-    return j.select(*[new.alias("id") if c == "id" else F.col(c) for c in ledger.columns])
+    taken = (ledger.where(F.col("id").rlike(suffix))
+             .select(*keys, F.regexp_extract("id", suffix, 1).alias("id"), F.regexp_extract("id", suffix, 2).try_cast("long").alias("_t"))
+             .where("_t > 0").distinct())
+    taken = running(taken, group, ["_t"], blocks("_t"), name="_j").withColumn("_n", F.col("_t") - F.col("_j") + 1)
+    skips = taken.groupBy(*group, "_n").agg(F.count("*").alias("_skip")).withColumn("_row", F.lit(False))
+    both = numbered.withColumn("_skip", F.lit(0).cast("long")).withColumn("_row", F.lit(True)).unionByName(skips, allowMissingColumns=True)
+    both = running(both, group, ["_n", "_row"], blocks("_n"), F.col("_skip"), name="_skipped").where("_row")
+    new = F.when(F.col("_n") > 0, F.concat(F.col("id"), F.lit("_dup_"), (F.col("_n") + F.col("_skipped")).cast("string"))).otherwise(F.col("id"))
+    return both.select(*[new.alias("id") if c == "id" else F.col(c) for c in ledger.columns])
 
 
 def _trial_fields(amount: Column, status: Column) -> tuple[Column, Column, Column]:

@@ -11,7 +11,7 @@ task).  Money is summed as DECIMAL and cast to DOUBLE at the end; means are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEYS = ("account_id",)
@@ -178,8 +178,45 @@ def run_totals(runs: DataFrame, keys=KEYS) -> DataFrame:
         F.sum("subscriptions_detected").alias("total_subscriptions_detected"))
 
 
+def append_runs(path: str, runs: DataFrame, run_col: str = "run_id") -> None:
+    """Add runs to the run log in ``path``, a Parquet table with a folder per
+    run.  The rows are staged and then replace the folders of their own runs
+    alone, so a run that is appended again, in whole or after a failure, is
+    there once.  Every row needs a run id."""
+    checked = runs.withColumn(run_col, F.when(F.col(run_col).isNull(), F.raise_error(F.lit("a run without an id"))).otherwise(F.col(run_col)))
+    checked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run_col).parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The run log, under the schema of the runs appended."""
+    return spark.read.schema(schema).parquet(path)
+
+
+SEEN_ERROR = 0.03     # of the sketch's estimate: more than three standard errors
+
+
+def account_sketches(records: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """A mergeable sketch of the accounts of each run, for the run log."""
+    return records.groupBy(run_col).agg(F.hll_sketch_agg(F.col("account_id").cast("string"), 14).alias("accounts"))
+
+
+def accounts_seen(sketches: DataFrame) -> DataFrame:
+    """The number of accounts ever seen, within SEEN_ERROR, from the
+    sketches of all runs; no record is read again."""
+    return sketches.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("accounts")), F.lit(0)).alias("total_users"))
+
+
+def new_accounts(records: DataFrame, seen: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """A9, exact: (account_id, run) for the accounts of a run that no other run
+    of ``seen`` (account_id, run) holds; kept in a run log of its own."""
+    here = records.select("account_id", run_col).where("account_id is not null").groupBy("account_id").agg(F.min(run_col).alias(run_col))
+    known = seen.select("account_id", F.col(run_col).alias("_run"))
+    return here.join(known, [here["account_id"] == known["account_id"], F.col(run_col) != F.col("_run")], "left_anti")
+
+
 def distinct_accounts(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Number of distinct accounts ever seen."""
+    """Number of distinct accounts of the given records (between runs,
+    ``accounts_seen`` and ``new_accounts`` keep it without them)."""
     f = F.approx_count_distinct("account_id") if approx else F.countDistinct("account_id")
     return df.agg(f.alias("total_users"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import spend as S
+from ..session import scratch_path
 from . import standins as V
 from .catalog import register
 
@@ -147,6 +148,62 @@ def q_run_totals(spark, d):
     return S.run_totals(S.run_log(_event_records(spark, d)))
 
 
+@register("run_log_append", EV + """
+SELECT account_id, strftime(local_ts, '%Y-%m-%d') AS run_id, CAST(SUM(amount_numeric) AS DOUBLE) AS amount_detected,
+       COUNT(*) FILTER (WHERE is_subscription) AS subscriptions_detected
+FROM v_txn_events GROUP BY ALL""")
+def q_run_log_append(spark, d):
+    """The daily runs appended in two parts, the first one twice, and read back."""
+    runs = S.run_log(_event_records(spark, d))
+    path = scratch_path(spark, "runs")
+    early = F.col("run_id") < "2024-01-16"
+    for part in (early, ~early, early):
+        S.append_runs(path, runs.where(part))
+    back = S.read_runs(spark, path, runs.schema)
+    return back.withColumn("amount_detected", F.col("amount_detected").cast("double"))
+
+
+def _user_runs(spark, d):
+    """Records of single users, three runs a month."""
+    t = V.table(spark, d, "events")
+    day = F.dayofmonth("ts")
+    run = F.when(day <= 10, "2024-01-a").when(day <= 20, "2024-01-b").otherwise("2024-01-c")
+    return t.select(F.col("user_id").cast("string").alias("account_id"), run.alias("run_id"))
+
+
+@register("accounts_seen", """
+WITH u AS (SELECT DISTINCT user_id FROM events)
+SELECT COUNT(*) AS exact_users, true AS within_error FROM u""")
+def q_accounts_seen(spark, d):
+    """A sketch per run, one run appended twice, against the full recount."""
+    records = _user_runs(spark, d)
+    path = scratch_path(spark, "sketches")
+    sketches = S.account_sketches(records)
+    for part in ("2024-01-b", "2024-01-a", "2024-01-c", "2024-01-a"):
+        S.append_runs(path, sketches.where(F.col("run_id") == part))
+    guess = S.accounts_seen(S.read_runs(spark, path, sketches.schema)).withColumn("one", F.lit(1))
+    exact = S.distinct_accounts(records).select(F.col("total_users").alias("exact_users"), F.lit(1).alias("one"))
+    near = F.abs(F.col("total_users") - F.col("exact_users")) <= S.SEEN_ERROR * F.col("exact_users")
+    return exact.join(guess, "one").select("exact_users", near.alias("within_error"))
+
+
+@register("new_accounts", """
+WITH r AS (SELECT CAST(user_id AS VARCHAR) AS account_id,
+                  CASE WHEN day(ts) <= 10 THEN '2024-01-a' WHEN day(ts) <= 20 THEN '2024-01-b' ELSE '2024-01-c' END AS run_id FROM events)
+SELECT account_id, min(run_id) AS run_id FROM r GROUP BY account_id""")
+def q_new_accounts(spark, d):
+    """The accounts that each run saw first; the second run is repeated."""
+    records = _user_runs(spark, d)
+    path = scratch_path(spark, "accounts")
+    schema = "account_id string, run_id string"
+    S.append_runs(path, spark.createDataFrame([], schema))
+    for part in ("2024-01-a", "2024-01-b", "2024-01-b", "2024-01-c"):
+        seen = S.read_runs(spark, path, schema)
+        found = S.new_accounts(records.where(F.col("run_id") == part), seen)
+        S.append_runs(path, found)
+    return S.read_runs(spark, path, schema)
+
+
 @register("distinct_accounts", """
 SELECT COUNT(DISTINCT user_id % 10) AS total_users FROM events""")
 def q_distinct_accounts(spark, d):

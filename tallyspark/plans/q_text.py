@@ -295,16 +295,35 @@ def _color_sql(name: str) -> str:
             f"[{palette}][CAST('0x' || substr(md5({name}), 1, 7) AS BIGINT) % {len(R.PALETTE)} + 1])")
 
 
+_PALETTE = "[" + ", ".join(G.q(c) for c in R.PALETTE) + "]"
+_PRESET = "CASE " + " ".join(f"WHEN category_key = {G.q(n)} THEN {G.q(c)}" for n, c in R.PRESET_COLORS) + " END"
+
+
 @register("category_colors", V.with_ctes(V.SQL_TXN_EVENTS, V.SQL_BILL) + f"""
 , c AS (SELECT DISTINCT account_id, lower(category) AS category_key FROM
         (SELECT account_id, category FROM v_txn_events UNION ALL SELECT account_id, category FROM v_bill))
-SELECT account_id, category_key, {_color_sql('category_key')} AS color FROM c""")
+, r AS (SELECT *, {_PRESET} AS preset, CASE WHEN preset IS NULL THEN dense_rank() OVER (PARTITION BY account_id, preset IS NULL ORDER BY category_key) END AS ordinal
+        FROM c WHERE category_key IS NOT NULL)
+SELECT account_id, category_key, ordinal, COALESCE(preset, {_PALETTE}[(ordinal - 1) % {len(R.PALETTE)} + 1]) AS color FROM r""")
 def q_category_colors(spark, d):
     u = V.txn_events(spark, d).select("account_id", "category").unionByName(
         V.bill(spark, d).select("account_id", "category"))
     return A.category_colors(u)
 
 
+@register("category_colors_kept", V.with_ctes(V.SQL_TXN_EVENTS, V.SQL_BILL) + f"""
+, c AS (SELECT account_id, lower(category) AS category_key, min(later) AS later FROM
+        (SELECT account_id, category, false AS later FROM v_txn_events UNION ALL SELECT account_id, category, true FROM v_bill)
+        WHERE category IS NOT NULL GROUP BY ALL)
+, r AS (SELECT *, {_PRESET} AS preset,
+               CASE WHEN preset IS NULL THEN row_number() OVER (PARTITION BY account_id, preset IS NULL ORDER BY later, category_key) END AS ordinal FROM c)
+SELECT account_id, category_key, ordinal, COALESCE(preset, {_PALETTE}[(ordinal - 1) % {len(R.PALETTE)} + 1]) AS color FROM r""")
+def q_category_colors_kept(spark, d):
+    """The dictionary of the events' categories, then with those of the bills."""
+    first = A.category_colors(V.txn_events(spark, d))
+    return A.category_colors(V.bill(spark, d), first)
+
+
 @register("vendor_dim", V.with_ctes(V.SQL_TXN_EVENTS) + f"""
 , r AS (SELECT *, row_number() OVER (PARTITION BY account_id, lower(trim(merchant_name))
                                      ORDER BY event_ts, message_id) AS rn FROM v_txn_events)

@@ -128,6 +128,48 @@ def test_unique_ids(spark):
     assert [r["id"] for r in L.unique_ids(s).orderBy("seq").collect()] == ["a", "a_dup_1", "a_dup_2"]
 
 
+def _suffixed(rows):
+    """Free suffixes by a plain loop over (account, id, seq)."""
+    taken = {(a, i) for a, i, _ in rows}
+    seen, last, out = set(), {}, {}
+    for a, i, q in sorted(rows, key=lambda r: r[2]):
+        if (a, i) not in seen:
+            seen.add((a, i))
+            out[q] = i
+            continue
+        n = last.get((a, i), 0) + 1
+        while (a, f"{i}_dup_{n}") in taken:
+            n += 1
+        last[a, i] = n
+        out[q] = f"{i}_dup_{n}"
+    return out
+
+
+@pytest.mark.parametrize("block", [100_000, 1, 5])
+def test_unique_ids_match_a_plain_loop(spark, monkeypatch, block):
+    import random
+    monkeypatch.setattr(L, "ID_BLOCK", block)
+    rng = random.Random(8)
+    pool = ["a"] * 12 + ["a_dup_%d" % k for k in (1, 2, 3, 7, 8, 11, 0)] + ["b", "b", "b_dup_2", "b_dup_02", "_dup_1", "", "c_dup_x"]
+    rows = [(rng.randint(1, 2), rng.choice(pool), k) for k in range(120)]
+    df = spark.createDataFrame(rows, "account_id int, id string, seq long").repartition(4)
+    got = {r["seq"]: r["id"] for r in L.unique_ids(df).collect()}
+    want = _suffixed(rows)
+    # the loop reads b_dup_02 as no suffix; the library keeps its number free of it, as of any leading zero
+    assert {q: i for q, i in got.items() if not i.startswith("b")} == {q: i for q, i in want.items() if not i.startswith("b")}
+    assert len({(r[0], got[r[2]]) for r in rows}) == len(rows)
+
+
+def test_a_million_equal_ids(spark):
+    df = spark.range(1_000_000).select(F.lit(1).alias("account_id"), F.lit("x").alias("id"), F.col("id").alias("seq"))
+    more = spark.createDataFrame([(1, f"x_dup_{k}", 2_000_000 + k) for k in (1, 2, 500_000, 999_999)], "account_id int, id string, seq long")
+    out = L.unique_ids(df.unionByName(more))
+    n = F.regexp_extract("id", "_dup_([0-9]+)$", 1).try_cast("long")
+    got = out.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.max(n).alias("top")).first()
+    assert (got["n"], got["ids"], got["top"]) == (1_000_004, 1_000_004, 1_000_003)
+    assert out.where("seq = 1").first()["id"] == "x_dup_3" and out.where("seq = 999999").first()["id"] == "x_dup_1000003"
+
+
 def test_add_low_amount_forces_trial(spark):
     adds = spark.createDataFrame([(1, 1, "Thing", 9.0, "Monthly", "Inactive")],
                                  "account_id long, add_seq long, service_name string, amount double, "

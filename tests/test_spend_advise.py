@@ -97,3 +97,41 @@ def test_day_spikes_of_charges_without_a_category(spark):
     rows = [(1, f"m{d}", None, Decimal("10") + d % 2, dt.datetime(2025, 1, d + 1)) for d in range(10)]
     rows.append((1, "big", None, Decimal("500"), dt.datetime(2025, 1, 12)))
     assert [r["message_id"] for r in AD.spend_spikes_by_day(_tx(spark, rows)).collect()] == ["big"]
+
+
+def test_colours_are_distinct_and_stay(spark):
+    from tallyspark import rules as R
+    from tallyspark.operators import analyze as A
+    rows = [(a, f"Cat {k % n}") for a, n in ((1, 30), (2, 10), (3, 31)) for k in range(80)] + [(1, None), (1, "NETFLIX"), (2, "Spotify")]
+    tx = spark.createDataFrame(rows, "account_id int, category string")
+    for block_rows in (1_000_000, 4):
+        got = A.category_colors(tx, block_rows=block_rows).collect()
+        for account, n in ((1, 30), (2, 10), (3, 31)):
+            mine = [r for r in got if r["account_id"] == account and r["ordinal"] is not None]
+            assert sorted(r["ordinal"] for r in mine) == list(range(1, n + 1))
+            assert len({r["color"] for r in mine}) == min(n, len(R.PALETTE))
+        assert {r["color"] for r in got if r["category_key"] == "netflix"} == {dict(R.PRESET_COLORS)["netflix"]}
+    first = A.category_colors(tx)
+    more = tx.unionByName(spark.createDataFrame([(2, "aaa"), (2, "Cat 3"), (4, "new")], tx.schema))
+    second = A.category_colors(more, first)
+    old, new = ({(r["account_id"], r["category_key"]): (r["ordinal"], r["color"]) for r in d.collect()} for d in (first, second))
+    assert old.items() <= new.items() and new[2, "aaa"] == (11, R.PALETTE[10]) and new[4, "new"] == (1, R.PALETTE[0])
+    assert second.count() == len(new)
+
+
+def test_runs_are_appended_once(spark):
+    from tallyspark.session import scratch_path
+    path = scratch_path(spark, "test-runs")
+    a, b = (spark.createDataFrame([(1, run, Decimal(x), 1)], "account_id int, run_id string, amount_detected decimal(18,2), n int") for run, x in (("2024-01-01", "5"), ("r2", "7")))
+    for runs in (a, b, a, a):
+        S.append_runs(path, runs)
+    S.append_runs(path, a.withColumn("amount_detected", F.lit(6).cast("decimal(18,2)")))
+    got = {r["run_id"]: float(r["amount_detected"]) for r in S.read_runs(spark, path, a.schema).collect()}
+    assert got == {"2024-01-01": 6.0, "r2": 7.0}
+    with pytest.raises(Exception, match="a run without an id"):
+        S.append_runs(path, a.withColumn("run_id", F.lit(None).cast("string")))
+
+
+def test_accounts_seen_in_no_run(spark):
+    sketches = S.account_sketches(spark.createDataFrame([], "account_id string, run_id string"))
+    assert S.accounts_seen(sketches).first()["total_users"] == 0
