@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
@@ -33,33 +34,74 @@ def crc_mod(column: str, n: int) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)), F.lit(0))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+FOREST_NODES, TASK_ROWS = 1_000_000, 200_000
+
+
+def _forest(batches):
+    """The edges (u, v) of a task as a spanning forest of stars around the
+    smallest node; emptied whenever it holds FOREST_NODES nodes."""
+    root: dict = {}
+
+    def find(x):
+        while (y := root[x]) != x:
+            root[x] = x = root[y]
+        return x
+
+    def stars():
+        pairs = [(x, find(x)) for x in root]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind) for k in (0, 1)], names=["u", "v"])
+
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if u is None or v is None or u == v:
+                continue
+            u, v = find(root.setdefault(u, u)), find(root.setdefault(v, v))
+            if u < v:
+                root[v] = u
+            elif v < u:
+                root[u] = v
+        if len(root) >= FOREST_NODES:
+            yield stars()
+            root.clear()
+    if root:
+        yield stars()
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Tasks for a step over ``rows`` small rows: TASK_ROWS each, and no fewer than the cores."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """Connected components of an undirected graph: one row (node, component)
     per node that has an edge; ``component`` is the smallest node.
 
-    Alternates large-star and small-star steps until the edges are stars
-    around the smallest node.  Every step is a minimum per node (combined on
-    the map side) joined back, so a hub of any degree is never gathered in one
-    row; AQE splits its join partition.  Null ends and loops are ignored.
+    Every task first reduces its edges to a spanning forest by union-find, so
+    repeated links never travel.  A round deals the edges by their larger end and
+    reduces them again, which hooks the roots that meet there onto the smallest;
+    then every node takes its parent's parent.  Rounds end when no parent has a
+    parent and no node has two.  Edges are dealt by their larger end, so the hub
+    of a component of any size is never gathered; the look-up of parents is a join
+    that AQE splits.  The tasks of a round are as many as its edges need
+    (``tasks_for``); ``rows``, if known, is about the number of ``edges``.  Null
+    ends and loops are ignored.
     """
-    spark = edges.sparkSession
-    e = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct())
-    e = written(e, "components")
-    seen = None
+    kind = edges.schema[a].dataType.simpleString()
+    schema = f"u {kind}, v {kind}"
+    if rows is not None:
+        edges = edges.coalesce(tasks_for(edges, rows))
+    e = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).mapInArrow(_forest, schema), "forest")
     while True:
-        state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(state) == seen or state[0] == 0:
+        k = tasks_for(e, e.count())
+        e = written(e.repartition("u").coalesce(k).mapInArrow(_forest, schema), "forest")
+        parents = written(e.groupBy("u").agg(F.min("v").alias("next")).withColumnRenamed("u", "p").coalesce(k), "parents")
+        jumped = e.join(parents, e["v"] == parents["p"], "left").select("u", F.coalesce("next", "v").alias("v"), "next")
+        jumped = written(jumped.coalesce(k), "jumped")
+        if not jumped.where("next is not null").take(1) and e.count() == parents.count():
             break
-        seen = tuple(state)
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u")
-        small = pairs.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")),
-                                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
-        e = written(small.select("p.u", "p.v").where("u <> v").distinct(), "components")
+        e = jumped.select("u", "v")
     star = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return star.union(star.select(F.col("component").alias("node"), "component").distinct())

@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id")
     keys = _bands(classes)
     hubs = keys.groupBy("key").agg(F.min("class_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = keys.join(hubs, "key").where("class_id <> hub").select(F.col("class_id").alias("a"), F.col("hub").alias("b"))
-    cluster = connected_components(stars.distinct()).select(F.col("node").alias("class_id"), F.col("component").alias("cluster"))
+    cluster = connected_components(stars, rows=BANDS * classes.count()).select(F.col("node").alias("class_id"), F.col("component").alias("cluster"))
     cluster = written(cluster.join(classes.select("class_id", "pick", "n_shingles"), "class_id"), "clusters")
     parts = cluster.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"),
@@ -242,9 +242,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id")
     connectors = sets.where((F.col("parts") > 1) & (F.col("draw") < CONNECTORS))
     spread = connectors.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     links = written(_compare(sets.unionByName(spread), percent), "links")
+    found = connected_components(links, rows=links.count()).withColumnRenamed("node", "class_id")
     wide = sets.where("parts > 1")
     if wide.take(1):
-        found = connected_components(links).withColumnRenamed("node", "class_id")
         state = wide.select("cluster", "class_id").join(found, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
         sizes = state.groupBy("cluster", "component").count()
         main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
@@ -258,9 +258,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id")
         right = wide.join(chunks, "cluster").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         grid = left.select(*right.columns).union(right)
         grid = grid.withColumn("part", F.col("part") * F.col("chunks") + F.col("chunk")).select(*sets.columns)
-        links = links.union(written(_compare(grid, percent), "links"))
-    found = connected_components(links)
-    low = classes.select("class_id", "low").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
+        more = written(_compare(grid, percent), "links")
+        if more.take(1):
+            stars = found.select(F.col("class_id").alias("a"), F.col("component").alias("b"))
+            found = connected_components(stars.union(more), rows=stars.count() + more.count()).withColumnRenamed("node", "class_id")
+    low = classes.select("class_id", "low").join(found, "class_id", "left")
     low = low.withColumn("component", F.coalesce("component", "class_id"))
     least = low.groupBy("component").agg(F.min("low").alias("component_id"))
     named = written(low.join(least, "component").select("class_id", "component_id"), "named")
