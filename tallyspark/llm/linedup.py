@@ -25,13 +25,14 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     # a line seen fewer than min_sites times cannot be on that many sites
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY)).alias("first")).where(F.col("n") >= min_sites)
     often = written(often.drop("n"), "frequent-lines")
-    sites = written(lines.select("h1", "h2", "site").distinct().join(often.select("h1", "h2"), ["h1", "h2"], "left_semi"), "line-sites")
-    estimate = sites.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
+    # sketches merge on the map side; only near-threshold lines are counted by their sites
+    estimate = (lines.select("h1", "h2", "site").join(often.select("h1", "h2"), ["h1", "h2"], "left_semi")
+                .groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites")))
     error = 3 * 1.04 / (1 << (LG_K // 2))
     low, high = min(min_sites - 1, min_sites * (1 - error)), max(min_sites + 1, min_sites * (1 + error))
     estimate = written(estimate.where(F.col("sites") >= low), "line-estimates")
     near = estimate.where(F.col("sites") <= high)
-    exact = (sites.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2")
+    exact = (lines.select("h1", "h2", "site").join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2")
              .agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites))
     spread = estimate.where(F.col("sites") > high).select("h1", "h2").union(exact.select("h1", "h2"))
     return often.join(spread, ["h1", "h2"], "left_semi")
