@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import crc_mod, written
 
 SAMPLE = 24_000
-MAX_TERMS = 2_000      # exceptions
+FRAME_TERMS, FRAME_CHARS = 20_000, 1 << 24     # of one frame of counts
 LEAST_TEXTS = 8       # toxic texts that are enough for a term in any sample; the rest is left to its significance
 MIN_PREFIX, MAX_PREFIX = 4, 8
 
@@ -100,7 +100,13 @@ def hits(automaton, words: list[str]) -> list[float]:
         else:
             start = end - length + 1
             found[start] = max(found.get(start, 0.0), weight)
-    return [w for s, w in found.items() if not any(a <= s < b for a, b in spans)]
+    if not spans:
+        return list(found.values())
+    spans.sort()
+    starts, ends, top = [a for a, _ in spans], [], 0
+    for _, b in spans:
+        ends.append(top := max(top, b))     # the furthest end of the spans up to this one
+    return [w for s, w in found.items() if not (k := bisect.bisect_right(starts, s)) or ends[k - 1] <= s]
 
 
 def features(automaton, text: str | None) -> tuple[float, float]:
@@ -110,7 +116,7 @@ def features(automaton, text: str | None) -> tuple[float, float]:
 
 
 def _candidates(words: set[str]) -> set[str]:
-    out = set(w for w in words if len(w) <= 24)
+    out = set(words)
     for w in words:
         for k in range(MIN_PREFIX, min(MAX_PREFIX, len(w) - 1) + 1):
             out.add(w[:k] + "*")
@@ -120,12 +126,16 @@ def _candidates(words: set[str]) -> set[str]:
 def _tables(tox: Counter, clean: Counter) -> Iterator[pd.DataFrame]:
     """Counters as frames of bounded length."""
     for which, name in ((tox, "t"), (clean, "c")):
-        terms = list(which.items())
-        for at in range(0, len(terms), 20_000):
-            part = terms[at:at + 20_000]
-            got = pd.DataFrame({"term": pd.Series([k for k, _ in part], dtype=object), "t": 0, "c": 0})
-            got[name] = [v for _, v in part]
-            yield got
+        part, size = [], 0
+        for item in itertools.chain(which.items(), (None,)):
+            if part and (item is None or len(part) == FRAME_TERMS or size > FRAME_CHARS):
+                got = pd.DataFrame({"term": pd.Series([k for k, _ in part], dtype=object), "t": 0, "c": 0})
+                got[name] = [v for _, v in part]
+                yield got
+                part, size = [], 0
+            if item is not None:
+                part.append(item)
+                size += len(item[0])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -206,7 +216,7 @@ def fit(train: DataFrame, label: str = "toxic", exceptions: tuple[str, ...] = ()
     if weights:
         learnt = (rows.select("text", "y").mapInPandas(contexts, "term string, t long, c long").groupBy("term")
                   .agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("c >= 5 and t * 20 < c")
-                  .orderBy(F.desc("c"), "term").limit(MAX_TERMS).collect())
+                  .orderBy(F.desc("c"), "term").collect())     # bounded by the sample
         lex.exceptions += [r["term"] for r in learnt]
     shared = lex
 
@@ -223,9 +233,11 @@ def fit(train: DataFrame, label: str = "toxic", exceptions: tuple[str, ...] = ()
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
     """keep (all columns by default), score, predicted, hit_weight.  Null and
-    empty texts have no hits and get the score of no evidence."""
+    empty texts have no hits and get the score of no evidence.  A text of any
+    length is matched whole, in time in proportion to it; repeated rows get equal
+    scores; an empty table gives no rows."""
     keep = docs.columns if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # terms bounded by the sample, at most MAX_TERMS exceptions
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # terms and exceptions bounded by the sample
 
     @F.pandas_udf("struct<score: double, hit_weight: double>")
     def run(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
