@@ -31,7 +31,7 @@ def _classes() -> np.ndarray:
     """Code point -> lower-cased letter, or 0 for anything else."""
     if not _tables:
         table = np.zeros(0x110000, dtype=np.uint32)
-        for c in range(0x30000):
+        for c in range(0x110000):
             ch = chr(c)
             if ch.isalpha():
                 low = ch.lower()
