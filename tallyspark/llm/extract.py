@@ -8,6 +8,7 @@ block is judged in the context of the document.
 The labeller is trained here, on pages composed from the blocks of a bounded
 sample: article blocks (by the tags of their page) are put into varied
 containers among menus, notices, adverts, forms, sidebars and reader comments.
+Of a long page a training step sees a run of blocks that starts anywhere.
 """
 
 import html
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from .shingles import word_hashes
 
 SAMPLE_PAGES = 300
+SAMPLE_PAGE_CHARS = 100_000     # longer pages are extracted whole, but train nothing
+RUN_BLOCKS, RUN_ARTICLE = 90, 60     # blocks of one training page, of one article
 STEPS, BATCH, HIDDEN = 260, 24, 16
 PATH_DIM, WORD_DIM, EXTRA = 48, 16, 8
 WIDTH = PATH_DIM + WORD_DIM + EXTRA
@@ -31,7 +34,7 @@ BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd
                        "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 HIDDEN_TAGS = frozenset("script style head title noscript template iframe svg object textarea".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][\w:-]*)((?:\s+[^<>\"']*(?:\"[^\"]*\"|'[^']*')?)*[^<>]*)>?", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][\w:-]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^<>])*+)>?", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -296,6 +299,14 @@ def _inside(path: tuple[str, ...], marks: frozenset[str]) -> bool:
     return first is not None and not any(x.lstrip(".") in OTHER for x in path[first:])
 
 
+def _run(rng: np.random.Generator, items: list, most: int) -> list:
+    """The items, or a run of ``most`` of them that starts anywhere."""
+    if len(items) <= most:
+        return items
+    at = int(rng.integers(len(items) - most + 1))
+    return items[at:at + most]
+
+
 def train(samples: list[str]) -> Labeller:
     """Fit on composed and given pages (labels of given pages by their tags).
 
@@ -311,7 +322,7 @@ def train(samples: list[str]) -> Labeller:
         if tagged:
             given.append((b, y))
         others += [k for k, v in zip(b, y) if not v and (tagged or any(x.lstrip(".") in OTHER for x in k.path))]
-        articles.append([k for k, v in zip(b, y) if v][:60])
+        articles.append(_run(rng, [k for k, v in zip(b, y) if v], RUN_ARTICLE))
     model = Labeller()
     others = others or [Block(x, (), 0) for x in ("Home", "About us", "Log in", "We use cookies.", "Read more", "Subscribe to our letter", "I liked this very much, thank you.")]
     articles = [a for a in articles if a] or [[Block("Some words of an article stand here, in one sentence.", ("article", "p"), 0)]]
@@ -324,8 +335,8 @@ def train(samples: list[str]) -> Labeller:
                 a = articles[rng.integers(len(articles))]
                 b, y = compose(rng, a * (int(rng.integers(150, 450)) // len(a) + 1), others, (("html", "body"), ())[rng.integers(2)])
             elif given and rng.random() < 0.4:
-                b, y = given[rng.integers(len(given))]
-                b, y = b[:90], y[:90]
+                run = _run(rng, list(zip(*given[rng.integers(len(given))])), RUN_BLOCKS)
+                b, y = [k for k, _ in run], [v for _, v in run]
             else:
                 b, y = compose(rng, articles[rng.integers(len(articles))], others, (("html", "body"), ("html", "body", "div", ".page"), ("html", "body", "div", ".wrapper"), ())[rng.integers(4)])
             pages.append(b)
@@ -345,11 +356,12 @@ def train(samples: list[str]) -> Labeller:
 
 
 def fit(pages: DataFrame, html_col: str = "html") -> Labeller:
-    """Train on about SAMPLE_PAGES pages drawn by hash (at most twice as many)."""
+    """Train on about SAMPLE_PAGES pages of less than SAMPLE_PAGE_CHARS
+    characters, drawn by hash (at most twice as many)."""
     rows = pages.select(F.col(html_col).alias("html")).where("html is not null")
     n = rows.count()
     share = min(1.0, SAMPLE_PAGES / max(1, n))
-    drawn = rows.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).where(F.length("html") < 100_000)
+    drawn = rows.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).where(F.length("html") < SAMPLE_PAGE_CHARS)
     got = drawn.withColumn("h", F.xxhash64("html")).orderBy("h").limit(2 * SAMPLE_PAGES).select("html").collect()
     return train([r["html"] for r in got])
 
@@ -357,7 +369,9 @@ def fit(pages: DataFrame, html_col: str = "html") -> Labeller:
 def extract(pages: DataFrame, model: Labeller, keep: list[str] | None = None, html_col: str = "html") -> DataFrame:
     """keep (all columns by default), text and n_blocks: the article blocks in
     page order joined by newlines.  Null and empty pages and pages without
-    text give an empty text."""
+    text give an empty text; a page of any length is read whole; repeated rows
+    give equal texts; an empty table gives no rows.  Kept columns named ``text``
+    or ``n_blocks`` make way for the result's."""
     keep = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_blocks")]
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
