@@ -30,7 +30,8 @@ def paths(messages: DataFrame) -> DataFrame:
     """(leaf, node, up): every message on the path from each leaf to its root.
 
     messages: (node, parent), node unique, parent null at roots.  A message
-    whose parent is missing is a root.  Round k joins the paths known so far
+    whose parent is missing is a root, and so is every message on a cycle of
+    parents, which has no other.  Round k joins the paths known so far
     with the ancestors at distance 2^k, so the rounds are the logarithm of the
     depth; rows are the sum of the path lengths, which is the output's size.
     """
@@ -39,8 +40,12 @@ def paths(messages: DataFrame) -> DataFrame:
     jump = written(nodes.join(known, "parent", "left_semi").select("node", F.col("parent").alias("above")), "jump")
     leaves = nodes.join(nodes.select(F.col("parent").alias("node")), "node", "left_anti")
     got = written(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
-    step = 1
+    step, n = 1, nodes.count()
     while jump.take(1):
+        if step > n:      # ancestors further up than there are messages lie on cycles
+            cycle = jump.select(F.col("above").alias("node")).distinct().withColumn("cyclic", F.lit(True))
+            cut = nodes.join(cycle, "node", "left").select("node", F.when(F.col("cyclic").isNull(), F.col("parent")).alias("parent"))
+            return paths(cut)
         more = got.join(jump, "node").select("leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
         got = written(got.union(more), "paths")
         far = jump.withColumnRenamed("above", "middle").join(jump.select(F.col("node").alias("middle"), "above"), "middle")
@@ -54,9 +59,11 @@ def format_paths(messages: DataFrame, branches: int | None = None, learn: tuple[
 
     messages: (node, parent, root, role, text, score); ``root`` names the tree.
     Paths of a tree are ranked by mean score, then leaf; ``branches`` keeps the
-    best ones (all by default).  Returns root, leaf, rank, formatted and
-    loss_spans: (start, length) in code points of the escaped texts of the
-    roles in ``learn``.  Null roles and texts count as empty.
+    best ones (all by default).  Returns root, leaf, formatted, loss_spans
+    ((start, length) in code points of the escaped texts of the roles in
+    ``learn``) and, with ``branches``, rank.  Null roles and texts count as empty,
+    null scores as 0; an empty table gives no rows; messages that repeat need
+    nodes of their own (as ``conversation_trees`` gives them).
     """
     p = paths(messages).join(messages.select("node", "root", text_or_empty("role").alias("role"), text_or_empty().alias("text"),
                                              F.coalesce("score", F.lit(0.0)).alias("score")), "node")
@@ -72,7 +79,7 @@ def format_paths(messages: DataFrame, branches: int | None = None, learn: tuple[
     spans = F.aggregate("turns", zero, lambda s, t: F.struct(
         (s["at"] + F.length(t["head"]) + F.length(t["body"]) + len(END)).cast("long").alias("at"),
         F.when(t["role"].isin(*learn), F.concat(s["spans"], F.array(span(s, t)))).otherwise(s["spans"]).alias("spans")), lambda s: s["spans"])
-    return one.select("root", "leaf", formatted.alias("formatted"), spans.alias("loss_spans"))
+    return one.select("root", "leaf", formatted.alias("formatted"), spans.alias("loss_spans"), *(["rank"] if branches is not None else []))
 
 
 def read_back(formatted: Column) -> Column:
