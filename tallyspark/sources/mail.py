@@ -37,7 +37,10 @@ DECODED_SCHEMA = T.StructType([
 ])
 
 
-def _text_of(part) -> str | None:
+def _text_of(part, attached: bool, single: bool) -> str | None:
+    """Text of a part that can be a body; attachments and other kinds are not decoded."""
+    if not single and (attached or part.get_content_type() not in ("text/plain", "text/html")):
+        return None
     payload = part.get_payload(decode=True)
     if payload is None:
         return None
@@ -53,9 +56,11 @@ def decode_one(content: bytes | None) -> dict:
         return {"error": "missing content"}
     try:
         msg = email.message_from_bytes(bytes(content), policy=email.policy.compat32)
-        leaves = [p for p in msg.walk() if not p.is_multipart()] if msg.is_multipart() else [msg]
-        parts = [{"kind": p.get_content_type() if msg.is_multipart() else "single",
-                  "attached": "attachment" in str(p.get("Content-Disposition")), "text": _text_of(p)} for p in leaves]
+        single = not msg.is_multipart()
+        parts = []
+        for p in [msg] if single else [p for p in msg.walk() if not p.is_multipart()]:
+            attached = "attachment" in str(p.get("Content-Disposition"))
+            parts.append({"kind": "single" if single else p.get_content_type(), "attached": attached, "text": _text_of(p, attached, single)})
         return {"subject": str(msg.get("Subject", "")), "sender": str(msg.get("From", "")), "date": str(msg.get("Date", "")), "parts": parts}
     except Exception as e:  # noqa: BLE001  (per-message fault tolerance)
         return {"error": f"{type(e).__name__}: {e}"}
