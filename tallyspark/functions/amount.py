@@ -20,23 +20,21 @@ AMOUNT_MIN = "0.01"
 AMOUNT_MAX = "10000000"
 TRIAL_MAX = 10
 
-# One number: digits, optional comma groups, optional one or two decimals.
-_NUM = r"(\d+(?:,\d+)*(?:\.\d{1,2})?)"
-# Rungs in priority order (a later rung is tried only when an earlier one has
-# no in-range match).  Flags: i = case-blind, U = Unicode digits/blanks (as in
-# Python), d = '.' stops only at '\n'.  The reference has two more rungs
-# ("Amount" + rupee mark; debit word + rupee mark) that can never produce a
-# result because the plain rupee rung sees the same text first; they are
-# omitted.
+# Rungs in priority order (a later rung is tried only when an earlier one has no
+# in-range match).  Two more rungs of the cascade ("Amount" + rupee mark; debit
+# word + rupee mark) can never produce a result, because the rupee rung sees
+# the same text first; they are omitted.
 AMOUNT_RUNGS = [
-    ("rupee", r"(?iUd)(?:rs\.?|₹)\s*" + _NUM),
-    ("inr", r"(?iUd)inr\s*" + _NUM),
-    ("dollar", r"(?iUd)(?:\$|usd\s*)" + _NUM),
-    ("amount_word", r"(?iUd)amount\s*:?\s*" + _NUM),
-    ("debit_word", r"(?iUd)(?:debited|credited|withdrawn).*?" + _NUM),
-    ("two_decimals", r"(?iUd)(?:^|\s)(\d{1,8}\.\d{2})(?:\s|$)"),
-    ("bare_integer", r"(?iUd)(?:^|\s)(\d{2,8})(?:\s|$)"),
+    ("rupee", r"(?:Rs\.?\s*|₹\s*)(\d+(?:,\d+)*(?:\.\d{1,2})?)"),
+    ("inr", r"(?:INR\s*)(\d+(?:,\d+)*(?:\.\d{1,2})?)"),
+    ("dollar", r"(?:\$|USD\s*)(\d+(?:,\d+)*(?:\.\d{1,2})?)"),
+    ("amount_word", r"(?:Amount\s*:?\s*)(\d+(?:,\d+)*(?:\.\d{1,2})?)"),
+    ("debit_word", r"(?:Debited|Credited|Withdrawn).*?(\d+(?:,\d+)*(?:\.\d{1,2})?)"),
+    ("two_decimals", r"(?:^|\s)(\d{1,8}\.\d{2})(?:\s|$)"),
+    ("bare_integer", r"(?:^|\s)(\d{2,8})(?:\s|$)"),
 ]
+# i = case-blind, U = Unicode digits and blanks (as in Python), d = '.' stops only at '\n'.
+FLAGS = "(?iUd)"
 # With strict=True every rung that starts with a word gets a word boundary, so
 # "hours 48" no longer reads as a rupee amount.
 _STRICT_PREFIX = r"(?<![\p{L}\p{N}])"
@@ -53,9 +51,8 @@ def extract_amount(text, strict: bool = False) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     cands = []
     for name, pat in AMOUNT_RUNGS:
-        if strict and name in ("rupee", "inr", "dollar", "amount_word", "debit_word"):
-            pat = pat.replace(")", ")" + _STRICT_PREFIX, 1)
-        found = F.regexp_extract_all(t, F.lit(pat), 1)
+        bounded = strict and name in ("rupee", "inr", "dollar", "amount_word", "debit_word")
+        found = F.regexp_extract_all(t, F.lit(FLAGS + (_STRICT_PREFIX if bounded else "") + pat), 1)
         cleaned = F.transform(found, lambda m: F.replace(m, F.lit(","), F.lit("")))
         cands.append(F.get(F.filter(cleaned, lambda m: _in_range(m)), 0))
     return F.coalesce(*cands)

@@ -150,19 +150,16 @@ def rule_confidence(score) -> Column:
 
 # ----------------------------------------------------------------------------- vendor
 
-# The six vendor patterns in priority order.  NAME is a letter
-# followed by 2-30 letters, digits, blanks or '&.-'; END is a blank, comma,
-# full stop, semicolon or line end.  All are case-blind and multi-line.
-_NAME = r"([a-z][a-z0-9\s&.-]{2,30})"
-_END = r"(?:[\s,.;]|$)"
+# The six vendor patterns in priority order.
 VENDOR_PATTERNS = [
-    r"(?imU)(?:at|@)\s+" + _NAME + _END,
-    r"(?imU)(?:paid to|payment to|transfer to)\s+" + _NAME + _END,
-    r"(?imU)(?:merchant|store|shop):\s*" + _NAME + _END,
-    r"(?imU)(?:purchase from|bought from)\s+" + _NAME + _END,
-    r"(?imU)([a-z][a-z0-9\s&.-]{3,25})\s+(?:store|shop|restaurant|cafe)",
-    r"(?imU)(?:^|\s)([a-z][a-z]+(?:\s[a-z][a-z]+)*)\s+(?:payment|transaction)",
+    r"(?:at|@)\s+([A-Za-z][A-Za-z0-9\s&.-]{2,30})(?:\s|$|,|\.|;)",
+    r"(?:paid to|payment to|transfer to)\s+([A-Za-z][A-Za-z0-9\s&.-]{2,30})(?:\s|$|,|\.|;)",
+    r"(?:merchant|store|shop):\s*([A-Za-z][A-Za-z0-9\s&.-]{2,30})(?:\s|$|,|\.|;)",
+    r"(?:purchase from|bought from)\s+([A-Za-z][A-Za-z0-9\s&.-]{2,30})(?:\s|$|,|\.|;)",
+    r"([A-Z][A-Z0-9\s&.-]{3,25})\s+(?:store|shop|restaurant|cafe)",
+    r"(?:^|\s)([A-Z][a-z]+(?:\s[A-Z][a-z]+)*)\s+(?:payment|transaction)",
 ]
+VENDOR_FLAGS = "(?imU)"     # case-blind, multi-line, Unicode blanks (as in Python)
 
 
 # Literal words each vendor pattern needs (lower case); a cheap substring test
@@ -185,7 +182,7 @@ def vendor_candidates(clean_body, lower_body=None) -> list[Column]:
     low = F.lower(b) if lower_body is None else _c(lower_body)
     out = []
     for pat, need in zip(VENDOR_PATTERNS, VENDOR_PREFILTER):
-        m = F.nullif(F.regexp_extract(b, pat, 1), F.lit(""))
+        m = F.nullif(F.regexp_extract(b, VENDOR_FLAGS + pat, 1), F.lit(""))
         if need:
             m = F.when(contains_any(low, need), m)
         out.append(strip_unicode(m))
