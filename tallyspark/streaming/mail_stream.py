@@ -4,8 +4,9 @@ The reference analyses each new batch of alert messages as it arrives.  The
 same stateless B/C/D expressions run here over a landing folder of message
 files: ``readStream`` -> rules analysis -> amount and date cleaning -> an
 idempotent ``foreachBatch`` sink.  A micro-batch drops the messages that an
-earlier batch has written (anti join on the message key) and is written under
-its batch id, so a retried batch overwrites its own output.  Nothing depends
+earlier batch has written (anti join on the message key), keeps of two
+deliveries of its own the first in order of their values, and is written under
+its batch id, so a retried batch overwrites its own output with the same rows.  Nothing depends
 on the date in a message's header: late, backfilled and misdated mail is kept.
 The checkpoint lives under the shared checkpoint folder, so a restarted query
 resumes where it stopped.
@@ -44,7 +45,9 @@ def _batch_writer(out_path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         # batch -1 is the empty table that run_available creates
         before = batch.sparkSession.read.parquet(out_path).where(F.col("batch_id") < batch_id).select(*KEY)
-        new = batch.dropDuplicates(KEY).join(before, KEY, "left_anti")
+        rest = [c for c in batch.columns if c not in KEY]
+        one = batch.groupBy(*KEY).agg(F.min(F.struct(*rest)).alias("_row")).select(*KEY, "_row.*").select(*batch.columns)
+        new = one.join(before, KEY, "left_anti")
         new.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
     return write
 
