@@ -181,10 +181,11 @@ def q_accounts_seen(spark, d):
     sketches = S.account_sketches(records)
     for part in ("2024-01-b", "2024-01-a", "2024-01-c", "2024-01-a"):
         S.append_runs(path, sketches.where(F.col("run_id") == part))
-    guess = S.accounts_seen(S.read_runs(spark, path, sketches.schema)).withColumn("one", F.lit(1))
-    exact = S.distinct_accounts(records).select(F.col("total_users").alias("exact_users"), F.lit(1).alias("one"))
+    guess = S.accounts_seen(S.read_runs(spark, path, sketches.schema)).select(F.lit(None).cast("long").alias("exact_users"), "total_users")
+    exact = S.distinct_accounts(records).select(F.col("total_users").alias("exact_users"), F.lit(None).cast("long").alias("total_users"))
+    both = exact.unionByName(guess).agg(F.max("exact_users").alias("exact_users"), F.max("total_users").alias("total_users"))
     near = F.abs(F.col("total_users") - F.col("exact_users")) <= S.SEEN_ERROR * F.col("exact_users")
-    return exact.join(guess, "one").select("exact_users", near.alias("within_error"))
+    return both.select("exact_users", near.alias("within_error"))
 
 
 @register("new_accounts", """
