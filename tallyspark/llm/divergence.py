@@ -24,7 +24,7 @@ from .common import written
 
 SCALE = 1_000_000_000
 LEAST_DOCS, TOP_TERMS = 3, 200
-ENTRIES, ENTRY_BYTES, PAIRS, SALTS = 200_000, 1 << 26, 1 << 20, 16
+ENTRIES, ENTRY_BYTES, PAIRS, SALTS = 400_000, 1 << 28, 1 << 20, 16
 
 # ASCII other than letters separates; every byte of a longer character belongs to a term
 TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b < 0x80 and not 0x61 <= b <= 0x7A else b for b in range(256))
@@ -37,32 +37,30 @@ def terms_of(text: bytes | None) -> Counter:
 
 def _counted(batches):
     """(lang, source, term, n, docs) of the documents of a task, added up in
-    frames of bounded size; the empty term stands for the group itself."""
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    frames of bounded size; the empty term stands for the group itself.  A
+    term's two counts share one number, n below and docs from bit 32 on."""
+    held: dict[tuple[str, str], dict[bytes, int]] = {}
     size = space = 0
+    one = 1 << 32
 
     def frames():
-        rows = [(g, t, v) for g, table in held.items() for t, v in table.items()]
-        for at in range(0, len(rows), 50_000):
-            part = rows[at:at + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g[0] for g, _, _ in part], pa.string()), pa.array([g[1] for g, _, _ in part], pa.string()),
-                 pa.array([t for _, t, _ in part], pa.binary()).cast(pa.string()),
-                 pa.array([v[0] for _, _, v in part], pa.int64()), pa.array([v[1] for _, _, v in part], pa.int64())],
-                names=["lang", "source", "term", "n", "docs"])
+        for (lang, source), table in held.items():
+            terms, counts = list(table), np.fromiter(table.values(), dtype=np.int64, count=len(table))
+            for at in range(0, len(terms), 50_000):
+                part, value = terms[at:at + 50_000], counts[at:at + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(lang, pa.string()), len(part)), pa.repeat(pa.scalar(source, pa.string()), len(part)),
+                     pa.array(part, pa.binary()).cast(pa.string()), pa.array(value & (one - 1)), pa.array(value >> 32)],
+                    names=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            table = held.setdefault((lang, source), {b"": [0, 0]})
+            table = held.setdefault((lang, source), {b"": 0})
+            before, get = len(table), table.get
             for term, n in terms_of(text).items():
-                have = table.get(term)
-                if have is None:
-                    table[term] = [n, 1]
-                    size += 1
-                    space += len(term)
-                else:
-                    have[0] += n
-                    have[1] += 1
+                table[term] = get(term, 0) + n + one
+            size += len(table) - before
+            space += len(text or b"")
             if size > ENTRIES or space > ENTRY_BYTES:
                 yield from frames()
                 held, size, space = {}, 0, 0
