@@ -204,17 +204,17 @@ def q_score_category(spark, d):
     return t.select("doc_id", F.col("best.score").alias("score"), C.category_label(F.col("best")).alias("category"))
 
 
-# Rule tables of any number of needles: the words of the benchmark items, 40 labels.
+# Rule tables of any number of needles: the words of four letters or more of the benchmark items, 40 labels.
 _TABLE_RULES = _DOC.rstrip() + """
 , needles AS (SELECT lower(w) AS needle, min(item_id) AS ordinal, 'topic ' || CAST(min(item_id) % 40 AS VARCHAR) AS label
-              FROM (SELECT item_id, unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 2 GROUP BY 1)
+              FROM (SELECT item_id, unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 4 GROUP BY 1)
 , hits AS (SELECT doc_id, needle, ordinal, label FROM docs JOIN needles ON contains(docs.text, needle))
 """
 
 
 def needle_table(spark, d):
     """One rule per word of the benchmark items."""
-    words = V.table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where(F.length("w") >= 2)
+    words = V.table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where(F.length("w") >= 4)
     return (words.groupBy(F.lower("w").alias("needle")).agg(F.min("item_id").alias("ordinal"))
             .withColumn("label", F.concat(F.lit("topic "), (F.col("ordinal") % 40).cast("string"))))
 
