@@ -1,12 +1,16 @@
 """Rules as tables: containment rules of any number over texts of any number.
 
 The column expressions of ``functions.classify`` unroll a short rule list into
-the plan.  A rule table (one row per needle) goes through an inverted index
-instead: every needle is filed under the one of its 3-grams that the fewest
-texts hold, the texts' grams meet that index in an equi-join, and what meets is
-verified by ``contains``.  A needle with a gram that no text holds drops out at
-once.  Nothing here grows with the rules but the tables joined; the index is
-broadcast only where Spark finds it below its own threshold.
+the plan.  A rule table (one row per needle) goes through the words of the texts
+instead.  Texts and needles are cut into runs of letters and digits (any
+character beyond ASCII counts as a letter); a text contains a needle of one run
+exactly where one of its own runs does, so such needles are looked up once for
+every different run of the whole table and never in a text.  A needle of several
+runs is filed under the one that the fewest texts hold and is verified by
+``contains`` in the texts that hold it; needles without a letter or digit go by
+the runs between.  Runs and needles meet through the 3-grams of the different
+runs, in equi-joins.  Nothing here grows with the rules but the tables joined;
+they are broadcast only where Spark finds them below its own threshold.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from pyspark.sql import functions as F
 from .. import rules as R
 
 GRAM = 3
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 ROW = ["_r1", "_r2"]
 
 
@@ -27,46 +33,78 @@ def rule_rows(spark, rules: list[tuple[str, list[str]]]) -> DataFrame:
 
 
 def _grams(text: Column, n: int) -> Column:
-    """Distinct n-grams of a text, in one pass of the regex engine."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-
-
-def _text_grams(rows: DataFrame, text: str, lengths: list[int]) -> DataFrame:
-    return rows.select(*ROW, F.explode(F.concat(*[_grams(F.col(text), n) for n in lengths])).alias("gram"))
-
-
-def with_candidates(df: DataFrame, text: str, rules: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with ``_hits``: the rules (ordinal, needle, label) whose needle the
-    column ``text`` contains, in order of (ordinal, needle, label); NULL or
-    empty where there is none.
-
-    ``rules`` has ordinal, label and needle; NULL and empty needles contain
-    nothing; containment is exact, so lower-case both sides beforehand where
-    case does not matter.  A row is known by ``keys`` and its text: repeated rows
-    get the same hits each.
+    """Distinct n-grams of a text: short ones by position, others in one pass of
+    the regex engine."""
+    last = F.length(text) - n + 1
+    short = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.when(F.length(text) <= 64, short).otherwise(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))))
+
+
+def _held(runs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(run, piece): the different ``runs`` with each of ``pieces`` they contain.
+    A piece is filed under the one of its grams that the fewest runs hold."""
+    lengths = [n for n in range(1, GRAM) if pieces.where(F.length("piece") == n).take(1)] + [GRAM]
+    own = pieces.select("piece", F.explode(
+        F.when(F.length("piece") < GRAM, F.array("piece")).otherwise(_grams(F.col("piece"), GRAM))).alias("gram"))
+    grams = runs.select("run", F.explode(F.concat(*[_grams(F.col("run"), n) for n in lengths])).alias("gram"))
+    seen = grams.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("runs"))
+    index = (own.join(seen, "gram", "left").groupBy("piece")
+             .agg(F.min_by("gram", F.struct("runs", "gram")).alias("gram"), F.bool_and(F.col("runs").isNotNull()).alias("there"))
+             .where("there").select("gram", "piece"))
+    return grams.join(index, "gram").where(F.contains("run", F.col("piece"))).select("run", "piece")
+
+
+def _runs(marked: DataFrame, text: str, between: bool) -> DataFrame:
+    """(_r1, _r2, run): the different runs of each text, of letters and digits and
+    with ``between`` also of other characters."""
+    words = F.split(text, f"{OTHER}+")
+    cut = F.array_distinct(F.concat(words, F.split(text, f"{WORD}+")) if between else words)
+    return marked.select(*ROW, F.explode(cut).alias("run")).where("run <> ''")
+
+
+def with_row_ids(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """A row is known by ``keys`` and its text: repeated rows are one."""
+    return df.withColumn("_r1", F.xxhash64(*keys, text)).withColumn("_r2", F.xxhash64(F.lit(1), *keys, text))
+
+
+def needle_hits(marked: DataFrame, text: str, rules: DataFrame) -> DataFrame:
+    """(_r1, _r2, needle), each once: the needles of ``rules`` that the column
+    ``text`` of ``marked`` (see ``with_row_ids``) contains.
+
+    NULL and empty needles contain nothing; containment is exact, so lower-case
+    both sides beforehand where case does not matter.
     """
-    rules = rules.where("needle <> ''").select("ordinal", "needle", "label").distinct()
-    lengths = [n for n in range(1, GRAM) if rules.where(F.length("needle") == n).take(1)] + [GRAM]
-    needles = rules.select("needle").distinct()
-    own = needles.select("needle", F.explode(
-        F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(_grams(F.col("needle"), GRAM))).alias("gram"))
-    marked = df.withColumn("_r1", F.xxhash64(*keys, text)).withColumn("_r2", F.xxhash64(F.lit(1), *keys, text))
-    grams = _text_grams(marked, text, lengths)
-    seen = grams.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
-    index = (own.join(seen, "gram", "left").groupBy("needle")
-             .agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.bool_and(F.col("texts").isNotNull()).alias("there"))
-             .where("there").select("gram", "needle").join(rules, "needle"))
-    found = (grams.join(index, "gram").groupBy(*ROW)
-             .agg(F.collect_set(F.struct("ordinal", "needle", "label")).alias("_hits")))
-    out = marked.join(found, ROW, "left")
-    return out.withColumn("_hits", F.array_sort(F.filter("_hits", lambda r: F.contains(F.col(text), r["needle"])))).drop(*ROW)
+    needles = rules.where("needle <> ''").select("needle").distinct()
+    cut = needles.select("needle", F.array_remove(F.split("needle", f"{OTHER}+"), "").alias("pieces"))
+    cut = cut.select("needle", F.when(F.size("pieces") > 0, F.array_distinct("pieces")).otherwise(F.array("needle")).alias("pieces"))
+    between = bool(needles.where(~F.col("needle").rlike(WORD)).take(1))
+    runs = _runs(marked, text, between)
+    vocabulary = runs.groupBy("run").agg(F.count("*").alias("texts"))
+    pieces = cut.select("needle", F.explode("pieces").alias("piece"))
+    held = _held(vocabulary.select("run"), pieces.select("piece").distinct())
+    alone = F.get("pieces", F.lit(0)) == F.col("needle")
+    single = cut.where(alone).select(F.col("needle").alias("piece"), "needle")
+    found = runs.join(held.join(single, "piece").select("run", "needle"), "run").select(*ROW, "needle")
+    if cut.where(~alone).take(1):
+        several = cut.where(~alone).select("needle", F.explode("pieces").alias("piece"))
+        weight = (held.join(several.select("piece").distinct(), "piece", "left_semi").join(vocabulary, "run")
+                  .groupBy("piece").agg(F.sum("texts").alias("texts")))
+        filed = (several.join(weight, "piece", "left").groupBy("needle")
+                 .agg(F.min_by("piece", F.struct("texts", "piece")).alias("piece"), F.bool_and(F.col("texts").isNotNull()).alias("there"))
+                 .where("there").select("piece", "needle"))
+        maybe = runs.join(held.join(filed, "piece").select("run", "needle"), "run").select(*ROW, "needle").distinct()
+        texts = marked.select(*ROW, F.col(text).alias("_text")).dropDuplicates(ROW)
+        found = found.unionByName(maybe.join(texts, ROW).where(F.contains("_text", F.col("needle"))).select(*ROW, "needle"))
+    return found.distinct()
 
 
 def resolve_by_rules(df: DataFrame, text: str, rules: DataFrame, keys: list[str], out: str = "label", default: str | None = None) -> DataFrame:
     """The label of the first rule (lowest ordinal, then needle) contained in
     ``text``, else ``default`` (B6 for rule tables)."""
-    got = with_candidates(df, text, rules, keys)
-    return got.withColumn(out, F.coalesce(F.get("_hits", F.lit(0))["label"], F.lit(default))).select(*df.columns, out)
+    marked = with_row_ids(df, text, keys)
+    first = rules.where("needle <> ''").groupBy("needle").agg(F.min(F.struct("ordinal", "needle", "label")).alias("_rule"))
+    got = needle_hits(marked, text, rules).join(first, "needle").groupBy(*ROW).agg(F.min("_rule").alias("_rule"))
+    return marked.join(got, ROW, "left").withColumn(out, F.coalesce("_rule.label", F.lit(default))).select(*df.columns, out)
 
 
 def score_by_rules(df: DataFrame, text: str, rules: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,13 +112,13 @@ def score_by_rules(df: DataFrame, text: str, rules: DataFrame, keys: list[str])
     distinct needles of a label that the text contains; the highest score wins,
     ties go to the lower ordinal (the lowest of a label's rules), then the lower
     label; without a hit the score is 0 and ``category`` 'other transactions'."""
-    got = with_candidates(df, text, rules, keys)
-    marked = got.withColumn("_r1", F.xxhash64(*keys, text)).withColumn("_r2", F.xxhash64(F.lit(1), *keys, text))
-    best = (marked.where(F.size("_hits") > 0).select(*ROW, F.explode("_hits").alias("_h")).select(*ROW, "_h.*").distinct()
-            .groupBy(*ROW, "label").agg(F.countDistinct("needle").cast("int").alias("score"), F.min("ordinal").alias("first"))
+    marked = with_row_ids(df, text, keys)
+    labels = rules.where("needle <> ''").groupBy("needle", "label").agg(F.min("ordinal").alias("first"))
+    best = (needle_hits(marked, text, rules).join(labels, "needle")
+            .groupBy(*ROW, "label").agg(F.count("*").cast("int").alias("score"), F.min("first").alias("first"))
             .groupBy(*ROW).agg(F.min_by(F.struct("score", "label"), F.struct(-F.col("score"), "first", "label")).alias("_best")))
     none = F.lit(R.CATEGORY_NONE)
-    return (marked.drop("_hits").join(best, ROW, "left")
+    return (marked.join(best, ROW, "left")
             .select(*df.columns, F.coalesce("_best.score", F.lit(0)).alias("score"), F.coalesce("_best.label", none).alias("category")))
 
 
@@ -89,8 +127,9 @@ def hits_by_rules(df: DataFrame, fields: list[str], terms: DataFrame, keys: list
     the case, in the field it names (A3 for term tables)."""
     parts = None
     for f in fields:
-        rules = terms.where(F.col("field") == f).select(F.col("term_ord").cast("long").alias("ordinal"), F.lower("needle").alias("needle"), F.lit("").alias("label"))
+        rules = terms.where(F.col("field") == f).select("term_ord", F.lower("needle").alias("needle"))
         low = df.select(*keys, F.lower(F.coalesce(F.col(f), F.lit(""))).alias("_text"))
-        got = with_candidates(low, "_text", rules, keys).where(F.size("_hits") > 0).select(*keys, F.explode("_hits.ordinal").alias("term_ord"))
+        marked = with_row_ids(low, "_text", keys)
+        got = marked.join(needle_hits(marked, "_text", rules).join(rules, "needle"), ROW).select(*keys, F.col("term_ord").cast("long").alias("term_ord"))
         parts = got if parts is None else parts.unionByName(got)
     return parts.distinct()

@@ -70,3 +70,32 @@ def test_candidate_search_by_a_table_of_terms(spark):
     for n in (5, 30, 1000):
         a, b = ({tuple(r) for r in S.candidate_messages(df, n, t).collect()} for t in (None, terms))
         assert a == b and a
+
+
+def test_needles_meet_the_different_runs_and_not_the_texts(spark):
+    df = texts(spark)
+    table = RT.rule_rows(spark, [("a", ["order", "loud", "日本"]), ("b", ["zomato", "é"])])
+    for got in (RT.resolve_by_rules(df, "text", table, ["k"]), RT.score_by_rules(df, "text", table, ["k"])):
+        plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "contains(run" in plan and "contains(text" not in plan and "contains(_text" not in plan
+        assert "regexp_extract_all(run" in plan and "regexp_extract_all(text" not in plan
+
+
+def test_needles_of_several_runs_and_of_no_letter_match_brute_force(spark):
+    rng = random.Random(17)
+    cut = lambda n: "".join(rng.choice(["a", "b", "ab", " ", "  ", "-", ".", "é", "\n", "😀", "1", "_"]) for _ in range(n))
+    needles = sorted({cut(rng.randint(1, 5)) for _ in range(400)})
+    rules = [(i % 23, f"L{i % 7}", n) for i, n in enumerate(needles)]
+    rows = [(k, cut(rng.randint(0, 25))) for k in range(80)] + [(99, None), (100, "...  --")]
+    table = spark.createDataFrame(rules, "ordinal long, label string, needle string")
+    df = spark.createDataFrame(rows, "k long, text string")
+    hits = {k: sorted((o, n, lbl) for o, lbl, n in rules if n in (t or "")) for k, t in rows}
+    got = RT.resolve_by_rules(df, "text", table, ["k"])
+    assert {r.k: r.label for r in got.collect()} == {k: h[0][2] if h else None for k, h in hits.items()}
+
+    def best(h):
+        labels = {lbl: (-len({n for _, n, x in h if x == lbl}), min(o for o, _, x in h if x == lbl), lbl) for _, _, lbl in h}
+        low = min(labels.values(), default=(0, 0, R.CATEGORY_NONE))
+        return -low[0], low[2]
+
+    assert {r.k: (r.score, r.category) for r in RT.score_by_rules(df, "text", table, ["k"]).collect()} == {k: best(h) for k, h in hits.items()}
