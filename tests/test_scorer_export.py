@@ -28,6 +28,21 @@ def test_only_the_rows_that_raise_lose_their_answer(n, bad):
     assert len(calls) <= 1 + 2 * max(1, len(bad)) * (n.bit_length() + 1)
 
 
+def test_one_bad_row_in_a_hundred_costs_fewer_calls_than_halving_every_span():
+    rng, calls = random.Random(4), []
+    rows = pd.Series([rng.random() < 0.01 for _ in range(10_000)])
+
+    def scorer(x):
+        calls.append(len(x))
+        if x.any():
+            raise ValueError("bad")
+        return ["a"] * len(x)
+
+    got = A.isolated(scorer, rows)
+    assert got.error.notna().tolist() == rows.tolist() and got.answer.isna().tolist() == rows.tolist()
+    assert len(calls) < 10.5 * rows.sum() and sum(calls) < 10 * len(rows)
+
+
 def test_wrong_number_of_answers_and_odd_answers():
     got = A.isolated(lambda x: ["only one"], pd.Series([1, 2, 3]))
     assert got.answer.tolist() == ["only one"] * 3
