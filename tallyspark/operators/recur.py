@@ -64,6 +64,7 @@ def subscription_id(prefix: str, name: Column, amount: Column, extra: Column) ->
 
 ATTRS = ("merchant_name", "category", "bank", "subscription_type", "billing_cycle", "service_logo", "color",
          "is_trial", "subject")
+USUAL = ("merchant_name", "category", "bank", "is_trial", "subject")
 
 
 def _flagged() -> Column:
@@ -85,13 +86,30 @@ def _complete() -> Column:
 def group_charges(txns: DataFrame, *by: Column) -> DataFrame:
     """Aggregate charges per key columns ``by`` with count, first and last
     instants, the local dates of the first and last charge, the mean
-    confidence and the first non-NULL value of each attribute."""
+    confidence and the first non-NULL value of each attribute.
+
+    The columns that most charges have in full (USUAL) are kept once with the
+    order of the first charge that has them all; only charges that lack one of
+    them, and the other attributes, carry an order of their own, so a charge
+    enters the shuffle with its message id two to four times and not eleven."""
     order = F.struct("event_ts", "message_id")
+    full = F.lit(True)
+    for c in USUAL:
+        full = full & F.col(c).isNotNull()
     aggs = [F.count("event_ts").alias("transaction_count"),
             F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"),
-            F.min_by("local_ts", order).alias("first_local"), F.max_by("local_ts", order).alias("last_local"),
-            F.avg("confidence").alias("confidence")]
-    return txns.groupBy(*by).agg(*aggs, *[_first(a, order).alias(a) for a in ATTRS])
+            F.max_by("local_ts", order).alias("last_local"), F.avg("confidence").alias("confidence"),
+            F.min(F.when(full, F.struct(order.alias("at"), "local_ts", *USUAL))).alias("_full"),
+            F.min(F.when(~full, F.struct(order.alias("at"), F.col("local_ts").alias("value")))).alias("_local_ts")]
+    aggs += [F.min(F.when(~full & F.col(a).isNotNull(), F.struct(order.alias("at"), F.col(a).alias("value")))).alias(f"_{a}") for a in USUAL]
+    aggs += [_first(a, order).alias(a) for a in ATTRS if a not in USUAL]
+    g = txns.groupBy(*by).agg(*aggs)
+
+    def earlier(c: str) -> Column:
+        return F.array_min(F.array(F.when(F.col("_full").isNotNull(), F.struct(F.col("_full.at").alias("at"), F.col(f"_full.{c}").alias("value"))), F.col(f"_{c}")))["value"]
+
+    g = g.withColumns({"first_local": earlier("local_ts"), **{a: earlier(a) for a in USUAL}})
+    return g.drop("_full", "_local_ts", *[f"_{a}" for a in USUAL])
 
 
 def recurring_flagged(txns: DataFrame, keys=KEYS) -> DataFrame:
