@@ -59,7 +59,8 @@ def _runs(marked: DataFrame, text: str, between: bool) -> DataFrame:
     with ``between`` also of other characters."""
     words = F.split(text, f"{OTHER}+")
     cut = F.array_distinct(F.concat(words, F.split(text, f"{WORD}+")) if between else words)
-    return marked.select(*ROW, F.explode(cut).alias("run")).where("run <> ''")
+    # a small file may hold many runs: they are never broadcast, whatever its size promises
+    return marked.select(*ROW, F.explode(cut).alias("run")).where("run <> ''").hint("merge")
 
 
 def with_row_ids(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
