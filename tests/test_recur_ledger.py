@@ -1,6 +1,7 @@
 """Recurrence, ledger and metrics goldens (FIXTURES.md section 3)."""
 
 import datetime as dt
+import random
 
 import pytest
 
@@ -290,3 +291,21 @@ def test_recurring_vs_onetime(spark):
     r = M.recurring_vs_onetime(tx, s, "2025-10-15").first()
     assert r["monthly_spend"] == 300.0 and r["one_time_monthly"] == 0.0
     assert abs(r["subscription_ratio_pct"] - 133.333333) < 1e-4
+
+
+def test_charges_carry_their_order_few_times(spark):
+    """Attributes may be missing in any charge; the usual ones share one order."""
+    rng = random.Random(8)
+    cols = [*RC.ATTRS, "local_ts"]
+    rows = [(k % 3, f"m{k:03d}", dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randint(0, 9)), rng.randint(1, 9) * 1.0,
+             *[None if rng.random() < p else f"{c}{rng.randint(0, 9)}" for c in cols for p in (0.5 if k % 2 else 0.02,)]) for k in range(90)]
+    df = spark.createDataFrame(rows, "k int, message_id string, event_ts timestamp, confidence double, " + ", ".join(f"{c} string" for c in cols))
+    g = RC.group_charges(df, F.col("k"))
+    plan = g._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min_by(") + plan.count("max_by(") <= 1 + len(RC.ATTRS) - 5
+    for r in g.collect():
+        mine = sorted((x for x in rows if x[0] == r.k), key=lambda x: (x[2], x[1]))
+        for i, c in enumerate(cols):
+            if c != "local_ts":
+                assert r[c] == next((x[4 + i] for x in mine if x[4 + i] is not None), None)
+        assert (r.first_local, r.last_local, r.transaction_count) == (mine[0][-1], mine[-1][-1], len(mine))
