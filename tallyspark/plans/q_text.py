@@ -219,6 +219,11 @@ def needle_table(spark, d):
             .withColumn("label", F.concat(F.lit("topic "), (F.col("ordinal") % 40).cast("string"))))
 
 
+def _table_docs(spark, d):
+    """The documents as they are read: rule tables deal the texts themselves."""
+    return V.table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+
+
 @register("rule_table_resolve", _TABLE_RULES + """
 SELECT d.doc_id, COALESCE(f.label, 'none') AS label FROM docs d LEFT JOIN
   (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, needle) AS r FROM hits) WHERE r = 1) f USING (doc_id)""")
@@ -231,7 +236,7 @@ def q_rule_table_resolve(spark, d):
 SELECT d.doc_id, CAST(COALESCE(s.score, 0) AS INTEGER) AS score, COALESCE(s.label, {G.q(R.CATEGORY_NONE)}) AS category FROM docs d LEFT JOIN
   (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first, label) AS r FROM per) WHERE r = 1) s USING (doc_id)""")
 def q_rule_table_score(spark, d):
-    return RT.score_by_rules(_docs(spark, d), "text", needle_table(spark, d), ["doc_id"]).select("doc_id", "score", "category")
+    return RT.score_by_rules(_table_docs(spark, d), "text", needle_table(spark, d), ["doc_id"]).select("doc_id", "score", "category")
 
 
 @register("rule_confidence", _DOC + f"""

@@ -1,7 +1,9 @@
 """Rule tables against the short lists' column expressions and brute force."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark import rules as R
@@ -99,3 +101,44 @@ def test_needles_of_several_runs_and_of_no_letter_match_brute_force(spark):
         return -low[0], low[2]
 
     assert {r.k: (r.score, r.category) for r in RT.score_by_rules(df, "text", table, ["k"]).collect()} == {k: best(h) for k, h in hits.items()}
+
+
+def shuffles_of_runs(df) -> list[str]:
+    """The shuffles of a plan by run, or by row and what was found in it."""
+    return re.findall(r"Exchange hashpartitioning\((?:run#|_r1#\d+L, _r2#\d+L, [^\d]).*", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_scores_by_rules_shuffle_the_texts_alone(spark):
+    got = RT.score_by_rules(texts(spark), "text", RT.rule_rows(spark, [("a", ["order", "uber eats"]), ("b", ["zomato", "vi"])]), ["k"])
+    assert shuffles_of_runs(got) == []
+
+
+def odd_rules(rng):
+    """Needles of several labels, runs and lengths; ordinals and labels may be NULL."""
+    cut = lambda n: "".join(rng.choice(["a", "b", "abc", "bcde", " ", "-", "é", "\n", "😀", "1", "日本語"]) for _ in range(n))
+    rules = [(rng.choice([None, *range(9)]), rng.choice([None, "x", "y", "z", "é"]), cut(rng.randint(1, 4))) for _ in range(300)]
+    rows = [(k, cut(rng.randint(0, 30))) for k in range(60)] + [(90, None), (91, ""), (92, "ab" * 90 + "日本語" * 40), (93, "abc"), (93, "abc")]
+    return [*rules, (1, "x", None), (1, "x", "")], rows
+
+
+def least(x):
+    return x is not None, x or 0
+
+
+@pytest.mark.parametrize("few", [RT.FEW, -1])
+def test_scores_of_broadcast_and_of_joined_rules_match_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(RT, "FEW", few)
+    rules, rows = odd_rules(random.Random(5))
+
+    def best(t):
+        first = {}
+        for o, lbl, n in rules:
+            if n and n in (t or ""):
+                first.setdefault(lbl, {}).setdefault(n, []).extend([] if o is None else [o])
+        keyed = [(-len(x), least(min((o for os in x.values() for o in os), default=None)), (lbl is not None, lbl or ""), lbl) for lbl, x in first.items()]
+        low = min(keyed, default=(0, 0, 0, None))
+        return -low[0], low[3] or R.CATEGORY_NONE
+
+    table = spark.createDataFrame(rules, "ordinal long, label string, needle string")
+    got = RT.score_by_rules(spark.createDataFrame(rows, "k long, text string"), "text", table, ["k"]).collect()
+    assert sorted((r.k, r.score, r.category) for r in got) == sorted((k, *best(t)) for k, t in rows)
