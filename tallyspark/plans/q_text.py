@@ -228,7 +228,7 @@ def _table_docs(spark, d):
 SELECT d.doc_id, COALESCE(f.label, 'none') AS label FROM docs d LEFT JOIN
   (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, needle) AS r FROM hits) WHERE r = 1) f USING (doc_id)""")
 def q_rule_table_resolve(spark, d):
-    return RT.resolve_by_rules(_docs(spark, d), "text", needle_table(spark, d), ["doc_id"], default="none").select("doc_id", "label")
+    return RT.resolve_by_rules(_table_docs(spark, d), "text", needle_table(spark, d), ["doc_id"], default="none").select("doc_id", "label")
 
 
 @register("rule_table_score", _TABLE_RULES + f"""

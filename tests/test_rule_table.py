@@ -142,3 +142,34 @@ def test_scores_of_broadcast_and_of_joined_rules_match_brute_force(spark, monkey
     table = spark.createDataFrame(rules, "ordinal long, label string, needle string")
     got = RT.score_by_rules(spark.createDataFrame(rows, "k long, text string"), "text", table, ["k"]).collect()
     assert sorted((r.k, r.score, r.category) for r in got) == sorted((k, *best(t)) for k, t in rows)
+
+
+def test_resolving_by_rules_shuffles_the_texts_alone(spark):
+    got = RT.resolve_by_rules(texts(spark), "text", RT.rule_rows(spark, [("a", ["order", "uber eats"]), ("b", ["zomato", "vi"])]), ["k"])
+    assert shuffles_of_runs(got) == []
+
+
+@pytest.mark.parametrize("few", [RT.FEW, -1])
+def test_labels_of_broadcast_and_of_joined_rules_match_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(RT, "FEW", few)
+    rules, rows = odd_rules(random.Random(6))
+
+    def first(t):
+        hits = [(least(o), n, (lbl is not None, lbl or ""), lbl) for o, lbl, n in rules if n and n in (t or "")]
+        return (min(hits)[3] if hits else None) or "none"
+
+    table = spark.createDataFrame(rules, "ordinal long, label string, needle string")
+    got = RT.resolve_by_rules(spark.createDataFrame(rows, "k long, text string"), "text", table, ["k"], default="none").collect()
+    assert sorted((r.k, r.label) for r in got) == sorted((k, first(t)) for k, t in rows)
+
+
+@pytest.mark.parametrize("few", [RT.FEW, -1])
+def test_terms_of_broadcast_and_of_joined_tables_match_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(RT, "FEW", few)
+    rules, rows = odd_rules(random.Random(7))
+    terms = [(i, "subject" if i % 3 else "body", n) for i, (_, _, n) in enumerate(rules)]
+    df = spark.createDataFrame([(k, t, t and t[::-1]) for k, t in rows], "k long, subject string, body string")
+    got = RT.hits_by_rules(df, ["subject", "body"], spark.createDataFrame(terms, "term_ord int, field string, needle string"), ["k"])
+    want = {(k, i) for k, t in rows for i, f, n in terms if n and n.lower() in ((t or "") if f == "subject" else (t or "")[::-1]).lower()}
+    got = [tuple(r) for r in got.collect()]
+    assert set(got) == want and len(got) == len(want)
