@@ -11,10 +11,9 @@ n-grams.
 
 A rule table of up to ``FEW`` bytes (counted, not guessed) is broadcast: the
 texts are dealt once by row, and all else about a text, its runs, grams, hits and
-the choice among its rules, stays in the task that has it, so nothing is written
-to disk but the texts.  A larger one is looked up once for every different run of
-the whole table of texts, in equi-joins through the n-grams of those runs, and
-the runs of each text are joined to what was found.
+the choice among its rules, stays in the task that has it.  A larger one is looked
+up once for every different run of the whole table of texts, in equi-joins through
+the n-grams of those runs, and the runs of each text are joined to what was found.
 """
 
 from __future__ import annotations
